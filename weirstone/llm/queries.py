@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import credentials, mixing, packing, provenance, splitting, syntax
+from . import credentials, mixing, packing, provenance, sentences, splitting, syntax
 
 
 def _long(c):
@@ -69,6 +69,14 @@ def p8_shares(spark, d):
     return mixing.shares(p8_mix(spark, d), table(spark, d, "mix_targets"))
 
 
+def p9_found(spark, d):
+    return sentences.sentences(table(spark, d, "documents"))
+
+
+def p9_sentences(spark, d):
+    return sentences.sentences(table(spark, d, "documents"), text=True)
+
+
 def queries():
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
