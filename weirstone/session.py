@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,15 +38,25 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return tune(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the checkpoint folder that all executors share.
-
-    The folder is the session's ``spark.checkpoint.dir``; where none is set, as in
-    local tests, a temporary one is made."""
+def _shared_folder(df: DataFrame) -> str:
+    """The session's ``spark.checkpoint.dir``; where none is set, as in local tests, a temporary folder."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         where = sc.getConf().get("spark.checkpoint.dir") or None
         if where is None and not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="weirstone-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the checkpoint folder that all executors share."""
+    _shared_folder(df)
     return df.checkpoint(eager=True)
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Like cut, for wide or long tables: a compressed table written to the shared folder and read again."""
+    path = f"{_shared_folder(df)}/{uuid.uuid4().hex}.parquet"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
