@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import credentials, mixing, packing, provenance, sentences, splitting, syntax
+from . import credentials, mixing, packing, provenance, repeats, sentences, splitting, syntax
 
 
 def _long(c):
@@ -53,6 +53,15 @@ def p4_redacted(spark, d):
     return credentials.redacted(table(spark, d, "repo_artifacts"), table(spark, d, "trace_events"))
 
 
+def p6_found(spark, d):
+    found = repeats.shared_windows(table(spark, d, "repo_artifacts"), table(spark, d, "trace_events"))
+    return repeats.named(found.select("record").distinct()).select("item_table", "item_id")
+
+
+def p6_overlap(spark, d):
+    return repeats.overlap(table(spark, d, "repo_artifacts"), table(spark, d, "trace_events"))
+
+
 def p7_pack(spark, d):
     return packing.pack(table(spark, d, "documents"), table(spark, d, "pack_capacities"))
 
