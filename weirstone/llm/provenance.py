@@ -19,6 +19,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
@@ -58,17 +59,30 @@ _SCHEMA = "artifact_id bigint, notice boolean, data boolean, " + ", ".join(f"{c}
 
 def notice_lines(lines):
     """Indices of the comment lines that are notices."""
-    return [i for i, x in enumerate(lines) if NOTICES.search(x) and _COMMENT.match(x) and not SPEAKS.search(x)]
+    return [i for i, x in enumerate(lines) if _COMMENT.match(x) and NOTICES.search(x) and not SPEAKS.search(x)]
 
 
 def _entropy(counts, n):
     return -sum(c / n * math.log2(c / n) for c in counts.values()) if n else 0.0
 
 
+def _bytes_entropy(raw):
+    if not raw:
+        return 0.0
+    p = np.bincount(np.frombuffer(raw, np.uint8), minlength=1)
+    p = p[p > 0] / len(raw)
+    return float(-(p * np.log2(p)).sum())
+
+
+#: One of these stands in every notice, in lower case.
+_HINTS = ("generated", "vendored", "bundled copy", "third", "verbatim", "imported without", "sourcemappingurl", "released under", "/*!", "do not", "erzeugt", "par ", "generado", "tarball")
+
+
 def measure(path, text):
     """(has a notice, is one literal, features of the text without its notices)."""
     lines = text.split("\n")
-    hidden = set(notice_lines(lines)) if NOTICES.search(text) else set()
+    low = text.lower()
+    hidden = set(notice_lines(lines)) if any(h in low for h in _HINTS) else set()
     if hidden:
         lines = [x for i, x in enumerate(lines) if i not in hidden]
         text = "\n".join(lines)
@@ -91,7 +105,7 @@ def measure(path, text):
     values = [
         len(zlib.compress(raw, 1)) / (len(raw) or 1),
         _entropy(counts, nt),
-        _entropy(Counter(raw), len(raw)),
+        _bytes_entropy(raw),
         sum(len(t) * c for t, c in idents) / ni,
         sum(c for t, c in idents if len(t) > 20) / ni,
         sum(c for t, c in idents if len(t) <= 2) / ni,
