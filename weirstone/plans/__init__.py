@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import nested
+from . import analysis, etl, nested, ordered, sources
 
-_PARTS = [nested]
+_PARTS = [etl, ordered, analysis, sources, nested]
 
 
 def queries():
