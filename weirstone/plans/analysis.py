@@ -48,14 +48,14 @@ def evidence_set_relation(spark, d):
 
 def symbol_location_scores(spark, d):
     r = N.flat(table(spark, d, "gold_conditions"), "range").where("field = 'location_targets'").select("gold_id", "path", "symbol", F.col("line_start").alias("a"), F.col("line_end").alias("b"), "evidence_no").distinct()
-    x, y = r.where("evidence_no = 1").drop("evidence_no"), r.where("evidence_no = 2").drop("evidence_no").toDF("gold_id", "path2", "symbol2", "a2", "b2")
-    j = x.join(y, "gold_id").where("path = path2")
+    y = r.toDF("gold_id", "path2", "symbol2", "a2", "b2", "evidence_no2")
+    j = r.join(y, "gold_id").where("path = path2 and evidence_no < evidence_no2")
     s = K.location_score(K.symbol_compatible(F.col("symbol"), F.col("symbol2")), (F.col("a") <= F.col("b2")) & (F.col("a2") <= F.col("b")))
     return j.withColumn("score", s).groupBy("gold_id").agg(F.max("score").alias("best_score"), F.count("*").alias("pairs"))
 
 
 def optimal_assignment(spark, d):
-    e = table(spark, d, "embeddings").where("vec_id < 400").select("vec_id", "label", F.element_at("embedding", 1).cast("double").alias("x"))
+    e = table(spark, d, "embeddings").select("vec_id", "label", F.element_at("embedding", 1).cast("double").alias("x"))
     b = e.withColumns({"block": F.expr("vec_id div 10"), "slot": F.col("vec_id") % 10})
     left, right = b.where("slot < 5").select("block", F.col("slot").alias("l"), F.col("x").alias("lx")), b.where("slot >= 5").select("block", F.col("slot").alias("r"), F.col("x").alias("rx"))
     scores = left.join(right, "block").select("block", "l", "r", F.round(F.abs(F.col("lx") - F.col("rx")), 6).alias("score"))
@@ -157,8 +157,8 @@ def tool_split(spark, d):
 
 # -- graphs ----------------------------------------------------------------------
 def _links(spark, d):
-    c = table(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("a"), F.concat(F.lit("n"), "c_nationkey").alias("b")).where("c_acctbal > 5000")
-    o = table(spark, d, "orders").where("o_orderkey % 7 = 0").select(F.concat(F.lit("o"), "o_orderkey").alias("a"), F.concat(F.lit("c"), "o_custkey").alias("b"))
+    c = table(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("a"), F.concat(F.lit("n"), "c_nationkey").alias("b"))
+    o = table(spark, d, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("a"), F.concat(F.lit("c"), "o_custkey").alias("b"))
     n = table(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("a"), F.concat(F.lit("r"), "n_regionkey").alias("b"))
     return G.undirected(c.unionByName(o).unionByName(n), "a", "b")
 
@@ -172,7 +172,7 @@ def bounded_bfs(spark, d):
 
 
 def component_labels(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey % 7 = 0").select(F.concat(F.lit("o"), "o_orderkey").alias("a"), F.concat(F.lit("c"), "o_custkey").alias("b"))
+    o = table(spark, d, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("a"), F.concat(F.lit("c"), "o_custkey").alias("b"))
     return G.components(G.undirected(o, "a", "b")).groupBy("component").agg(F.count("*").alias("nodes"))
 
 
@@ -183,7 +183,7 @@ def merged_edges(spark, d):
 
 def top_neighbour_edges(spark, d):
     li = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("node"), F.col("l_partkey").alias("other")).agg(F.count("*").alias("weight"))
-    roots = table(spark, d, "supplier").where("s_nationkey = 3").select(F.col("s_suppkey").alias("node"))
+    roots = table(spark, d, "supplier").select(F.col("s_suppkey").alias("node"))
     return G.top_edges(li, roots, [F.desc("weight"), F.col("other")]).select("node", "other", "weight", F.col("edge_rank").cast("bigint").alias("edge_rank"))
 
 
@@ -236,10 +236,10 @@ def oracle_sql():
             SELECT CASE WHEN ng = 0 THEN NULL WHEN nb = 0 THEN 'disjoint' WHEN nb = ng AND nb = nc THEN 'exact' WHEN nb = ng THEN 'superset' WHEN nb = nc THEN 'proper_subset' ELSE 'partial_overlap' END AS relation, count(*) AS orders FROM n GROUP BY 1""",
         "symbol_location_scores": """WITH g AS (SELECT DISTINCT gold_id, location_targets FROM gold_conditions), o AS (SELECT gold_id, i, location_targets[i] AS l FROM (SELECT gold_id, location_targets, unnest(range(1, len(location_targets) + 1)) AS i FROM g) WHERE location_targets[i] IS NOT NULL),
             r AS (SELECT DISTINCT gold_id, i, t.path AS path, t.symbol AS symbol, t.start_line AS a, coalesce(t.end_line, t.start_line) AS b FROM (SELECT gold_id, i, unnest(l) AS t FROM o) WHERE t.start_line IS NOT NULL),
-            j AS (SELECT x.gold_id, x.symbol AS s, y.symbol AS s2, x.a <= y.b AND y.a <= x.b AS lines FROM (SELECT * FROM r WHERE i = 1) x JOIN (SELECT * FROM r WHERE i = 2) y ON x.gold_id = y.gold_id AND x.path = y.path),
+            j AS (SELECT x.gold_id, x.symbol AS s, y.symbol AS s2, x.a <= y.b AND y.a <= x.b AS lines FROM r x JOIN r y ON x.gold_id = y.gold_id AND x.path = y.path AND x.i < y.i),
             k AS (SELECT gold_id, lines, CASE WHEN coalesce(s, '') = '' OR coalesce(s2, '') = '' THEN false WHEN s = s2 THEN true WHEN contains(s, '.') AND contains(s2, '.') THEN split(s, '.')[-2:] = split(s2, '.')[-2:] ELSE false END AS sym FROM j)
             SELECT gold_id, max(CASE WHEN sym AND lines THEN 1.0::DOUBLE WHEN sym OR lines THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END) AS best_score, count(*) AS pairs FROM k GROUP BY gold_id""",
-        "optimal_assignment": """WITH e AS (SELECT vec_id // 10 AS block, vec_id % 10 AS slot, CAST(embedding[1] AS DOUBLE) AS x FROM embeddings WHERE vec_id < 400),
+        "optimal_assignment": """WITH e AS (SELECT vec_id // 10 AS block, vec_id % 10 AS slot, CAST(embedding[1] AS DOUBLE) AS x FROM embeddings),
             s AS (SELECT l.block, l.slot AS l, r.slot AS r, round(abs(l.x - r.x), 6) AS w FROM e l JOIN e r ON l.block = r.block AND l.slot < 5 AND r.slot >= 5)
             SELECT a.block, round(max(a.w + b.w + c.w + d.w + f.w), 5) AS total_score FROM s a JOIN s b ON b.block = a.block AND b.l = 1 AND b.r <> a.r JOIN s c ON c.block = a.block AND c.l = 2 AND c.r NOT IN (a.r, b.r)
             JOIN s d ON d.block = a.block AND d.l = 3 AND d.r NOT IN (a.r, b.r, c.r) JOIN s f ON f.block = a.block AND f.l = 4 AND f.r NOT IN (a.r, b.r, c.r, d.r) WHERE a.l = 0 GROUP BY a.block""",
@@ -269,11 +269,11 @@ def oracle_sql():
         "one_hop_neighbors": "WITH l AS (" + _LINKS + ") SELECT DISTINCT b AS node FROM l WHERE a IN ('n3', 'n7') AND b NOT IN ('n3', 'n7')",
         "bounded_bfs": "WITH RECURSIVE l AS (" + _LINKS + """), w(node, depth) AS (SELECT 'r1', 0 UNION SELECT l.b, w.depth + 1 FROM w JOIN l ON l.a = w.node WHERE w.depth < 3),
             m AS (SELECT node, min(depth) AS depth FROM w GROUP BY node) SELECT CAST(depth AS BIGINT) AS depth, count(*) AS nodes, min(node) AS least_node FROM m GROUP BY depth""",
-        "component_labels": """SELECT least(min('o' || o_orderkey), min('c' || o_custkey)) AS component, count(*) + 1 AS nodes FROM orders WHERE o_orderkey % 7 = 0 GROUP BY o_custkey""",
+        "component_labels": """SELECT least(min('o' || o_orderkey), min('c' || o_custkey)) AS component, count(*) + 1 AS nodes FROM orders GROUP BY o_custkey""",
         "merged_edges": """SELECT l_suppkey AS source, l_partkey AS target, l_returnflag AS relation, string_agg(DISTINCT CAST(l_orderkey AS VARCHAR), ',' ORDER BY CAST(l_orderkey AS VARCHAR)) AS evidence,
             string_agg(DISTINCT nullif(l_linestatus, 'F'), ' | ' ORDER BY nullif(l_linestatus, 'F')) AS via, count(*) AS merged FROM lineitem GROUP BY ALL HAVING count(*) > 1""",
         "top_neighbour_edges": """SELECT node, other, weight, edge_rank FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY weight DESC, other) AS edge_rank FROM (SELECT l_suppkey AS node, l_partkey AS other, count(*) AS weight FROM lineitem
-            WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_nationkey = 3) GROUP BY ALL)) WHERE edge_rank <= 4""",
+            WHERE l_suppkey IN (SELECT s_suppkey FROM supplier) GROUP BY ALL)) WHERE edge_rank <= 4""",
         "constraint_report": f"""WITH e AS {te}, g AS (SELECT DISTINCT gold_id, input_id, condition_id FROM gold_conditions), d AS (SELECT input_id FROM e GROUP BY input_id, input_order HAVING count(*) > 1), t AS (SELECT input_id FROM g GROUP BY input_id, condition_id HAVING count(*) > 1)
             SELECT 'unknown_event_type' AS check_name, count(*) AS violations, min(CAST(event_pk AS VARCHAR)) AS example FROM e WHERE event_type NOT IN ('system', 'user_prompt', 'assistant_response', 'tool_exchange')
             UNION ALL SELECT 'tool_name_outside_exchange', count(*), min(CAST(event_pk AS VARCHAR)) FROM e WHERE tool_name IS NOT NULL AND event_type <> 'tool_exchange'
@@ -287,10 +287,10 @@ def oracle_sql():
 _LINKS = """SELECT DISTINCT a, b FROM (SELECT x AS a, y AS b FROM e UNION ALL SELECT y AS a, x AS b FROM e)"""
 _LINKS = _LINKS.replace(
     "e UNION ALL",
-    "(SELECT 'c' || c_custkey AS x, 'n' || c_nationkey AS y FROM customer WHERE c_acctbal > 5000 UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey FROM orders WHERE o_orderkey % 7 = 0 UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation) e UNION ALL",
+    "(SELECT 'c' || c_custkey AS x, 'n' || c_nationkey AS y FROM customer UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey FROM orders UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation) e UNION ALL",
 ).replace(
     "AS b FROM e)",
-    "AS b FROM (SELECT 'c' || c_custkey AS x, 'n' || c_nationkey AS y FROM customer WHERE c_acctbal > 5000 UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey FROM orders WHERE o_orderkey % 7 = 0 UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation) e)",
+    "AS b FROM (SELECT 'c' || c_custkey AS x, 'n' || c_nationkey AS y FROM customer UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey FROM orders UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation) e)",
 )
 
 
