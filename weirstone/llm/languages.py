@@ -78,7 +78,7 @@ class Language:
         at = self.judge(text, toks)
         if at is None:
             return None
-        return at, toks[at] if at < len(toks) else None
+        return at, toks[at] if any(t.strip() for t in toks[at:]) else None
 
     def judge(self, text, toks):
         return run(self.grammar, list(map(self.table.__getitem__, toks)))
@@ -172,7 +172,7 @@ class Python(Language):
 
     def classify(self, tok):
         x = tok[0]
-        if x == "0" and re.match(r"0[\d_]*[1-9]\d*\Z", tok):
+        if x.isdigit() and (re.match(r"0[\d_]*[1-9][\d_]*\Z", tok) or tok[-1] in "lLnNuUrRiIdDfF" and tok[:2].lower() != "0x"):
             return self.grammar.bad
         if x in "\r\n#":
             w8 = w1 = 0
@@ -198,6 +198,8 @@ class Python(Language):
         i, n = 0, len(codes)
         while n and codes[n - 1] >= _NL:
             n -= 1
+        if n and codes[0] < _NL and text[:1] in " \t":
+            return 0
         for i in range(n):
             c = codes[i]
             if c >= _NL:
@@ -458,7 +460,7 @@ class TypeScript(JavaScript):
     decorator = '@' lhs | DECO ('.' name)* ('(' args ')')? ;
     vardecl = ('var' | 'let') vdecl % ',' | 'const' cdecl % ',' ;
     vdecl = binding '!'? (':' type)? ('=' assign)? ;
-    cdecl = binding (':' type)? '=' assign ;
+    cdecl = binding (':' type)? ('=' assign)? ;
     fordecl = ('var' | 'let' | 'const') binding (':' type)? ;
     catchparam = binding (':' type)? ;
     sig = tparams? '(' params ')' (':' rettype)? ;

@@ -8,8 +8,11 @@ features do not see: notice lines are taken out before anything is measured.
 Data files carry no notices; files that are one literal are labelled by that.
 
 Only some of the files that are not hand-written say so, so the labels are
-positive and unlabelled cases; the cut on the forest's probability is therefore
-far below one half (``CUT``).  A file whose notice was read keeps its label.
+positive and unlabelled cases: where unmarked cases stand, the forest's probability
+is the share of the marked ones.  The cut is therefore far below one half, well
+above the share of noticed files among those that look hand-written, and leaves are
+kept large and thresholds coarse, so that no few unmarked cases are learned by heart.
+A file whose notice was read keeps its label.
 """
 
 from __future__ import annotations
@@ -50,8 +53,10 @@ FEATURES = [
 ]
 #: Share of a text inside string and number literals from which it is labelled data.
 DATA_SHARE = 0.80
-#: The forest's probability from which a file counts; see the module's text.
-CUT = 0.14
+#: The forest's probability from which a file counts.
+CUT = 0.12
+#: Thresholds tried for a feature, less one.
+BINS = 48
 #: Most rows that the forest is fitted on; the sample is taken by a hash of the key.
 FIT_ROWS = 12_000
 _SCHEMA = "artifact_id bigint, notice boolean, data boolean, " + ", ".join(f"{c} double" for c in FEATURES)
@@ -147,18 +152,18 @@ def provenance(artifacts: DataFrame, fit_rows: int = FIT_ROWS, trees: int = 40,
     """One row per source file: notice, data, probability, handwritten.
 
     The forest is fitted on at most fit_rows files, those with the least hash of
-    their key; counts and features cover all. Where all labels are alike, or there
+    their key; features and the decision cover all. Where all labels are alike, or there
     are no rows, only the labels decide. Empty files are hand-written."""
     known = cut(features(artifacts))
     labelled = known.withColumn("label", (F.col("notice") | F.col("data")).cast("double"))
-    fit = labelled.orderBy(F.xxhash64("artifact_id"), "artifact_id").limit(fit_rows)
     ready = VectorAssembler(inputCols=FEATURES, outputCol="x")
-    fit = cut(ready.transform(fit).select("x", "label"))
+    fit = cut(ready.transform(labelled.orderBy(F.xxhash64("artifact_id"), "artifact_id").limit(fit_rows)).select("x", "label"))
     sizes = {r["label"]: r["count"] for r in fit.groupBy("label").count().collect()}  # at most two rows
     if len(sizes) < 2:
         scored = labelled.withColumn("probability", F.col("label"))
     else:
-        forest = RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=trees, maxDepth=depth, seed=17, featureSubsetStrategy="all", minInstancesPerNode=max(2, min(20, sum(sizes.values()) // 170)))
+        leaf = max(4, min(20, sum(sizes.values()) // 170))
+        forest = RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=trees, maxDepth=depth, seed=17, featureSubsetStrategy="all", maxBins=BINS, minInstancesPerNode=leaf)
         scored = forest.fit(fit).transform(ready.transform(labelled)).withColumn("probability", vector_to_array("probability")[1])
     own = ~(F.col("notice") | F.col("data") | (F.col("probability") >= least))
     return scored.select("artifact_id", "notice", "data", "probability", own.alias("handwritten"))
