@@ -31,15 +31,85 @@ def test_islands_and_complement(spark):
 def test_budget_choices(spark):
     df = spark.createDataFrame([("g", i, c) for i, c in enumerate([5, 9, 3, 4, 2])], "g string, i int, c int")
     assert [r.i for r in sequence.budget_skip(df, "g", "i", "c", 12).orderBy("i").collect()] == [0, 2, 3]
-    assert [r.i for r in sequence.budget_prefix(df, ["g"], [F.col("i")], F.col("c"), 14).orderBy("i").collect()] == [0, 1]
+    assert [r.i for r in sequence.budget_prefix(df, ["g"], ["i"], "c", 14).orderBy("i").collect()] == [0, 1]
     assert [r.i for r in sequence.head_tail(df, "g", "i", "c", 11).orderBy("i").collect()] == [0, 4]
 
 
 def test_tertiles_put_the_rest_last(spark):
-    df = sequence.tertiles(spark.range(100), [F.col("id")])
+    df = sequence.tertiles(spark.range(100).withColumn("g", F.lit(1)), ["id"], ["g"])
     assert {r.bin: r["count"] for r in df.groupBy("bin").count().collect()} == {"small": 33, "medium": 33, "large": 34}
 
 
+def test_ranks_of_a_hot_group(spark):
+    rng = random.Random(6)
+    rows = [("hot" if i % 3 else f"g{i % 7}", i, rng.randrange(9)) for i in rng.sample(range(500), 500)]
+    got = {r.i: (r.row_no, r.running) for r in sequence.ranked(spark.createDataFrame(rows, "g string, i int, v int"), ["g"], ["i"], "v").collect()}
+    place, total = {}, {}
+    for g, i, v in sorted(rows, key=lambda r: r[1]):
+        place[g], total[g] = place.get(g, 0) + 1, total.get(g, 0) + v
+        assert got[i] == (place[g], total[g])
+
+
+def test_document_tables(spark):
+    from weirstone.operators import documents as D
+
+    assert D.sections_of("# A\nx\n```\n# no\n```\n## B #\n# C") == [(1, 1, "A", 1, 5, "A"), (2, 2, "B", 6, 6, "A > B"), (3, 1, "C", 7, 7, "C")]
+    text = "Do:\n- one\n  - inner\n- two\n"
+    assert [text[a:b] for _, a, b in D.demands_of(text)] == ["one\n  - inner", "two"]
+    assert [x[0] for x in D.demands_of("Is it? Or not? Yes.")] == [1, 2] and D.demands_of("Only one?") == []
+    text = "a b\n\n```\nx\n\ny\n```\nc"
+    assert [(k, text[a:b]) for _, k, a, b in D.paragraphs_of(text)] == [("text", "a b"), ("code", "```\nx\n\ny\n```"), ("text", "c")]
+    assert D.patch_paths_of("*** Update File: a/b.py\n+++ b/c.js\t1\n+++ /dev/null") == [("update", "a/b.py"), ("update", "c.js")]
+    assert D.shell_paths_of("cat src/a.py -n") == [("ok", "src/a.py")] and D.shell_paths_of("cat $(x)") == [("refused", None)] and D.shell_paths_of("make x.py") == [("not_a_file_command", None)]
+    assert D.json_leaves_of('{"a/b": [1, {"c": "x"}]}') == [("/a~1b/0", "1"), ("/a~1b/1/c", "x")] and D.json_leaves_of("{") == []
+    assert D.delete_spans("abcdefghij", ["bc"]) == "adefghij" and D.delete_spans("abab", ["ab"]) is None and D.delete_spans("abc", ["ab"]) is None
+    assert D.map_lines("a\nb\nc", "x\na\nc") == {1: 2, 3: 3}
+    df = spark.createDataFrame([("see a.b( here", "a.b("), ("xa.b(", "a.b("), (None, "x")], "t string, n string")
+    assert [r[0] for r in df.select(D.mentions(F.col("t"), F.col("n"))).collect()] == [True, False, None]
+
+
+def test_reviews(spark):
+    from weirstone.operators import review as V
+
+    grid = spark.createDataFrame([("x",), ("y",)], "id string")
+    seen = spark.createDataFrame([("x", "a")], "id string, who string")
+    gaps = V.missing_cells([grid, spark.createDataFrame([("a",), ("b",)], "who string")], seen, ["id", "who"])
+    assert {tuple(r) for r in gaps.collect()} == {("x", "b"), ("y", "a"), ("y", "b")}
+    res = spark.createDataFrame([("x", "failed", 3), ("x", "complete", 4)], "id string, status string, tokens bigint")
+    assert {tuple(r) for r in V.progress(grid, res, ["id"]).collect()} == {("x", "complete", 7, 2), ("y", "pending", 0, 0)}
+    cf = spark.createDataFrame([(1, "alone", False), (1, "absent", True), (1, "original", True), (2, "alone", True)], "k int, setting string, passed boolean")
+    assert {r.k: r.verified for r in V.counterfactual(cf, "k").collect()} == {1: True, 2: False}
+    line = "k string, path string, line int"
+    why = V.attribution(spark.createDataFrame([("j", "a", 1), ("p", "a", 2), ("s", "b", 1)], line), spark.createDataFrame([("a", 1)], "path string, line int"), spark.createDataFrame([("a",)], "path string"), spark.createDataFrame([("j", False), ("p", False), ("s", False), ("u", False), ("ok", True)], "k string, correct boolean"), "k", ["path", "line"])
+    assert {r.k: r.cause for r in why.collect()} == {"j": "judgment", "p": "presentation", "s": "selection", "u": "unresolved", "ok": None}
+    t = {"batch": spark.createDataFrame([(1, "j1"), (2, "j2")], "sample_id int, job_key string"), "jobs": spark.createDataFrame([("j1", "s1"), ("j2", "s1")], "job_key string, source_key string"), "catalog": spark.createDataFrame([("s1", "train")], "id string, part string")}
+    route = V.inferred_route(t, "batch", "catalog")
+    assert route == [("batch", "job_key", "jobs", "job_key"), ("jobs", "source_key", "catalog", "id")]
+    assert {r.catalog_part for r in V.join_route(t, route).collect()} == {"train"}
+    c = V.claim_status(spark.createDataFrame([("e1", 1.0), ("e2", 1.0), ("e3", 2.0)], "e string, v double"), spark.createDataFrame([("e1", 1.0), ("e2", 1.0), ("e2", 3.0)], "e string, v double"), "e", "v")
+    assert {r.e: (r.status, r.agrees) for r in c.collect()} == {"e1": ("unique", True), "e2": ("ambiguous", None), "e3": ("unresolved", None)}
+    g = V.assemble({"gold": spark.createDataFrame([("kc_001", "q")], "id string, q string"), "label": spark.createDataFrame([("kc_001", "q")], "id string, q string")}, ["id"], ["q"])
+    assert g.count() == 1
+    with pytest.raises(Exception, match="differs"):
+        V.assemble({"gold": spark.createDataFrame([("kc_001", "q")], "id string, q string"), "label": spark.createDataFrame([("kc_001", "r")], "id string, q string")}, ["id"], ["q"]).collect()
+    cov = V.greedy_coverage(spark.createDataFrame([("g", "a", 1, 1.0), ("g", "a", 2, 1.0), ("g", "b", 2, 1.0), ("g", "c", 3, 1.0)], "g string, i string, m int, w double"), "g", "i", "m", "w")
+    assert [r.i for r in cov.orderBy("place").collect()] == ["a", "c", "b"]
+    nf = V.next_fit(spark.createDataFrame([("g", i, s) for i, s in enumerate([4, 4, 4, 20, 1])], "g string, i int, s int"), "g", "i", "s", 10)
+    assert [r.shard_no for r in nf.orderBy("i").collect()] == [1, 1, 2, 3, 4]
+    texts = spark.createDataFrame([("r/a.md",), ("r/b.md",), ("x/c.md",), ("y/c.md",)], "path string")
+    links = spark.createDataFrame([("r/a.md", "b.md"), ("r/b.md", "c.md"), ("r/b.md", "x/c.md")], "path string, mention string")
+    fc = {r.node: (r.depth, r.ambiguous_links) for r in V.file_closure(texts, links, spark.createDataFrame([("r/a.md",)], "path string")).collect()}
+    assert fc == {"r/a.md": (0, 0), "r/b.md": (1, 1), "x/c.md": (2, 0)}
+
+
+def test_backward_slices():
+    from weirstone.operators import slicing
+
+    text = "def f(a):\n    x = a + 1\n    y = 2\n    if x:\n        z = y\n    else:\n        z = x\n    w = 9\n    print(w)\n    return z\n"
+    got = {(k, n): d for _, k, n, d, _, _ in slicing.anchors_of(text)}
+    assert got["return", 10] == [2, 3, 5, 7] and got["output", 9] == [8]
+
+
 def test_first_rule_treats_null_as_false(spark):
     r = relational.first_rule([("a", F.col("x") > 1), ("b", F.col("x").isNull())], "c")
     assert [x.r for x in spark.createDataFrame([(2,), (None,), (0,)], "x int").select(r.alias("r")).collect()] == ["a", "b", "c"]

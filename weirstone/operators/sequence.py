@@ -6,6 +6,26 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import keep
+
+
+def ranked(df: DataFrame, by: list[str], order: list[str], value: str | None = None) -> DataFrame:
+    """Adds row_no and, for a value, running: the place and the running sum of each row in its group.
+
+    A group may hold any share of the rows: rows are range-partitioned by group and order,
+    counted within each range, and the ranges before a row are added as one number. by and
+    order are not null and order is unique within by, as a window over the group would need too."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = keep(df.repartitionByRange(parts, *by, *order).withColumn("_range", F.spark_partition_id()))
+    v = F.lit(0) if value is None else F.coalesce(F.col(value), F.lit(0))
+    sums = x.groupBy("_range", *by).agg(F.count("*").alias("_n"), F.sum(v).alias("_v"))
+    w = Window.partitionBy(*by).orderBy("_range")  # at most one row a range
+    before = sums.select("_range", *by, (F.sum("_n").over(w) - F.col("_n")).alias("_n"), (F.sum("_v").over(w) - F.col("_v")).alias("_v"))
+    local = Window.partitionBy("_range", *by).orderBy(*order)
+    y = x.withColumns({"row_no": F.row_number().over(local), "running": F.sum(v).over(local.rowsBetween(Window.unboundedPreceding, 0))}).join(before, ["_range", *by])
+    out = y.withColumns({"row_no": F.col("row_no") + F.col("_n"), "running": F.col("running") + F.col("_v")}).drop("_range", "_n", "_v")
+    return out if value is not None else out.drop("running")
+
 
 def asof_windows(df: DataFrame, by: list[str], order: str, is_target: Column, counted: dict[str, Column]) -> DataFrame:
     """For every target row: the order of the target before it (null for the first) and, of the rows
@@ -80,15 +100,14 @@ def line_chunks(df: DataFrame, text: str, keep: list[str], size: int) -> DataFra
     return out.select(*keep, (F.col("_i") + 1).alias("chunk_no"), "line_start", F.least(F.col("line_start") + size - 1, F.col("_n")).alias("line_end"))
 
 
-def round_robin(df: DataFrame, group: str, order: list[Column]) -> DataFrame:
+def round_robin(df: DataFrame, group: str, order: list[str]) -> DataFrame:
     """k: the row's place in its group; the k-th rows of all groups come before the next ones."""
-    return df.withColumn("k", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    return ranked(df, [group], order).withColumnRenamed("row_no", "k")
 
 
-def budget_prefix(df: DataFrame, by: list[str], order: list[Column], cost: Column, budget: int) -> DataFrame:
+def budget_prefix(df: DataFrame, by: list[str], order: list[str], cost: str, budget: int) -> DataFrame:
     """The rows of each group, in order, whose running cost stays within the budget."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("running_cost", F.sum(cost).over(w)).where(F.col("running_cost") <= budget)
+    return ranked(df, by, order, cost).where(F.col("running") <= budget).withColumnRenamed("running", "running_cost").drop("row_no")
 
 
 def budget_skip(df: DataFrame, by: str, order: str, cost: str, budget: int) -> DataFrame:
@@ -105,11 +124,11 @@ def budget_skip(df: DataFrame, by: str, order: str, cost: str, budget: int) -> D
     return df.groupBy(by).applyInPandas(choose, df.schema)
 
 
-def tertiles(df: DataFrame, order: list[Column], by: list[str] = ()) -> DataFrame:
+def tertiles(df: DataFrame, order: list[str], by: list[str]) -> DataFrame:
     """small, medium and large by rank i among n: i < n div 3, i < 2n div 3, else."""
-    i = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
-    n = F.count("*").over(Window.partitionBy(*by))
-    return df.withColumns({"_i": i, "_n": n}).withColumn("bin", F.when(F.col("_i") < F.expr("_n div 3"), "small").when(F.col("_i") < F.expr("2 * _n div 3"), "medium").otherwise("large")).drop("_i", "_n")
+    n = df.groupBy(*by).agg(F.count("*").alias("_m"))
+    x = ranked(df, by, order).join(n, by).withColumn("_i", F.col("row_no") - 1)
+    return x.withColumn("bin", F.when(F.col("_i") < F.expr("_m div 3"), "small").when(F.col("_i") < F.expr("2 * _m div 3"), "medium").otherwise("large")).drop("_i", "_m", "row_no")
 
 
 def capped(df: DataFrame, by: list[str], order: list[Column], cap: int) -> DataFrame:

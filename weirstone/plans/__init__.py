@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import analysis, etl, nested, ordered, sources
+from . import analysis, documents, etl, nested, ordered, sources
 
-_PARTS = [etl, ordered, analysis, sources, nested]
+_PARTS = [etl, ordered, analysis, documents, sources, nested]
 
 
 def queries():

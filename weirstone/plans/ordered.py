@@ -21,7 +21,7 @@ def asof_previous_event(spark, d):
 
 def range_window_counts(spark, d):
     e = table(spark, d, "events").select("event_id", "user_id", "ts", "event_type")
-    ranked = S.round_robin(e, "user_id", [F.col("ts"), F.col("event_id")])
+    ranked = S.round_robin(e, "user_id", ["ts", "event_id"])
     w = S.asof_windows(ranked, ["user_id"], "k", F.col("event_type") == "purchase", {"clicks": F.col("event_type") == "click", "errors": F.col("event_type") == "error"})
     return w.select("event_id", "user_id", F.col("start_at").cast("bigint").alias("start_at"), "clicks", "errors")
 
@@ -69,23 +69,23 @@ def chunk_lines(spark, d):
 
 def round_robin_sources(spark, d):
     x = table(spark, d, "documents").where("source is not null").select("doc_id", "source")
-    return S.round_robin(x, "source", [F.col("doc_id")]).select("doc_id", "source", F.col("k").cast("bigint").alias("k"))
+    return S.round_robin(x, "source", ["doc_id"]).select("doc_id", "source", F.col("k").cast("bigint").alias("k"))
 
 
 def lane_interleave(spark, d):
     x = table(spark, d, "documents").where("source is not null").select("doc_id", "source")
-    r = S.round_robin(x, "source", [F.col("doc_id")])
+    r = S.round_robin(x, "source", ["doc_id"])
     return r.select("doc_id", "source", ((F.col("k") - 1) % 16).cast("bigint").alias("lane_row"), F.expr("(k - 1) div 16").cast("bigint").alias("lane"))
 
 
 def budget_prefix(spark, d):
     x = table(spark, d, "documents").where("source is not null").select("doc_id", "source", T.token_estimate(F.col("text")).alias("tokens"))
-    return S.budget_prefix(x, ["source"], [F.col("doc_id")], F.col("tokens"), 3072).select("doc_id", "source", "tokens", "running_cost")
+    return S.budget_prefix(x, ["source"], ["doc_id"], "tokens", 3072).select("doc_id", "source", "tokens", "running_cost")
 
 
 def budget_skip(spark, d):
-    x = table(spark, d, "documents").where("source is not null and text is not null").select("doc_id", "source", T.token_estimate(F.col("text")).alias("tokens"))
-    return S.budget_skip(x, "source", "doc_id", "tokens", 3072)
+    e = trace(spark, d, "event_pk", "input_id", "input_order", "content").select("event_pk", "input_id", "input_order", T.token_estimate(F.col("content")).alias("tokens"))
+    return S.budget_skip(e, "input_id", "input_order", "tokens", 3072)
 
 
 def head_tail_view(spark, d):
@@ -95,7 +95,7 @@ def head_tail_view(spark, d):
 
 def tertile_bins(spark, d):
     x = table(spark, d, "documents").where("n_chars is not null").select("doc_id", "n_chars", "source").where("source is not null")
-    return S.tertiles(x, [F.col("n_chars"), F.col("doc_id")], ["source"]).groupBy("source", "bin").agg(F.count("*").alias("documents"), F.max("n_chars").alias("most_chars"))
+    return S.tertiles(x, ["n_chars", "doc_id"], ["source"]).groupBy("source", "bin").agg(F.count("*").alias("documents"), F.max("n_chars").alias("most_chars"))
 
 
 def capped_per_repository(spark, d):
@@ -122,7 +122,7 @@ def case_event_order(spark, d):
     e = trace(spark, d, "event_pk", "input_id", "turn_number", "event_type")
     rank = F.when(F.col("event_type") == "system", 0).when(F.col("event_type") == "user_prompt", 1).when(F.col("event_type") == "assistant_response", 2).otherwise(3)
     e = e.withColumn("type_rank", rank)
-    return S.round_robin(e, "input_id", [F.col("turn_number"), F.col("type_rank"), F.col("event_pk")]).select("event_pk", F.col("k").cast("bigint").alias("place"))
+    return S.round_robin(e, "input_id", ["turn_number", "type_rank", "event_pk"]).select("event_pk", F.col("k").cast("bigint").alias("place"))
 
 
 def group_hints(spark, d):
