@@ -241,3 +241,37 @@ def test_files(spark, tmp_path):
     d1 = files.tree_digest(spark.createDataFrame([("r", "a", "1"), ("r", "b", "2")], "g string, path string, content string"), ["g"]).first().digest
     d2 = files.tree_digest(spark.createDataFrame([("r", "b", "2"), ("r", "a", "1")], "g string, path string, content string"), ["g"]).first().digest
     assert d1 == d2
+
+
+def test_retrieval(spark):
+    from weirstone.operators import retrieval as V
+
+    files = spark.createDataFrame([("i", p) for p in ("docs2/docusaurus.config.js", "docs2/src/a.js", "src/b.py", "tests/c.py", "setup.py", "readme.md", "x/fixtures/d.json", "conf.yml", "pic.png")], "input_id string, path string")
+    kept = V.without_sites(files, ["input_id"], "path")
+    got = {r.path: r.k for r in kept.select("path", V.evidence_class(F.col("path")).alias("k")).collect()}
+    assert got == {"src/b.py": "implementation", "tests/c.py": "test", "setup.py": "build_metadata", "readme.md": "documentation", "x/fixtures/d.json": "fixture", "conf.yml": "configuration", "pic.png": None}
+    rows = [("i", 1, 1, "assistant_response", "we keep the old parser for now, yes"), ("i", 2, 2, "user_prompt", 'you said "we keep  the old parser for now" - why?'), ("i", 3, 3, "user_prompt", '"nowhere_to_be_found_single_token"')]
+    q = V.quote_references(spark.createDataFrame(rows, "input_id string, o int, t int, k string, c string"), "input_id", "o", "t", "k", "c")
+    assert [(r.task, r.owner) for r in q.collect()] == [(2, 1)]
+    s = spark.createDataFrame([("a", "x", 1), ("a", "y", 2), ("b", "x", 3), ("b", "y", 3), ("c", "x", 0)], "g string, n string, s int")
+    assert {(r.g, r.n) for r in V.unique_best(s, ["g"], "s").collect()} == {("a", "y")}
+    e = V.edge_behaviors(spark.createDataFrame([("e1", ["a", "b"])], "e string, ev array<string>"), spark.createDataFrame([("b2", ["b"]), ("b1", ["a", "b"]), ("b3", ["z"])], "b string, ev array<string>"), "e", "b", "ev")
+    assert e.first().behaviors == ["b1", "b2"]
+    w = V.state_edges(spark.createDataFrame([("s", "f"), ("s", "f"), ("s", "g")], "k string, sym string"), spark.createDataFrame([("s", "g")], "k string, sym string"), ["k"], "sym")
+    assert {(r.source, r.target) for r in w.collect()} == {("f", "g")}
+    t = V.sections_in_turn(spark.createDataFrame([("d", "s1", "a", 1), ("d", "s1", "b", 2), ("d", "s2", "a", 1), ("d", "s2", "c", 2)], "d string, s string, x string, o int"), "d", "s", "x", "o")
+    assert [r.x for r in t.orderBy("place").collect()] == ["a", "c", "b"]
+    c = V.cited_lines(spark.createDataFrame([("p", 2, 3), ("p", 3, 9), ("q", 1, 1)], "path string, line_start int, line_end int"), spark.createDataFrame([("p", "a\nb\nc")], "path string, content string"), ["path"])
+    assert {(r.path, r.line_start): (r.state, r.excerpt) for r in c.collect()} == {("p", 2): ("resolved", "b\nc"), ("p", 3): ("missing", None), ("q", 1): ("missing", None)}
+    r = V.resolve_quotes(spark.createDataFrame([("p", "b\nc"), ("p", "x"), ("p", "a")], "path string, q string"), spark.createDataFrame([("p", "a b\r\nc a")], "path string, t string"), ["path"], "q", "t")
+    assert {x.q: (x.state, x.char_start) for x in r.collect()} == {"b\nc": ("unique", 2), "x": ("absent", None), "a": ("ambiguous", None)}
+    assert V.is_subsequence([1, 3], [1, 2, 3]) and not V.is_subsequence([3, 1], [1, 2, 3])
+    assert V.identity(["a", "b"]) != V.identity(["ab"]) and V.identity([]) == "00000000"
+    ids = spark.createDataFrame([("--a b/c.d--",)], "t string").select(V.reference_id(F.col("t")).alias("r")).first().r
+    assert ids == "a_b_c.d"
+    p = V.packed_reads(spark.createDataFrame([("g", 1, 20), ("g", 2, 1), ("h", 1, 4), ("h", 2, 7), ("h", 3, 1)], "g string, o int, c int"), ["g"], ["o"], "c", 10)
+    assert {(x.g, x.o): x.state for x in p.collect()} == {("g", 1): "oversize", ("g", 2): "deferred", ("h", 1): "shown", ("h", 2): "deferred", ("h", 3): "deferred"}
+    u = V.reuse(spark.createDataFrame([("a", "1"), ("b", "2")], "p string, c string"), spark.createDataFrame([("z", "1")], "p string, c string"), "c")
+    assert {x.p: x.reused for x in u.collect()} == {"a": True, "b": False}
+    n = V.windows_of_lines(spark.createDataFrame([("k", 100), ("l", 5)], "k string, n int"), "k", "n", 50, 10)
+    assert sorted((x.k, x.line_start, x.line_end) for x in n.collect()) == [("k", 1, 50), ("k", 41, 90), ("k", 81, 100), ("l", 1, 5)]

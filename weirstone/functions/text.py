@@ -15,10 +15,17 @@ BINARY = ".7z .avi .bmp .bz2 .class .db .dll .dylib .eot .exe .gif .gz .ico .jar
 FOLDERS = (
     ".git .github .circleci .gitlab .travis .ci ci .buildkite .azure-pipelines .kokoro kokoro appveyor .idea .vscode __pycache__ test tests testing __tests__ spec specs "
     "docs doc documentation docs_src docs-source docs_build docs-build benchmarks benchmark vendor gold golden patch patches third_party node_modules dist build coverage htmlcov "
-    "testdata test_data test-data test_resources test-resources"
+    "testdata test_data test-data test_resources test-resources test_handcalcs test_module utest stresstest locking_tests language_agnostic_test"
+).split()
+NAMES = (
+    "conftest.py noxfile.py pytest.ini runtests runtests.py run_tests run_tests.py run_tests.sh test test.py test.sh test.ps1 install_test_deps.sh docusaurus.config.js docusaurus.config.ts sidebars.js sidebars.ts gold.py "
+    ".editorconfig .pre-commit-config.yaml .pre-commit-config.yml package-lock.json yarn.lock pnpm-lock.yaml cargo.lock composer.lock go.sum pipfile.lock .travis.yml .travis.yaml .gitlab-ci.yml .gitlab-ci.yaml "
+    "appveyor.yml appveyor.yaml azure-pipelines.yml azure-pipelines.yaml circle.yml codecov.yml .codecov.yml mkdocs.yml mkdocs.yaml"
 ).split()
 TEST_NAME = r"^(?:test_.+|_?testing|.+[_-]tests?|.+\.test|.+\.spec)(?:\.[^.]+)?$"
+TEST_NEEDS = r"^requirements[-_.]tests?(?:\.[^.]+)?$"
 TEMPLATE_MARK = r"\{\{|\{%|<%|\$\{[^}]+\}"
+#: An e-mail address; a fixed value.
 EMAIL = r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"
 #: Words that carry no topic; fixed values.
 STOP = (
@@ -55,7 +62,7 @@ def file_kind(path: Column, content: Column) -> Column:
     suffix = F.regexp_extract(name, r"^.+(\.[^.]+)$", 1)
     manifest = (name.startswith("requirements") & suffix.isin("", ".in", ".txt")) | F.array_contains(folders, "requirements")
     head = F.coalesce(F.substring(content, 1, 4096), F.lit(""))
-    out = F.when(F.arrays_overlap(folders, F.array(*map(F.lit, FOLDERS))), None).when(name.rlike(TEST_NAME), None)
+    out = F.when(F.arrays_overlap(folders, F.array(*map(F.lit, FOLDERS))), None).when(name.isin(NAMES) | name.rlike(TEST_NAME) | name.rlike(TEST_NEEDS), None)
     out = out.when(suffix.isin(BINARY) | (suffix.isin(DOCUMENT) & ~manifest) | head.contains("\x00"), None)
     out = out.when(suffix.isin(SOURCE), "source").when(suffix.isin(TEMPLATE), "runtime_template")
     page = F.array_contains(folders, "templates") | F.array_contains(folders, "views") | head.rlike(TEMPLATE_MARK)

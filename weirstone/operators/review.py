@@ -28,8 +28,9 @@ def assemble(parts: dict[str, DataFrame], keys: list[str], agree: list[str]) ->
 def missing_cells(expected: list[DataFrame], seen: DataFrame, keys: list[str]) -> DataFrame:
     """Cells of the grid of the given one-column tables of bounded size (reviewers, arms, ...) and a long one that have no row."""
     grid = expected[0]
-    for side in expected[1:]:
-        grid = grid.join(F.broadcast(side), how="cross")  # sides are lists of names
+    for side in expected[1:]:  # lists of names
+        names = [r[0] for r in side.distinct().orderBy(side.columns[0]).collect()]
+        grid = grid.withColumn(side.columns[0], F.explode(F.array(*map(F.lit, names))))
     return grid.join(seen.select(*keys).distinct(), keys, "left_anti")
 
 

@@ -59,4 +59,7 @@ def keep(df: DataFrame) -> DataFrame:
     """Like cut, for wide or long tables: a compressed table written to the shared folder and read again."""
     path = f"{_shared_folder(df)}/{uuid.uuid4().hex}.parquet"
     df.write.option("compression", "zstd").parquet(path)
+    jvm, conf = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(conf).deleteOnExit(place)
     return df.sparkSession.read.schema(df.schema).parquet(path)
