@@ -213,7 +213,7 @@ def test_pack_operator(spark):
             mine = sorted((r.token_start, r.token_end, r.n_parts) for r in rows if r.container_kind == kind and r.doc_id == d)
             assert mine[0][0] == 0 and all(a[1] == b[0] for a, b in zip(mine, mine[1:]))
             assert len(mine) == 1 or mine[-1][1] > cap
-    assert packing.pack(docs.limit(0), caps).count() == 0
+    assert packing.pack(docs.limit(0), caps).count() == 0 and packing.pack(docs, caps.limit(0)).count() == 0
 
 
 def test_mixing(spark):

@@ -80,6 +80,8 @@ def pack(documents: DataFrame, capacities: DataFrame, vocabulary: str = VOCABULA
     total = sizes.agg(F.sum("n_tokens")).first()[0] or 0
     shards = max(1, -(-total // shard_tokens))
     kinds = {r["container_kind"]: r["capacity_tokens"] for r in capacities.where("capacity_tokens > 0 and container_kind is not null").collect()}  # a few
+    if not kinds:
+        return documents.sparkSession.createDataFrame([], _SCHEMA)
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("container_kind"), F.lit(int(c)).cast("bigint").alias("capacity")) for k, c in sorted(kinds.items())]))
     dealt = sizes.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards))).select("doc_id", "n_tokens", "shard", each.alias("k")).select("doc_id", "n_tokens", "shard", "k.*")
     return dealt.groupBy("container_kind", "shard", "capacity").applyInPandas(_pack, _SCHEMA)
