@@ -275,3 +275,29 @@ def test_retrieval(spark):
     assert {x.p: x.reused for x in u.collect()} == {"a": True, "b": False}
     n = V.windows_of_lines(spark.createDataFrame([("k", 100), ("l", 5)], "k string, n int"), "k", "n", 50, 10)
     assert sorted((x.k, x.line_start, x.line_end) for x in n.collect()) == [("k", 1, 50), ("k", 41, 90), ("k", 81, 100), ("l", 1, 5)]
+
+
+def test_more_retrieval_and_files(spark, tmp_path):
+    from weirstone.operators import retrieval as V
+
+    p = spark.createDataFrame([("<system-reminder> x",), ("Tool loaded.",), ("please look",), (None,)], "t string")
+    assert [r[0] for r in p.select(V.is_system_prompt(F.col("t"))).collect()] == [True, True, False, False]
+    g, j = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "k string"), spark.createDataFrame([("a", 1.0), ("b", 0.5), ("c", 0.0), ("b", 0.2)], "k string, s double")
+    assert {r.k: r.outcome for r in V.screen(g, j, ["k"], "s").collect()} == {"a": "full", "b": "partial", "c": "unmatched", "d": "unknown"}
+    req = spark.createDataFrame([("g", "r", ["x.py", "f_g"], ["x.py"], ["verify"])], "g string, requirement_id string, objects array<string>, paths array<string>, operations array<string>")
+    ev = [("g", "e1", "tool_call", ["x.py"], ["x.py"], ["verify"]), ("g", "e2", "tool_call", ["x.py"], ["x.py"], ["inspect"]), ("g", "e3", "assistant", ["f_g"], ["y.py"], []), ("g", "e4", "assistant", ["f_g"], [], []), ("h", "e5", "assistant", ["f_g"], [], [])]
+    got = V.matched_events(req, spark.createDataFrame(ev, "g string, event_id string, kind string, objects array<string>, paths array<string>, operations array<string>"), "g")
+    assert {r.event_id for r in got.collect()} == {"e1", "e4"}
+    edges = spark.createDataFrame([("a", "b", "calls"), ("a", "b", "calls")], "source string, target string, relation string")
+    assert {(r.node, r.side) for r in V.relations_by_node(edges).collect()} == {("a", "out"), ("b", "in")}
+    view = V.scope_view(spark.createDataFrame([("i", 1, 10), ("i", 2, 12), ("i", 1, 11)], "i string, t int, o int"), "i", "t", "o")
+    assert {r.t: (r.events, r.scope) for r in view.collect()} == {1: ([10, 11], "history"), 2: ([12], "current")}
+    assert files.delimited_rows('a,b\n1,"x\ny"\n\n2,z\n') == [(1, 2, 3, {"a": "1", "b": "x\ny"}), (2, 5, 5, {"a": "2", "b": "z"})]
+    t = files.table_rows(spark.createDataFrame([("p", "a,a\n1,2"), ("q", "a,b\n1,2"), ("r", None)], "path string, content string")).collect()
+    assert [(r.path, r.fields) for r in t] == [("q", {"a": "1", "b": "2"})]
+    lines = spark.createDataFrame([('{"record_type": "claim"}',), ('{"record_type": "x"}',), ("{",)], "l string")
+    assert files.typed_records(lines, "l", ["claim", "experiment"]).count() == 1
+    (tmp_path / "r" / "1").mkdir(parents=True)
+    (tmp_path / "r" / "1" / "result.json").write_text('{\n"score": 0.5}')
+    r = files.read_results(spark, str(tmp_path / "r"), "score double").first()
+    assert r.score == 0.5 and r.result_path.endswith("1/result.json")

@@ -31,3 +31,14 @@ def test_stream_agrees_with_replay(spark, tmp_path):
         q = L.append(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
         q.awaitTermination()
     assert _count(spark.read.parquet(str(tmp_path / "out")).collect()) == WANT
+
+
+def test_turns(spark):
+    got = {(r.session_id, r.turn_number): (r.number, r.before_cutoff, r.after_cutoff, r.events) for r in L.turns(_frame(spark, ROWS)).collect()}
+    assert got == {("s", 1): (1, 0, 2, 2), ("s", 2): (2, 2, None, 1), ("t", 1): (1, 0, None, 1)}
+
+
+def test_active_sessions(spark):
+    rows = [("u", "a", 0, False), ("u", "a", 1, True), ("u", "a", 2, False), ("u", "b", 3, True), ("u", "a", 4, False), ("u", "a", 5, True), ("v", "a", 9, True)]
+    df = spark.createDataFrame(rows, "user_id string, session_id string, at int, starts boolean")
+    assert [r.active for r in L.active_sessions(df).orderBy("at").collect()] == [False, True, True, True, False, True, True]

@@ -54,6 +54,53 @@ def is_trigger(line: Column) -> Column:
     return F.coalesce(line.rlike(TRIGGER), F.lit(False))
 
 
+#: How prompts begin that no person wrote; a fixed value.
+SYSTEM_PROMPT = (
+    r"(?is)^\s*(?:<(?:task-notification|teammate-message|system-reminder|tool-notification|command-message|command-name|command-args)\b|(?:\[Request interrupted by user for tool use\]|Tool loaded\.)\s*$"
+    r"|Base directory for this skill:\s*|This session is being continued from a previous conversation that ran out of context\.)"
+)
+
+
+def is_system_prompt(text: Column) -> Column:
+    return F.coalesce(text.rlike(SYSTEM_PROMPT), F.lit(False))
+
+
+def screen(gold: DataFrame, judged: DataFrame, keys: list[str], score: str) -> DataFrame:
+    """full, partial, unmatched (a score of 0) or unknown (no judgment) for every gold row."""
+    j = gold.join(judged.groupBy(*keys).agg(F.max(score).alias("_s")), keys, "left")
+    out = F.when(F.col("_s").isNull(), "unknown").when(F.col("_s") >= 1, "full").when(F.col("_s") > 0, "partial").otherwise("unmatched")
+    return j.withColumn("outcome", out).drop("_s")
+
+
+def matched_events(requirements: DataFrame, events: DataFrame, by: str) -> DataFrame:
+    """Requirement-event pairs of a group that share an object, unless both name paths and none in common, or the
+    requirement names operations and a tool call does another one. Columns of both: objects, paths, operations."""
+    r, e = requirements.alias("r"), events.alias("e")
+    some = lambda a, b: F.arrays_overlap(F.col(a), F.col(b))
+    paths = (F.size("r.paths") == 0) | (F.size("e.paths") == 0) | some("r.paths", "e.paths")
+    ops = (F.size("r.operations") == 0) | (F.col("e.kind") != "tool_call") | some("r.operations", "e.operations")
+    hit = r.join(e, F.col(f"r.{by}") == F.col(f"e.{by}")).where(some("r.objects", "e.objects") & paths & ops)
+    return hit.select(F.col(f"r.{by}").alias(by), "requirement_id", "event_id")
+
+
+def category_examples(df: DataFrame, by: list[str], category: str, example: str) -> DataFrame:
+    """Rows of each category with their least example."""
+    return df.groupBy(*by, category).agg(F.count("*").alias("n"), F.min(example).alias("example"))
+
+
+def relations_by_node(edges: DataFrame) -> DataFrame:
+    """(node, other, relation, side): every edge at both its ends, once. edges: source, target, relation."""
+    out = edges.select(F.col("source").alias("node"), F.col("target").alias("other"), "relation", F.lit("out").alias("side"))
+    return out.unionByName(edges.select(F.col("target").alias("node"), F.col("source").alias("other"), "relation", F.lit("in").alias("side"))).distinct()
+
+
+def scope_view(assigned: DataFrame, by: str, task: str, order: str, current: int | None = None) -> DataFrame:
+    """Each input's tasks as ordered event lists, marked current (the last task, or a given one) or history."""
+    last = F.max(task).over(Window.partitionBy(by)) if current is None else F.lit(current)
+    x = assigned.withColumn("_cur", last)
+    return x.groupBy(by, task).agg(F.sort_array(F.collect_list(order)).alias("events"), F.when(F.first("_cur") == F.col(task), "current").otherwise("history").alias("scope"))
+
+
 def unique_best(df: DataFrame, by: list[str], score: str) -> DataFrame:
     """The best row of each group if it is the only one of its score and above 0."""
     w = Window.partitionBy(*by)

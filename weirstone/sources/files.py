@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import re
 
 import pandas as pd
@@ -46,6 +47,50 @@ def read_delimited(spark: SparkSession, path: str, sep: str = ",", most_columns:
     return df
 
 
+def delimited_rows(text: str, sep: str = ",", most_columns: int = 32) -> list[tuple[int, int, int, dict]]:
+    """(row number, first line, last line, values) of a delimited text: quoted fields may span lines, whose numbers are kept."""
+    lines, out, at, header = text.split("\n"), [], 0, None
+    reader = csv.reader((x + "\n" for x in lines), delimiter=sep)
+    for values in reader:
+        first, at = at + 1, reader.line_num
+        if not values:
+            continue
+        if header is None:
+            header = values
+            if len(header) > most_columns or len(set(header)) < len(header):
+                raise ValueError("header")
+        else:
+            out.append((len(out) + 1, first, at, dict(zip(header, values))))
+    return out
+
+
+def table_rows(files: DataFrame, sep: str = ",") -> DataFrame:
+    """The rows of delimited files (path, content) with their physical lines; a file without a usable header gives none."""
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for path, text in zip(b.path, b.content):
+                try:
+                    rows += [(path, *r) for r in delimited_rows(text or "", sep)]
+                except (ValueError, csv.Error):
+                    continue
+            yield pd.DataFrame(rows, columns=["path", "row_no", "line_start", "line_end", "fields"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, row_no bigint, line_start bigint, line_end bigint, fields map<string,string>")
+
+
+def typed_records(lines: DataFrame, column: str, types: list[str]) -> DataFrame:
+    """JSON objects of the given record types with their type; other lines give none."""
+    kind = F.when(F.try_parse_json(column).isNotNull(), F.get_json_object(column, "$.record_type"))
+    return lines.withColumn("record_type", kind).where(F.col("record_type").isin(types))
+
+
+def read_results(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    """JSON results of a folder tree, one object a file, with the file's path."""
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").option("multiLine", "true").json(root).withColumn("result_path", F.col("_metadata.file_path"))
+
+
 def read_tree(spark: SparkSession, root: str, least_text: float = 0.9) -> DataFrame:
     """Every file below a folder: path relative to it, length, content as text, and a reason where it is left out (binary, not UTF-8)."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)

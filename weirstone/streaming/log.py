@@ -67,3 +67,25 @@ def append(stream: DataFrame) -> DataFrame:
 def windowed_counts(stream: DataFrame, at: str, by: list[str], size: str = "10 minutes", late: str = "1 hour") -> DataFrame:
     """An addition: counts in tumbling windows with a watermark."""
     return stream.withWatermark(at, late).groupBy(F.window(at, size), *by).agg(F.count("*").alias("events"))
+
+
+def turns(log: DataFrame) -> DataFrame:
+    """One row a recorded turn: its number in the session, the sequence numbers before its first event (before_cutoff)
+    and of its closing one (after_cutoff, null while it is open), and its accepted events.
+
+    log as for ``replay``; the sequence of a session counts its accepted events in order."""
+    a = log.withColumn("_k", F.row_number().over(Window.partitionBy("session_id", "turn_number", "event_key").orderBy("at"))).where("_k = 1").drop("_k")
+    closed = Window.partitionBy("session_id", "turn_number").orderBy("at", "event_key").rowsBetween(Window.unboundedPreceding, -1)
+    a = a.withColumn("_c", F.coalesce(F.bool_or("closes").over(closed), F.lit(False))).where("not _c")
+    a = a.withColumn("seq", F.row_number().over(Window.partitionBy("session_id").orderBy("at", "turn_number", "event_key")))
+    g = a.groupBy("session_id", "turn_number").agg(F.min("seq").alias("_first"), F.max(F.when(F.col("closes"), F.col("seq"))).alias("after_cutoff"), F.count("*").alias("events"))
+    number = F.row_number().over(Window.partitionBy("session_id").orderBy("_first"))
+    return g.select("session_id", "turn_number", number.alias("number"), (F.col("_first") - 1).alias("before_cutoff"), "after_cutoff", "events")
+
+
+def active_sessions(log: DataFrame, user: str = "user_id") -> DataFrame:
+    """Rows with whether their session is its user's active one: the one started last, by rows with starts = true, up to
+    then. A switch leaves the old session inactive until it is started again; rows before any start are inactive."""
+    w = Window.partitionBy(user).orderBy("at", F.col("starts").desc(), "session_id").rowsBetween(Window.unboundedPreceding, 0)
+    now = F.last(F.when(F.col("starts"), F.col("session_id")), ignorenulls=True).over(w)
+    return log.withColumn("active", F.coalesce(now == F.col("session_id"), F.lit(False)))
