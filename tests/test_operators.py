@@ -148,6 +148,19 @@ def test_set_pairs_against_brute_force(spark):
     assert got == want
 
 
+def test_equal_sets_keep_their_members(spark):
+    near = {f"x{i}" for i in range(60)}
+    sets = {"c": {"p", "q"}, "a": {"p", "q"}, "b": {"p", "q"}, "d": {"p"}, "n1": near, "n2": near | {"y"}, "n3": near, "e1": {None}, "e2": {None}}
+    df = spark.createDataFrame([(k, x) for k, v in sets.items() for x in v] + [("a", "p"), ("a", None), (None, "p")], "k string, x string")
+    full = {k: v - {None} for k, v in sets.items()}
+    alike = lambda a, b: not full[a] | full[b] or len(full[a] & full[b]) / len(full[a] | full[b]) >= 0.98
+    rows = {r.k: r for r in scoring.set_members(df, "k", "x", 0.98).collect()}
+    assert {k: r.links for k, r in rows.items()} == {a: sum(alike(a, b) for b in sets if b != a) for a in sets}
+    assert {k: (r.representative, r.members) for k, r in rows.items()} == {"a": ("a", 3), "b": ("a", 3), "c": ("a", 3), "d": ("d", 1), "n1": ("n1", 2), "n2": ("n2", 1), "n3": ("n1", 2), "e1": ("e1", 2), "e2": ("e1", 2)}
+    links = sorted((r.left_id, r.right_id, r.similarity) for r in scoring.set_links(df, "k", "x", 0.98).collect())
+    assert links == [("a", "b", 1.0), ("a", "c", 1.0), ("e1", "e2", 1.0), ("n1", "n2", 0.983607), ("n1", "n3", 1.0)]
+
+
 def test_components_and_bfs(spark):
     rng = random.Random(5)
     edges = [(f"n{rng.randrange(60):02d}", f"n{rng.randrange(60):02d}") for _ in range(45)] + [("hub", f"h{i}") for i in range(40)] + [(f"p{i:02d}", f"p{i + 1:02d}") for i in range(30)]

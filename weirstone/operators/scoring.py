@@ -108,14 +108,27 @@ def permute(weights: np.ndarray) -> tuple[int, ...]:
     return max(permutations(range(weights.shape[1]), weights.shape[0]), key=lambda p: (round(sum(weights[i, j] for i, j in enumerate(p)), 9), [-x for x in p]))
 
 
+def set_classes(items: DataFrame, key: str, item: str) -> DataFrame:
+    """One row per class of records with equal sets: class_id, representative (the least key), members and the set.
+
+    A null item adds nothing to its record's set, so a record of nulls alone has the empty set; null keys give none."""
+    return _class_of(items, key, item).groupBy("class_id").agg(F.min(key).alias("representative"), F.count("*").alias("members"), F.first("_items").alias("_items"))
+
+
+def _class_of(items: DataFrame, key: str, item: str) -> DataFrame:
+    sets = items.where(F.col(key).isNotNull()).select(key, item).distinct().groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("_items"))
+    return sets.withColumn("class_id", F.xxhash64("_items"))
+
+
 def set_pairs(items: DataFrame, key: str, item: str, least: float) -> DataFrame:
-    """Pairs of representatives of equal sets, with Jaccard similarity of at least ``least``, and the members of each.
+    """Pairs of representatives of equal sets, with Jaccard similarity of at least ``least``; ``set_members`` has the copies.
 
     Records with equal sets are one class (so copies are never paired); classes are
     joined on the rarest items of their prefix, which any similar pair must share."""
-    sets = items.select(key, item).distinct().groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("_items"))
-    classes = sets.withColumn("class_id", F.xxhash64("_items"))
-    reps = classes.groupBy("class_id").agg(F.min(key).alias("representative"), F.count("*").alias("members"), F.first("_items").alias("_items"))
+    return _class_pairs(set_classes(items, key, item), least)
+
+
+def _class_pairs(reps: DataFrame, least: float) -> DataFrame:
     freq = reps.select(F.explode("_items").alias("_i")).groupBy("_i").agg(F.count("*").alias("_f"))
     ranked = reps.select("class_id", F.size("_items").alias("_n"), F.explode("_items").alias("_i")).join(freq, "_i")
     pos = F.row_number().over(Window.partitionBy("class_id").orderBy("_f", "_i"))
@@ -128,3 +141,29 @@ def set_pairs(items: DataFrame, key: str, item: str, least: float) -> DataFrame:
     inter = F.size(F.array_intersect("_l", "_r"))
     j = inter / (F.size("_l") + F.size("_r") - inter)
     return full.withColumn("similarity", F.round(j, 6)).where(j >= least).select(F.least("left_id", "right_id").alias("left_id"), F.greatest("left_id", "right_id").alias("right_id"), "similarity")
+
+
+def set_members(items: DataFrame, key: str, item: str, least: float) -> DataFrame:
+    """One row per record: its class's representative and members, and links, the other records within ``least`` of it.
+
+    Copies are linked to each other and to all members of the similar classes."""
+    reps = set_classes(items, key, item)
+    return _with_links(_class_of(items, key, item).select(key, "class_id"), reps, _class_pairs(reps, least), key)
+
+
+def _with_links(records: DataFrame, reps: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
+    size = reps.select("representative", "members")
+    both = pairs.select(F.col("left_id").alias("_a"), F.col("right_id").alias("representative")).unionByName(pairs.select(F.col("right_id").alias("_a"), F.col("left_id").alias("representative")))
+    near = both.join(size, "representative").groupBy("_a").agg(F.sum("members").alias("_near")).withColumnRenamed("_a", "representative")
+    per = reps.select("class_id", "representative", "members").join(near, "representative", "left")
+    return records.join(per, "class_id").select(key, "representative", "members", (F.col("members") - 1 + F.coalesce("_near", F.lit(0))).alias("links"))
+
+
+def set_links(items: DataFrame, key: str, item: str, least: float) -> DataFrame:
+    """All similar records as links: ``set_pairs``, and every copy to its representative with similarity 1.
+
+    Copies are linked to one record only, so that a class of n members gives n - 1 rows."""
+    reps = set_classes(items, key, item)
+    some = reps.where("members > 1").select("class_id", "representative")
+    copies = _class_of(items, key, item).join(some, "class_id").where(F.col(key) != F.col("representative"))
+    return _class_pairs(reps, least).unionByName(copies.select(F.col("representative").alias("left_id"), F.col(key).alias("right_id"), F.lit(1.0).alias("similarity")))

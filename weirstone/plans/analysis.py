@@ -62,9 +62,16 @@ def optimal_assignment(spark, d):
     return K.assign(scores, "block", "l", "r", "score").groupBy("block").agg(F.round(F.sum("score"), 5).alias("total_score"))
 
 
+def _contents(spark, d):
+    return trace(spark, d, "input_id", "content").select("input_id", F.md5(F.col("content").cast("binary")).alias("item"))
+
+
 def similar_inputs(spark, d):
-    e = trace(spark, d, "input_id", "content").where("content is not null").select("input_id", F.md5(F.col("content").cast("binary")).alias("item"))
-    return K.set_pairs(e, "input_id", "item", 0.98)
+    return K.set_links(_contents(spark, d), "input_id", "item", 0.98)
+
+
+def similar_input_members(spark, d):
+    return K.set_members(_contents(spark, d), "input_id", "item", 0.98)
 
 
 # -- statistics ------------------------------------------------------------------
