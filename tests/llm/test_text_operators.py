@@ -147,6 +147,35 @@ def test_repeats_against_brute_force(spark):
     assert repeats.shared_windows(a.limit(0), e.limit(0)).count() == 0
 
 
+def test_overlap_counts_every_shared_character(spark):
+    rng = random.Random(17)
+    noise = lambda n: "".join(rng.choice("abcdefgh \n_().") for _ in range(n))
+    block, short = noise(400), [noise(rng.randrange(300, 315)) for _ in range(12)]
+    one = noise(50) + block + "".join(x + noise(330) for x in short)  # both have a find besides the short spans
+    two = "".join(noise(340) + x for x in reversed(short)) + noise(3) + block
+    arts = [(1, one), (2, two), (3, noise(70) + short[0][:-1] + noise(9)), (4, "x" + block[7:390] + short[1] + noise(20)), (5, noise(1500))]
+    evs = [(1, block[100:] + noise(200)), (2, short[2]), (3, noise(400) + short[3])]
+    records = {("repo_artifacts", i): t for i, t in arts} | {("trace_events", i): t for i, t in evs}
+    holders = {}
+    for key, t in records.items():
+        for i in range(len(t) - 299):
+            holders.setdefault(t[i : i + 300], set()).add(key)
+    want = {key: len({j for i in range(len(t) - 299) if len(holders[t[i : i + 300]]) > 1 for j in range(i, i + 300)}) for key, t in records.items()}
+    got = {(r.item_table, r.item_id): r.shared_chars for r in repeats.overlap(_arts(spark, arts), _evs(spark, evs)).collect()}
+    assert got == {key: n for key, n in want.items() if n}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 120), max_size=12), st.lists(st.integers(0, 130), max_size=6), st.integers(1, 15))
+def test_uncovered_windows(at, bounds, least):
+    bounds = sorted(set(bounds))
+    spans = [x for lo, hi in zip(bounds[::2], bounds[1::2]) if hi - lo >= least for x in (lo, hi)]
+    chars = {j for i in at for j in range(i, i + least)}
+    want = [i for lo, hi in zip(spans[::2], spans[1::2]) for i in range(lo, hi - least + 1) if not chars.issuperset(range(i, i + least))]
+    some = repeats.uncovered(spans, np.array(sorted(set(at)), np.int64), least)
+    assert [i for lo, hi in zip(some[::2], some[1::2]) for i in range(lo, hi - least + 1)] == want
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(0, 10**6))
 def test_interior_symbols_do_not_depend_on_the_context(seed):

@@ -16,7 +16,8 @@ disturb only a bounded margin inside it.
 3. The windows of the records that this leaves without a find go into a filter of
    fixed size; all records' windows that pass it are compared.  That makes the
    decision exact for spans of every length.  Fingerprints have 128 bits, so a
-   find is verified.
+   find is verified.  For the overlap all windows go into the filter that reach
+   outside what the finds of their record cover, which makes every character exact.
 
 No group of equal names or fingerprints is ever gathered: a name needs the least
 and the greatest record that holds it, which are aggregated before the shuffle.
@@ -163,6 +164,28 @@ def stretches(length, starts, ends, least, margin=MARGIN):
     return out
 
 
+def uncovered(spans, at, least):
+    """Of stretches [lo, hi, lo, hi, ...] the parts whose windows reach outside the union of the windows at the sorted places ``at``."""
+    if not len(at):
+        return spans
+    gap = np.flatnonzero(np.diff(at) > least)  # windows that touch cover all windows between them
+    firsts, lasts = at[np.concatenate(([0], gap + 1))].tolist(), at[np.concatenate((gap, [len(at) - 1]))].tolist()
+    out, k = [], 0
+    for lo, hi in zip(spans[::2], spans[1::2]):
+        while k and lasts[k - 1] >= lo:
+            k -= 1
+        while k < len(lasts) and lasts[k] < lo:
+            k += 1
+        while k < len(lasts) and firsts[k] <= hi - least:
+            if firsts[k] > lo:
+                out += [lo, firsts[k] - 1 + least]
+            lo = max(lo, lasts[k] + 1)
+            k += 1
+        if lo <= hi - least:
+            out += [lo, hi]
+    return out
+
+
 def minimizers(f, g):
     """Indices of those numbers that are the least of some g neighbouring ones."""
     if len(f) <= g:
@@ -219,6 +242,18 @@ def _candidate_batches(least):
     return run
 
 
+def _uncovered_batches(least):
+    """From (record, content, stretches, places of finds) the records with windows not covered: (record, content, stretches)."""
+
+    def run(batches):
+        for b in batches:
+            spans = [uncovered(some, np.asarray(at or [], np.int64), least) for some, at in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            left = pa.array([bool(x) for x in spans], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(spans, pa.list_(pa.int64()))], names=["record", "content", "spans"]).filter(left)
+
+    return run
+
+
 def _window_batches(least, pick):
     """(f1, f2, record, at) of the windows in the stretches whose fingerprints pick(f1) chooses."""
 
@@ -275,18 +310,22 @@ def candidates(artifacts: DataFrame, events: DataFrame, least: int = LEAST) -> D
     return keep(once.mapInArrow(_candidate_batches(least), "record bigint, content string, spans array<bigint>").dropDuplicates(["record"]))
 
 
-def shared_windows(artifacts: DataFrame, events: DataFrame, least: int = LEAST, neighbours: int = NEIGHBOURS, bits: int = FILTER_BITS) -> DataFrame:
+def shared_windows(artifacts: DataFrame, events: DataFrame, least: int = LEAST, neighbours: int = NEIGHBOURS, bits: int = FILTER_BITS, whole: bool = False) -> DataFrame:
     """(record, at): windows of ``least`` characters that stand in another record too.
 
-    Every record that shares a span has rows, and its windows cover every shared
-    span of at least least + neighbours - 1 characters but for less than
-    ``neighbours`` characters at its ends. Repeated deliveries are one record; null
+    Every record that shares a span has rows. If ``whole``, its windows cover every
+    shared span; else those of at least least + neighbours - 1 characters, but for less
+    than ``neighbours`` characters at their ends. Repeated deliveries are one record; null
     ids or contents and shorter contents give none; an item's own repeats do not count."""
     some = candidates(artifacts, events, least)
     first = keep(_shared(some.mapInArrow(_window_batches(least, lambda f: minimizers(f, neighbours)), _WINDOW_DDL)))
-    open_ = some.join(first.select("record").distinct(), "record", "left_anti")
+    if whole:
+        places = first.groupBy("record").agg(F.sort_array(F.collect_set("at")).alias("at"))  # bounded by the record's length
+        open_ = some.join(places, "record", "left").mapInArrow(_uncovered_batches(least), "record bigint, content string, spans array<bigint>")
+    else:
+        open_ = some.join(first.select("record").distinct(), "record", "left_anti")
 
-    def add(batches):  # the windows of the records still open, as a filter of fixed size
+    def add(batches):  # the windows still open, as a filter of fixed size
         seen = np.zeros(bits, bool)
         for b in batches:
             f = b.column(0).to_numpy()
@@ -316,7 +355,7 @@ def shared_windows(artifacts: DataFrame, events: DataFrame, least: int = LEAST,
 
 def overlap(artifacts: DataFrame, events: DataFrame, least: int = LEAST) -> DataFrame:
     """By item: the characters that stand in another record within a span of at least ``least``, and their share."""
-    found = shared_windows(artifacts, events, least).groupBy("record").agg(F.sort_array(F.collect_set("at")).alias("at"))
+    found = shared_windows(artifacts, events, least, whole=True).groupBy("record").agg(F.sort_array(F.collect_set("at")).alias("at"))
     # windows that touch or overlap join; bounded by the record's length
     chars = F.expr(f"aggregate(at, named_struct('to', 0L, 'n', 0L), (s, x) -> named_struct('to', x + {least}, 'n', s.n + x + {least} - greatest(x, s.to)), s -> s.n)")
     sizes = _records(artifacts, events, least).groupBy("record").agg(F.max(F.length("content")).alias("chars"))
