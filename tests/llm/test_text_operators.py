@@ -304,6 +304,26 @@ def test_sentences_on_held_out_texts(spark):
     assert good >= 0.97 * total
 
 
+def test_rare_pairs_and_types_count(spark, monkeypatch):
+    # every left type and every pair is seen twice inside, so the right word's counts are many rare pairs
+    ends = [f"stop{chr(97 + i)}{chr(97 + j)}" for i in range(8) for j in range(5)]
+    docs = [f"It says {w}. Then {x} so." for w in ends for x in ("it", "we")] + [f"Then {w}." for w in ends] + [f"But {w}." for w in ends]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")
+    seen, learn = {}, sentences.Model.learn
+
+    def spy(self, side, rows, rare):
+        seen[side] = rows, rare
+        learn(self, side, rows, rare)
+
+    monkeypatch.setattr(sentences.Model, "learn", spy)
+    total = lambda: {s: [sum(x[k] for x in (*rows, *rare)) for k in (-2, -1)] for s, (rows, rare) in seen.items()}
+    sentences.fit(df)
+    assert {w: n for w, n, _ in seen["R"][0]}["Then"] == 80
+    assert total() == {"L": [80, 160], "R": [80, 160]}  # all gaps and blocks, types seen once or twice included
+    sentences.fit(df, types=1)
+    assert all(len(rows) == 1 for rows, _ in seen.values()) and total() == {"L": [80, 160], "R": [80, 160]}
+
+
 def test_layout():
     text = "# A title\nwrapped\nline. \n\n1. one\n2. two\n- x\n\n```py\na. B.\n```\nend\n\n   \n"
     assert [text[a:b] for a, b in sentences.blocks(text)] == ["A title", "wrapped\nline.", "one", "two", "x", "end"]

@@ -24,9 +24,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, keep
 
-#: Word types of either side kept in the model; rarer ones share their shape's figures.
+#: Word types of either side with figures of their own; rarer ones share their shape's figures.
 TYPES = 100_000
 #: Occurrences from which a type has figures of its own.
 LEAST = 3
@@ -261,47 +261,46 @@ def _frame(n):
 
 
 class Model:
-    """Per side: type -> probability that a gap beside it is a boundary."""
+    """Per side: type -> probability that a gap beside it is a boundary.
 
-    def __init__(self, rows):
+    Rows are (type, inside, edge) of the types with figures of their own; rare ones are
+    (type's group, its shape, inside, edge), summed over all other types of a shape."""
+
+    def __init__(self):
         self.left, self.right, self.prior, self.known = {}, {}, {}, {}
-        for side, table in (("L", self.left), ("R", self.right)):
-            if side == "R":
-                # a right word tells something only where the left one does not settle the gap by itself:
-                # what follows abbreviations is left out of its counts
-                after = Counter()
-                for pair, n, _ in rows["P"]:
-                    left, right = pair.split("\x00", 1)
-                    p = self.left.get(left)
-                    if (self.left.get(shape(left, True), 1.0) if p is None else p) >= 0.5:
-                        after[right] += n
-                starts = {w: e for w, _, e in rows["R"]}
-                rows["R"] = [(w, after[w], starts.get(w, 0)) for w in {**starts, **after}]
-            groups = {}
-            for w, n, e in rows[side]:
-                groups.setdefault(self.group(w, side == "L"), []).append((w, n, e))
-            for g, some in groups.items():
-                # how many hidden boundaries there are for one at a block's edge: the median over types seen there
-                seen = sorted((n / e, n) for _, n, e in some if e >= LEAST and n >= LEAST) or [(1.0, 1)]
-                half, run = sum(n for _, n in seen) / 2, 0
-                for ratio, n in seen:
-                    run += n
-                    if run >= half:
-                        break
-                whole = sum(n for _, n, _ in some) or 1
-                mean = min(0.98, max(0.02, sum(min(n, ratio * e) for _, n, e in some) / whole))
-                self.prior[side, g] = mean
-                pooled = {}
-                for w, n, e in some:
-                    c = pooled.setdefault(shape(w, side == "L"), [0, 0.0])
-                    c[0] += n
-                    c[1] += min(n, ratio * e)
-                for c, (n, hit) in pooled.items():
-                    table[c] = self._p(hit, n, mean, 2)
-                for w, n, e in some:
-                    if n >= LEAST or e >= LEAST:
-                        base = table[shape(w, side == "L")]
-                        table[w] = self._p(min(n, ratio * e) if n else ratio * e, max(n, ratio * e if not n else n), base, 1)
+
+    def learn(self, side, rows, rare):
+        table, groups = self.left if side == "L" else self.right, {}
+        for w, n, e in rows:
+            groups.setdefault(self.group(w, side == "L"), ([], []))[0].append((shape(w, side == "L"), w, n, e))
+        for g, c, n, e in rare:
+            groups.setdefault(g, ([], []))[1].append((c, None, n, e))
+        for g, (own, rest) in sorted(groups.items()):
+            # how many hidden boundaries there are for one at a block's edge: the median over types seen there
+            seen = sorted((n / e, n) for _, _, n, e in own if e >= LEAST and n >= LEAST) or [(1.0, 1)]
+            half, run = sum(n for _, n in seen) / 2, 0
+            for ratio, n in seen:
+                run += n
+                if run >= half:
+                    break
+            some = own + rest
+            whole = sum(n for _, _, n, _ in some) or 1
+            mean = min(0.98, max(0.02, sum(min(n, ratio * e) for _, _, n, e in some) / whole))
+            self.prior[side, g] = mean
+            pooled = {}
+            for c, _, n, e in some:
+                p = pooled.setdefault(c, [0, 0.0])
+                p[0] += n
+                p[1] += min(n, ratio * e)
+            for c, (n, hit) in pooled.items():
+                table[c] = self._p(hit, n, mean, 2)
+            for c, w, n, e in own:
+                table[w] = self._p(min(n, ratio * e) if n else ratio * e, max(n, ratio * e if not n else n), table[c], 1)
+
+    def opens(self, left):
+        """Whether the left word leaves the gap open or ends a sentence: what follows abbreviations tells nothing of right words."""
+        p = self.left.get(left)
+        return (self.left.get(shape(left, True), 1.0) if p is None else p) >= 0.5
 
     @staticmethod
     def _p(hit, n, base, weight):
@@ -365,13 +364,60 @@ def _add(out, text, a, b):
         out.append((a, a + len(bare)))
 
 
+def _summed(batches, key, columns):
+    """Sums of the two counts of the rows by key(row), which drops a row by None."""
+    n = {}
+    for b in batches:
+        for row in b.itertuples(index=False):
+            k = key(row)
+            if k is not None:
+                c = n.setdefault(k, [0, 0])
+                c[0] += row.n
+                c[1] += row.e
+        if len(n) > 200_000:
+            yield pd.DataFrame([(*k, *c) for k, c in n.items()], columns=columns)
+            n = {}
+    yield pd.DataFrame([(*k, *c) for k, c in n.items()], columns=columns)
+
+
+def _side(model: Model, side: str, counts: DataFrame, types: int) -> None:
+    """Learns one side from its (word, n, e): the ``types`` most often seen types, and the sums of all others by shape."""
+    own = counts.where((F.col("n") >= LEAST) | (F.col("e") >= LEAST))
+    rows = [tuple(r) for r in own.orderBy(F.desc(F.col("n") + F.col("e")), "word").limit(types).select("word", "n", "e").collect()]
+    known = counts.sparkSession.sparkContext.broadcast({w for w, _, _ in rows})  # bounded by types
+    left = side == "L"
+
+    def rest(batches):
+        return _summed(batches, lambda r: None if r.word in known.value else (Model.group(r.word, left), shape(r.word, left)), ["kind", "shape", "n", "e"])
+
+    rare = counts.select("word", "n", "e").mapInPandas(rest, "kind string, shape string, n bigint, e bigint").groupBy("kind", "shape").agg(F.sum("n").alias("n"), F.sum("e").alias("e"))
+    model.learn(side, rows, sorted(tuple(r) for r in rare.collect()))  # there are a few hundred shapes
+
+
 def fit(documents: DataFrame, types: int = TYPES) -> Model:
-    """The model of a corpus. Counts cover all documents; the types and pairs of types most often
-    seen, at most ``types`` of left words, right words and pairs, come to the driver."""
+    """The model of a corpus. Counts cover all documents and all pairs of types; the types most often seen,
+    at most ``types`` of left and of right words, come to the driver, the others as sums by shape.
+
+    A right word tells something only where the left one does not settle the gap by itself,
+    so its inside counts are the pairs whose left word leaves the gap open."""
     some = documents.select("text").where("text is not null and text <> ''")
-    counts = some.mapInPandas(_count, "side string, word string, inside bigint, edge bigint").groupBy("side", "word").agg(F.sum("inside").alias("n"), F.sum("edge").alias("e"))
-    top = cut(counts.where((F.col("n") + F.col("e")) >= LEAST))
-    return Model({s: [tuple(r) for r in top.where(F.col("side") == s).orderBy(F.desc(F.col("n") + F.col("e")), "word").limit(types).select("word", "n", "e").collect()] for s in "LRP"})
+    counts = keep(some.mapInPandas(_count, "side string, word string, inside bigint, edge bigint").groupBy("side", "word").agg(F.sum("inside").alias("n"), F.sum("edge").alias("e")))
+    model = Model()
+    _side(model, "L", counts.where("side = 'L'"), types)
+    shared = documents.sparkSession.sparkContext.broadcast(model)  # the left side, bounded by types
+
+    def after(batches):
+        def right(r):
+            if r.side == "R":
+                return (r.word,)
+            a, b = r.word.split("\x00", 1)
+            return (b,) if shared.value.opens(a) else None
+
+        return _summed(batches, right, ["word", "n", "e"])
+
+    rights = counts.where("side in ('R', 'P')").mapInPandas(after, "word string, n bigint, e bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("e").alias("e"))
+    _side(model, "R", cut(rights), types)
+    return model
 
 
 def sentences(documents: DataFrame, model: Model | None = None, text: bool = False) -> DataFrame:
