@@ -314,3 +314,25 @@ def test_more_retrieval_and_files(spark, tmp_path):
     (tmp_path / "r" / "1" / "result.json").write_text('{\n"score": 0.5}')
     r = files.read_results(spark, str(tmp_path / "r"), "score double").first()
     assert r.score == 0.5 and r.result_path.endswith("1/result.json")
+
+
+def test_sign_flips_of_many_clusters_and_holm_with_nulls(spark):
+    rng = random.Random(4)
+    d = [rng.gauss(0.3, 1) for _ in range(17)]
+    df = spark.createDataFrame([("many", x) for x in d] + [("few", 1.0), ("few", 2.0)], "g string, d double")
+    got = {r.g: r for r in stats.signflip_exact(df, ["g"], "d").collect()}
+    totals = [0.0]
+    for x in d:
+        totals = [t + y for t in totals for y in (x, -x)]
+    exact = sum(t >= sum(d) - 1e-9 for t in totals) / len(totals)
+    assert got["many"].clusters == 17 and abs(got["many"].p_value - exact) < 0.03 and got["few"].p_value == 0.25
+    assert stats.signflip_exact(df, ["g"], "d").where("g = 'many'").first().p_value == got["many"].p_value
+    p = spark.createDataFrame([("f", "a", 0.01), ("f", "b", None), ("f", "c", 0.3)], "f string, k string, p double")
+    assert {r.k: r.adjusted for r in stats.holm(p, ["f"], "k", "p").collect()} == {"a": 0.03, "b": None, "c": 0.6}
+
+
+def test_paired_bootstrap_weighs_clusters(spark):
+    rows = [("g", 0.0, 1.0, "a")] * 9 + [("g", 0.0, 0.0, "b")] + [("g", None, 5.0, "b"), ("h", 1.0, 3.0, "a")]
+    got = {r.g: r for r in stats.paired_bootstrap(spark.createDataFrame(rows, "g string, b double, t double, c string"), "g", "b", "t", "c").collect()}
+    assert (got["g"].pairs, got["g"].clusters, got["g"].difference, got["g"].low, got["g"].high) == (10, 2, 0.9, 0.0, 1.0)
+    assert got["h"].difference == 2.0 and got["h"].low is None
