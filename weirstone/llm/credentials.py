@@ -30,10 +30,13 @@ _WORD = r"[^\s\"'`,;\\]+(?:[,;][^\s\"'`,;\\]+)*"
 _QUOTED = r"(?:\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`)"
 ANCHORS = ("passw", "passphrase", "pwd", "pass", "secret", "token", "apikey", "api key", "api_key", "api-key", "access_key", "access key", "accesskey", "access-key", "signing", "private", "credential", "authorization", "login", "log in", "://", " -u ", "ghp_", "glpat-", "xoxb-", "xoxp-", "akia", "eyj", "_live_", "sk-")
 _ANCHOR = re.compile(
-    r"(?i)passw|passphrase|pwd|[_-]pass\b|secret|token|api[ _-]?key|access[ _-]?key|signing[ _-]?key|encryption[ _-]?key|private[ _-]?key|credential|authorization|\blog ?in\b|://[^\s/\"'@]{1,200}@| -u |ghp_|glpat-|xox[bp]-|AKIA|eyJ|_live_|\bsk-"
+    r"(?i)passw|passphrase|pwd|[_-]pass\b|secret|token|api[ _-]?key|access[ _-]?key|signing[ _-]?key|encryption[ _-]?key|private[ _-]?key|credential|authorization|\blog ?in\b|://[^\s/\"'@]+@| -u |ghp_|glpat-|xox[bp]-|AKIA|eyJ|_live_|\bsk-"
 )
 _KEYBLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _KEYEND = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+_KEYHEAD = re.compile(r"[A-Za-z-]+: ")
+_KEYBODY = re.compile(r"[A-Za-z0-9+/=]*")
+_KEYBREAK = re.compile(r"\n|(?:\\r)?\\n")
 #: (name, pattern, whether quotes are part of the value, how strong the context is)
 RULES = [
     ("url", re.compile(r"\b[a-zA-Z][a-zA-Z0-9+.\-]*://[^\s:/@\"'<>`]*:(?P<v>[^\s/\"'<>@`]+)@"), False),
@@ -141,6 +144,23 @@ def _bare(text, lo, hi):
     return [(lo, hi)], text[lo:hi], False
 
 
+def _open_key(text, at):
+    """The end of the lines from ``at`` that look like the body of a key without an END line."""
+    while at < len(text):
+        line = _KEYBREAK.search(text, at)
+        hi = line.start() if line else len(text)
+        lead = at + len(text[at:hi]) - len(text[at:hi].lstrip(" \t\r\"'+>|#*("))
+        end = _KEYBODY.match(text, lead, hi).end()
+        rest = text[end:hi].strip(" \t\r\"'+,;\\)")
+        if rest:
+            if not _KEYHEAD.match(text, lead, hi):
+                return end if end - lead >= 16 else at
+        elif 0 < end - lead < 16 and text[lead] != "=":
+            return end  # the last line is shorter
+        at = line.end() if line else len(text)
+    return len(text)
+
+
 def find(text):
     """Credentials of a text: [(kind, [spans of the value])], in order; overlapping finds are one."""
     if not text:
@@ -158,7 +178,7 @@ def find(text):
         out += _in_line(text, lo, hi)
     for m in _KEYBLOCK.finditer(text):
         end = _KEYEND.search(text, m.end())
-        stop = end.start() if end else min(len(text), m.end() + 4096)
+        stop = end.start() if end else max(min(len(text), m.end() + 4096), _open_key(text, m.end()))
         body = re.sub(r"\\n|[\s\"'+>|#*/\\]|\\r", "", text[m.end() : stop])
         if len(re.sub(r"[^A-Za-z0-9+/=]", "", body)) >= 40 and len(set(body)) > 12 and "redacted" not in body.lower():
             out.append(("private_key", [(m.start(), end.end() if end else stop)]))
