@@ -151,11 +151,11 @@ def test_repeats_against_brute_force(spark):
     arts += [(20 + i, span[4] + noise(20)) for i in range(15)]
     a, e = _arts(spark, arts + [arts[11]]), _evs(spark, evs + [evs[3]])
     records = [(2 * i, t) for i, t in arts if t] + [(2 * i + 1, t) for i, t in evs if t]
-    got = {r.record for r in repeats.shared_windows(a, e).select("record").distinct().collect()}
+    got = {r.record for r in repeats.sharing(a, e).collect()}
     assert got == _brute(records, 300)
     share = {(r.item_table, r.item_id): r.shared_chars for r in repeats.overlap(a, e).collect()}
-    assert share["repo_artifacts", 1] == 300 and share["repo_artifacts", 20] >= 900 - 32
-    assert repeats.shared_windows(a.limit(0), e.limit(0)).count() == 0
+    assert share["repo_artifacts", 1] == 300 and share["repo_artifacts", 20] == 900
+    assert repeats.sharing(a.limit(0), e.limit(0)).count() == 0
 
 
 def test_overlap_counts_every_shared_character(spark):
@@ -180,11 +180,39 @@ def test_overlap_counts_every_shared_character(spark):
 @given(st.lists(st.integers(0, 120), max_size=12), st.lists(st.integers(0, 130), max_size=6), st.integers(1, 15))
 def test_uncovered_windows(at, bounds, least):
     bounds = sorted(set(bounds))
-    spans = [x for lo, hi in zip(bounds[::2], bounds[1::2]) if hi - lo >= least for x in (lo, hi)]
+    ranges = [x for lo, hi in zip(bounds[::2], bounds[1::2]) for x in (lo, hi)]
     chars = {j for i in at for j in range(i, i + least)}
-    want = [i for lo, hi in zip(spans[::2], spans[1::2]) for i in range(lo, hi - least + 1) if not chars.issuperset(range(i, i + least))]
-    some = repeats.uncovered(spans, np.array(sorted(set(at)), np.int64), least)
-    assert [i for lo, hi in zip(some[::2], some[1::2]) for i in range(lo, hi - least + 1)] == want
+    want = [i for lo, hi in zip(ranges[::2], ranges[1::2]) for i in range(lo, hi + 1) if not chars.issuperset(range(i, i + least))]
+    some = repeats.uncovered(ranges, np.array(sorted(set(at)), np.int64), least)
+    assert [i for lo, hi in zip(some[::2], some[1::2]) for i in range(lo, hi + 1)] == want
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 60), st.integers(0, 9)), max_size=9), st.integers(0, 70))
+def test_windows_left_over(lone, windows):
+    lone = [(lo, n) for lo, n in lone if lo + n < windows]
+    want = set(range(windows)) - {i for lo, n in lone for i in range(lo, lo + n + 1)}
+    left = repeats.left_over(windows, np.array([lo << 24 | n for lo, n in lone], np.int64))
+    assert [i for lo, hi in zip(left[::2], left[1::2]) for i in range(lo, hi + 1)] == sorted(want)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**6))
+def test_equal_windows_have_equal_symbols(seed):
+    rng = random.Random(seed)
+    noise = lambda n: "".join(rng.choice(["aab c\n", "abcdefghij ", "a"][seed % 3]) for _ in range(n))
+    span = noise(rng.randrange(300, 420))
+    texts = [noise(rng.randrange(200)) + span + noise(rng.randrange(200)) for _ in "123"] + ["", noise(299)]
+    name, place, lo, hi, text = repeats.symbols(texts)
+    seen = {}
+    for i, t in enumerate(texts):
+        mine = [k for k in range(len(name)) if text[k] == i]
+        assert [w for k in mine for w in range(lo[k], hi[k] + 1)] == list(range(len(t) - 299))  # every window has one symbol
+        for k in mine:
+            for w in range(lo[k], hi[k] + 1):
+                assert seen.setdefault(t[w : w + 300], (name[k], place[k] - w)) == (name[k], place[k] - w)
+    sparse = [{t[w : w + 300] for k in range(len(name)) if text[k] == i for w in repeats._sparse(place[k : k + 1], lo[k : k + 1], hi[k : k + 1], 16)} for i, t in enumerate(texts)]
+    assert len(span) < 315 or sparse[0] & sparse[1] & sparse[2]
 
 
 @settings(max_examples=60, deadline=None)

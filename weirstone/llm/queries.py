@@ -54,8 +54,7 @@ def p4_redacted(spark, d):
 
 
 def p6_found(spark, d):
-    found = repeats.shared_windows(table(spark, d, "repo_artifacts"), table(spark, d, "trace_events"))
-    return repeats.named(found.select("record").distinct()).select("item_table", "item_id")
+    return repeats.named(repeats.sharing(table(spark, d, "repo_artifacts"), table(spark, d, "trace_events"))).select("item_table", "item_id")
 
 
 def p6_overlap(spark, d):

@@ -1,26 +1,34 @@
-"""Problem 6: long exact spans shared between records.
-
-Recompression gives equal substrings equal interior symbols.  Rounds alternate
-naming runs of one symbol and pairs of adjacent symbols whose alphabets (a bit
-of the symbol's name, another in each round) differ; a name is a hash of what it
-stands for, so every task names alike and the rounds need no dictionary.  A
-symbol covers at most CAP characters, so that what stands outside a span can
-disturb only a bounded margin inside it.
-
-1. Every record is compressed; its anchors, runs of top symbols sampled by their
-   names, go out as (name, record, place).  An anchor whose name occurs in one
-   record only cannot lie inside a shared span, but for the span's margins.
-2. The stretches of a record that such lone anchors leave open are covered by
-   windows of exactly ``least`` characters.  The least fingerprint of every
-   NEIGHBOURS windows is compared first, which finds all longer spans.
-3. The windows of the records that this leaves without a find go into a filter of
-   fixed size; all records' windows that pass it are compared.  That makes the
-   decision exact for spans of every length.  Fingerprints have 128 bits, so a
-   find is verified.  For the overlap all windows go into the filter that reach
-   outside what the finds of their record cover, which makes every character exact.
-
-No group of equal names or fingerprints is ever gathered: a name needs the least
-and the greatest record that holds it, which are aggregated before the shuffle.
+"""Problem 6: long exact spans shared between records, by recompression.
+
+Recompression gives equal substrings equal interior symbols.  Its rounds alternate
+naming runs of one symbol and pairs of adjacent symbols whose alphabets (a bit of
+the symbol's name, another in each round) differ.  A name is a hash of what it
+stands for, so all tasks name alike without a dictionary, and a symbol covers at
+most CAP characters, so what stands outside a span disturbs only a margin of it.
+
+On these symbols three rounds in Spark name larger and larger pieces and keep
+what another record holds too.  Names are shuffled, contents are not, but for one
+join of the contents with what the first round leaves of them.
+
+1. Of the runs of WIDTH symbols in the undisturbed inside of a window of ``least``
+   characters, the least name is the window's symbol.  Equal windows have equal
+   symbols at equal places.  Neighbouring windows mostly share one, so there is a
+   row for about 70 characters: (symbol, record, range of windows).  A symbol that
+   one record alone holds rules its windows out.
+2. Windows that stand at fixed places to their shared symbol, or where the symbol
+   changes, get names themselves, made of the names of all their characters.  A
+   name in two records reveals a shared span; all spans of least + STEP - 1
+   characters are revealed.
+3. For what is still open (records without a find, or for the overlap windows that
+   reach outside the finds) the symbols of its windows are looked up, and all
+   windows of all records that have one of these symbols are named.  That makes
+   the decision exact for spans of every length.
+
+For each record found the text of one window is then compared with the texts of
+the other records that hold the name.
+
+No group of equal names is ever gathered: a name needs the least and the greatest
+record that holds it, which are aggregated before the shuffle.
 """
 
 from __future__ import annotations
@@ -36,19 +44,17 @@ from .splitting import items
 LEAST = 300
 ROUNDS = 5
 CAP = 10
-#: Neighbouring top symbols in an anchor, and the share of the anchors (one in so many, by name) that go out.
+#: Neighbouring symbols in a run.
 WIDTH = 7
-SAMPLE = 6
 #: Characters from a span's edge within which what stands outside it can change symbols:
 #: one run and, in every round, one more symbol.
 MARGIN = CAP + ROUNDS * CAP
-#: Of so many neighbouring windows the one of least fingerprint is compared first.
-NEIGHBOURS = 16
-#: Bits of the filter that holds the windows of the records still open after that (8 MB at any size), and the parts it is built in.
-FILTER_BITS = 1 << 26
-FILTER_PARTS = 12
+#: Distance of the windows that the second round names, where the symbol stays the same.
+STEP = 16
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _S29, _S32 = np.uint64(29), np.uint64(32)
+#: A range of windows as one number: its first window, and how many follow it.
+_BITS = 24
 
 
 def _mix(x):
@@ -65,9 +71,10 @@ def codes(text):
 
 
 def compress(texts, rounds=ROUNDS, cap=CAP):
-    """(names, starts, text numbers) of the symbols of several texts after the given rounds.
+    """(names, starts, starts of the texts, sizes of the texts) of the symbols of several texts after the given rounds.
 
-    The texts are compressed side by side in one array; a symbol 0 between them never joins another."""
+    The texts are compressed side by side in one array, in which starts are counted;
+    a symbol 0 after each text never joins another."""
     parts = [codes(t) for t in texts]
     sizes = np.array([len(p) for p in parts], np.int64)
     first = np.cumsum(sizes + 1) - sizes - 1
@@ -98,25 +105,55 @@ def compress(texts, rounds=ROUNDS, cap=CAP):
                 keep[pair + 1] = False
                 names[pair] = _mix(names[pair] * _M1 + (names[pair + 1] ^ np.uint64(0x5851F42D4C957F2D)))
                 names, starts = names[keep], starts[keep]
-    owner = np.searchsorted(first, starts, side="right") - 1
-    return names, starts - first[owner], owner, sizes
+    return names, starts, first, sizes
+
+
+def _least(a, lo, hi):
+    """Index of the least a[lo[k] .. hi[k]] for every k, the leftmost of equal ones; lo <= hi."""
+    out = np.empty(len(lo), np.int64)
+    level = np.log2(hi - lo + 1).astype(np.int64)
+    best, width = np.arange(len(a)), 1
+    for r in range(int(level.max(initial=0)) + 1):
+        k = np.flatnonzero(level == r)
+        x, y = best[lo[k]], best[hi[k] - width + 1]
+        out[k] = np.where(a[x] <= a[y], x, y)
+        x, y = best[:-width], best[width:]
+        best, width = np.where(a[x] <= a[y], x, y), 2 * width
+    return out
+
 
+def symbols(texts, least=LEAST, width=WIDTH, margin=MARGIN):
+    """The windows' symbols of several texts: (name, place of the symbol, first window, last window, number of the text).
 
-def anchors(texts, width=WIDTH, sample=SAMPLE):
-    """(names, starts, lengths, text numbers) of the anchors: one in ``sample``, by their names, of all runs of ``width`` top symbols."""
-    names, starts, owner, sizes = compress(texts)
-    if len(names) < width + 1:
-        return names[:0], starts[:0], starts[:0], owner[:0]
-    n = len(names) - width
+    Windows of ``least`` characters are named by their starts; a row stands for the
+    windows of a text one after another that have the same symbol at the same place."""
+    names, starts, first, sizes = compress(texts)
+    n = max(0, len(names) - width)
     with np.errstate(over="ignore"):
         many, whole = names[:n].copy(), names[:n] != 0
         for k in range(1, width):
             many = _mix(many * _M2 + names[k : k + n])
             whole &= names[k : k + n] != 0
-    chosen = np.flatnonzero(whole & ((many >> np.uint64(40)) % np.uint64(sample) == 0))
-    after = chosen + width  # the next symbol, or the 0 that ends the text
-    ends = np.where(owner[after] == owner[chosen], starts[after], sizes[owner[chosen]])
-    return many[chosen], starts[chosen], ends - starts[chosen], owner[chosen]
+    run = np.flatnonzero(whole)
+    name, begin, end = many[run], starts[run], starts[run + width]
+    at = np.sort(np.concatenate((begin - margin + 1, end - least + margin, first)), kind="stable")  # where the runs inside change
+    at = at[(at >= 0) & np.concatenate(([True], at[1:] != at[:-1]))]
+    text = np.searchsorted(first, at, side="right") - 1
+    last = first + sizes - least
+    fits = at <= last[text]
+    at, text = at[fits], text[fits]
+    lo, hi = np.searchsorted(begin, at + margin, side="left"), np.searchsorted(end, at + least - margin, side="right") - 1
+    pick = np.full(len(at), -1, np.int64)
+    some = lo <= hi
+    if some.any():
+        pick[some] = _least(name, lo[some], hi[some])
+    head = np.flatnonzero(np.concatenate(([True], (pick[1:] != pick[:-1]) | (text[1:] != text[:-1])))) if len(at) else np.empty(0, np.int64)
+    at, text, pick = at[head], text[head], pick[head]
+    until = np.minimum(np.concatenate((at[1:] - 1, [np.iinfo(np.int64).max])), last[text]) if len(at) else at
+    none = pick < 0  # windows without a run inside have the symbol 0
+    name = np.where(none, np.uint64(0), name[pick]) if len(name) else np.zeros(len(at), np.uint64)
+    place = np.where(none, at, begin[pick]) if len(begin) else at
+    return name, place - first[text], at - first[text], until - first[text], text
 
 
 _BASES = (0x2545F4914F6CDD1D, 0x9E3779B97F4A7C55)
@@ -137,7 +174,7 @@ def _powers(n):
 
 
 def fingerprints(text, at, least):
-    """Two 64-bit fingerprints of the windows of the given length that start at ``at``."""
+    """The names, of twice 64 bits, of the windows of the given length that start at ``at``."""
     with np.errstate(over="ignore"):
         c = _mix(codes(text).astype(np.uint64) + np.uint64(11))
         n, powers, out = len(c), _powers(len(c)), []
@@ -149,136 +186,167 @@ def fingerprints(text, at, least):
     return out
 
 
-def stretches(length, starts, ends, least, margin=MARGIN):
-    """[(lo, hi)] of at least ``least`` characters where a shared span may lie, from the anchors of one
-    record only: such an anchor can stand in a shared span no farther than ``margin`` from its edges."""
-    lows = np.concatenate(([0], np.maximum(0, starts - margin + 1)))
-    highs = np.concatenate((np.minimum(length, ends + margin - 1), [length]))
-    long = highs - lows >= least
-    out = []
-    for a, b in zip(lows[long].tolist(), highs[long].tolist()):
-        if out and a <= out[-1][1] - least + 1:
-            out[-1][1] = max(b, out[-1][1])
-        else:
-            out.append([a, b])
-    return out
+def left_over(windows, lone):
+    """[lo, hi, lo, hi, ...]: of the windows 0 .. windows - 1 those outside the packed ranges ``lone``."""
+    if not len(lone):
+        return [0, windows - 1] if windows > 0 else []
+    p = np.sort(lone)
+    lo, hi = p >> _BITS, np.maximum.accumulate((p >> _BITS) + (p & ((1 << _BITS) - 1)))
+    a, b = np.concatenate(([0], hi + 1)), np.concatenate((lo - 1, [windows - 1]))
+    some = a <= b
+    return np.stack((a[some], b[some]), 1).ravel().tolist()
 
 
-def uncovered(spans, at, least):
-    """Of stretches [lo, hi, lo, hi, ...] the parts whose windows reach outside the union of the windows at the sorted places ``at``."""
+def uncovered(ranges, at, least):
+    """Of ranges of windows [lo, hi, lo, hi, ...] the parts whose windows reach outside the union of the windows at the sorted places ``at``."""
     if not len(at):
-        return spans
+        return ranges
     gap = np.flatnonzero(np.diff(at) > least)  # windows that touch cover all windows between them
     firsts, lasts = at[np.concatenate(([0], gap + 1))].tolist(), at[np.concatenate((gap, [len(at) - 1]))].tolist()
     out, k = [], 0
-    for lo, hi in zip(spans[::2], spans[1::2]):
+    for lo, hi in zip(ranges[::2], ranges[1::2]):
         while k and lasts[k - 1] >= lo:
             k -= 1
         while k < len(lasts) and lasts[k] < lo:
             k += 1
-        while k < len(lasts) and firsts[k] <= hi - least:
+        while k < len(lasts) and firsts[k] <= hi:
             if firsts[k] > lo:
-                out += [lo, firsts[k] - 1 + least]
+                out += [lo, firsts[k] - 1]
             lo = max(lo, lasts[k] + 1)
             k += 1
-        if lo <= hi - least:
+        if lo <= hi:
             out += [lo, hi]
     return out
 
 
-def minimizers(f, g):
-    """Indices of those numbers that are the least of some g neighbouring ones."""
-    if len(f) <= g:
-        return np.array([int(np.argmin(f))]) if len(f) else np.empty(0, np.int64)
-    views = np.lib.stride_tricks.sliding_window_view(f, g)
-    return np.unique(np.argmin(views, axis=1) + np.arange(len(views)))
-
-
-def bloom_bits(f, bits, k):
-    """The k-th of three places of 64-bit fingerprints in a filter of ``bits`` bits, a power of two."""
-    return (f.view(np.uint64) >> np.uint64(19 * k)) & np.uint64(bits - 1)
-
-
-_ANCHORS = pa.schema([("name", pa.int64()), ("record", pa.int64()), ("place", pa.int64())])
-_WINDOWS = pa.schema([("f1", pa.int64()), ("f2", pa.int64()), ("record", pa.int64()), ("at", pa.int64())])
 #: Texts compressed side by side hold about so many characters.
 BLOCK_CHARS = 400_000
+_LONE = pa.schema([("name", pa.int64()), ("record", pa.int64()), ("place", pa.int64())])
+_RANGES = pa.schema([("name", pa.int64()), ("record", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
+_WINDOWS = pa.schema([("f1", pa.int64()), ("f2", pa.int64()), ("record", pa.int64()), ("at", pa.int64())])
+_RANGES_DDL = "name bigint, record bigint, lo bigint, hi bigint"
+_WINDOW_DDL = "f1 bigint, f2 bigint, record bigint, at bigint"
 
 
-def _anchor_batches(batches):
+def _blocks(batches):
+    """Lists of columns of rows whose second column, the text, adds up to about BLOCK_CHARS characters."""
     for b in batches:
-        keys, texts, size = [], [], 0
-        for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            keys.append(key)
-            texts.append(text)
-            size += len(text)
+        rows, size = [], 0
+        for row in zip(*(b.column(i).to_pylist() for i in range(b.num_columns))):
+            rows.append(row)
+            size += len(row[1])
             if size > BLOCK_CHARS:
-                yield _anchor_batch(keys, texts)
-                keys, texts, size = [], [], 0
-        if keys:
-            yield _anchor_batch(keys, texts)
+                yield list(zip(*rows))
+                rows, size = [], 0
+        if rows:
+            yield list(zip(*rows))
+
 
+def _symbol_batches(least):
+    def run(batches):
+        for keys, texts in _blocks(batches):
+            name, _, lo, hi, text = symbols(texts, least)
+            same = (name[1:] == name[:-1]) & (text[1:] == text[:-1])  # the same name at another place
+            head, tail = np.concatenate(([True], ~same)), np.concatenate((~same, [True]))
+            if not len(name):
+                continue
+            span = np.minimum(hi[tail] - lo[head], (1 << _BITS) - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(name[head].view(np.int64)), pa.array(np.asarray(keys, np.int64)[text[head]]), pa.array(lo[head] << _BITS | span)], schema=_LONE)
 
-def _anchor_batch(keys, texts):
-    names, starts, lengths, owner = anchors(texts)
-    return pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(np.asarray(keys, np.int64)[owner]), pa.array(starts << 12 | lengths)], schema=_ANCHORS)
+    return run
 
 
 def _candidate_batches(least):
-    """From (record, content, lone places) the records with stretches: (record, content, stretches)."""
+    """From (record, content, packed ranges of lone symbols) the records with windows left: (record, content, spans)."""
 
     def run(batches):
         for b in batches:
             keys, texts, spans = [], [], []
-            for key, text, lone in zip(*(b.column(i).to_pylist() for i in range(3))):
-                p = np.sort(np.asarray(lone or [], np.int64))
-                found = stretches(len(text), p >> 12, (p >> 12) + (p & 4095), least)
-                if found:
+            for key, text, one, two in zip(*(b.column(i).to_pylist() for i in range(4))):
+                left = left_over(len(text) - least + 1, np.asarray((one or []) + (two or []), np.int64))
+                if left:
                     keys.append(key)
                     texts.append(text)
-                    spans.append([x for s in found for x in s])
+                    spans.append(left)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(texts, pa.string()), pa.array(spans, pa.list_(pa.int64()))], names=["record", "content", "spans"])
 
     return run
 
 
-def _uncovered_batches(least):
-    """From (record, content, stretches, places of finds) the records with windows not covered: (record, content, stretches)."""
+def _clip(lo, hi, spans):
+    """Parts of the sorted ranges lo .. hi inside the spans: (index of the range, lo, hi)."""
+    a, b = np.asarray(spans[::2], np.int64), np.asarray(spans[1::2], np.int64)
+    i, j = np.searchsorted(b, lo, side="left"), np.searchsorted(a, hi, side="right")
+    n = np.maximum(0, j - i)
+    which = np.repeat(np.arange(len(lo)), n)
+    span = np.repeat(i, n) + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+    return which, np.maximum(lo[which], a[span]), np.minimum(hi[which], b[span])
+
+
+def _range_batches(least):
+    """From (record, content, spans): the ranges of windows with one symbol inside the spans."""
 
     def run(batches):
-        for b in batches:
-            spans = [uncovered(some, np.asarray(at or [], np.int64), least) for some, at in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
-            left = pa.array([bool(x) for x in spans], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(spans, pa.list_(pa.int64()))], names=["record", "content", "spans"]).filter(left)
+        for keys, texts, spans in _blocks(batches):
+            name, _, lo, hi, text = symbols(texts, least)
+            ends = np.searchsorted(text, np.arange(len(texts) + 1))
+            cols = [[], [], [], []]
+            for i, key in enumerate(keys):
+                s = slice(ends[i], ends[i + 1])
+                which, a, b = _clip(lo[s], hi[s], spans[i])
+                for c, x in zip(cols, (name[s][which].view(np.int64), np.full(len(which), key, np.int64), a, b)):
+                    c.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], schema=_RANGES)
 
     return run
 
 
-def _window_batches(least, pick):
-    """(f1, f2, record, at) of the windows in the stretches whose fingerprints pick(f1) chooses."""
-
-    def run(batches):
-        for b in batches:
+def _sparse(place, lo, hi, step):
+    """Windows of the ranges lo .. hi: the first, the last, and those whose distance to the symbol is a multiple of ``step``: (range, window)."""
+    begin = lo + (place - lo) % step
+    n = np.maximum(0, (hi - begin) // step + 1)
+    which = np.repeat(np.arange(len(lo)), n)
+    at = begin[which] + (np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)) * step
+    return np.unique(np.concatenate((lo, hi, at)))
+
+
+def _name_batches(keys_texts_places, least):
+    """Names of the windows of each (record, text, places)."""
+    cols, size = [[], [], [], []], 0
+    for key, text, at in keys_texts_places:
+        one, two = fingerprints(text, at, least)
+        for c, x in zip(cols, (one, two, np.full(len(at), key, np.int64), at)):
+            c.append(x)
+        size += len(at)
+        if size > 100_000:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], schema=_WINDOWS)
             cols, size = [[], [], [], []], 0
-            for key, text, spans in zip(*(b.column(i).to_pylist() for i in range(3))):
-                at = [np.arange(lo, hi - least + 1) for lo, hi in zip(spans[::2], spans[1::2])]
-                one, two = fingerprints(text, np.concatenate(at), least)
-                chosen, done = [], 0
-                for a in at:
-                    chosen.append(done + pick(one[done : done + len(a)]))
-                    done += len(a)
-                chosen = np.concatenate(chosen)
-                at = np.concatenate(at)[chosen]
-                for c, x in zip(cols, (one[chosen], two[chosen], np.full(len(at), key, np.int64), at)):
-                    c.append(x)
-                size += len(at)
-                if size > 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], schema=_WINDOWS)
-                    cols, size = [[], [], [], []], 0
-            if size:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], schema=_WINDOWS)
+    if size:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], schema=_WINDOWS)
 
-    return run
+
+def _sparse_windows(least, step):
+    def some(batches):
+        for keys, texts, spans in _blocks(batches):
+            _, place, lo, hi, text = symbols(texts, least)
+            ends = np.searchsorted(text, np.arange(len(texts) + 1))
+            for i, key in enumerate(keys):
+                s = slice(ends[i], ends[i + 1])
+                at = _sparse(place[s], lo[s], hi[s], step)
+                a, b = np.asarray(spans[i][::2], np.int64), np.asarray(spans[i][1::2], np.int64)
+                k = np.searchsorted(a, at, side="right") - 1
+                yield key, texts[i], at[(k >= 0) & (at <= b[k])]
+
+    return lambda batches: _name_batches(some(batches), least)
+
+
+def _dense_windows(least):
+    def some(batches):
+        for keys, texts, ranges in _blocks(batches):
+            for key, text, r in zip(keys, texts, ranges):
+                yield key, text, np.unique(np.concatenate([np.arange(x["lo"], x["hi"] + 1) for x in r]))
+
+    return lambda batches: _name_batches(some(batches), least)
 
 
 def _records(artifacts: DataFrame, events: DataFrame, least: int) -> DataFrame:
@@ -292,72 +360,97 @@ def named(df: DataFrame) -> DataFrame:
     return df.withColumns({"item_table": F.when(F.pmod(r, F.lit(2)) == 0, "repo_artifacts").otherwise("trace_events"), "item_id": F.shiftright(r, 1)})
 
 
-_WINDOW_DDL = "f1 bigint, f2 bigint, record bigint, at bigint"
-
-
 def _shared(windows: DataFrame) -> DataFrame:
-    keys = windows.groupBy("f1", "f2").agg(F.min("record").alias("a"), F.max("record").alias("b")).where("a < b").select("f1", "f2")
-    return windows.join(keys, ["f1", "f2"], "left_semi").select("record", "at")
+    """The windows whose name two records hold, with the least and the greatest of these."""
+    keys = windows.groupBy("f1", "f2").agg(F.min("record").alias("a"), F.max("record").alias("b")).where("a < b")
+    return windows.join(keys, ["f1", "f2"])
 
 
 def candidates(artifacts: DataFrame, events: DataFrame, least: int = LEAST) -> DataFrame:
-    """(record, content, spans): the records that may share a span, and where."""
+    """(record, content, spans): the records with windows whose symbol another record holds too, and the ranges of these."""
     records = _records(artifacts, events, least)
-    names = records.mapInArrow(_anchor_batches, "name bigint, record bigint, place bigint")
-    lone = names.groupBy("name").agg(F.min("record").alias("record"), F.max("record").alias("other"), F.min("place").alias("place")).where("record = other")
-    per = lone.groupBy("record").agg(F.collect_list("place").alias("lone"))  # bounded by the record's length
-    once = records.join(per, "record", "left")
+    rows = records.mapInArrow(_symbol_batches(least), "name bigint, record bigint, place bigint")
+    ends = [F.min("record").alias("record"), F.max("record").alias("other"), F.min("place").alias("one"), F.max("place").alias("two")]
+    lone = rows.groupBy("name").agg(*ends).where("record = other")
+    per = lone.groupBy("record").agg(F.collect_list("one").alias("one"), F.collect_list(F.expr("if(two > one, two, null)")).alias("two"))  # bounded by the record's length
+    once = records.join(per, "record", "left").select("record", "content", "one", "two")
     return keep(once.mapInArrow(_candidate_batches(least), "record bigint, content string, spans array<bigint>").dropDuplicates(["record"]))
 
 
-def shared_windows(artifacts: DataFrame, events: DataFrame, least: int = LEAST, neighbours: int = NEIGHBOURS, bits: int = FILTER_BITS, whole: bool = False) -> DataFrame:
-    """(record, at): windows of ``least`` characters that stand in another record too.
+def _open_batches(least):
+    """From (record, ranges of a symbol, places of finds) the symbols of windows that reach outside the finds."""
+
+    def run(batches):
+        for b in batches:
+            names = [set()]
+            for ranges, at in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                at = np.asarray(at or [], np.int64)
+                ranges.sort(key=lambda x: x["lo"])
+                left = uncovered([y for x in ranges for y in (x["lo"], x["hi"])], at, least)
+                if left:
+                    which, _, _ = _clip(np.asarray([x["lo"] for x in ranges]), np.asarray([x["hi"] for x in ranges]), left)
+                    names.append({ranges[k]["name"] for k in which.tolist()})
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(set().union(*names)), pa.int64())], names=["name"])
+
+    return run
+
+
+def shared_windows(artifacts: DataFrame, events: DataFrame, least: int = LEAST, step: int = STEP, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(windows, candidates); windows: (f1, f2, record, at, a, b), windows of ``least`` characters that stand in another
+    record too, with their names and the least and greatest record that hold the name.
 
     Every record that shares a span has rows. If ``whole``, its windows cover every
-    shared span; else those of at least least + neighbours - 1 characters, but for less
-    than ``neighbours`` characters at their ends. Repeated deliveries are one record; null
+    shared span; else those of at least least + step - 1 characters, but for less
+    than ``step`` characters at their ends. Repeated deliveries are one record; null
     ids or contents and shorter contents give none; an item's own repeats do not count."""
     some = candidates(artifacts, events, least)
-    first = keep(_shared(some.mapInArrow(_window_batches(least, lambda f: minimizers(f, neighbours)), _WINDOW_DDL)))
+    ranges = keep(some.mapInArrow(_range_batches(least), _RANGES_DDL))
+    first = keep(_shared(some.mapInArrow(_sparse_windows(least, step), _WINDOW_DDL)))
     if whole:
         places = first.groupBy("record").agg(F.sort_array(F.collect_set("at")).alias("at"))  # bounded by the record's length
-        open_ = some.join(places, "record", "left").mapInArrow(_uncovered_batches(least), "record bigint, content string, spans array<bigint>")
+        per = ranges.groupBy("record").agg(F.collect_list(F.struct("name", "lo", "hi")).alias("ranges"))  # likewise
+        wanted = per.join(places, "record", "left").select("record", "ranges", "at").mapInArrow(_open_batches(least), "name bigint")
     else:
-        open_ = some.join(first.select("record").distinct(), "record", "left_anti")
+        wanted = ranges.join(first.select("record").distinct(), "record", "left_anti").select("name")
+    again = ranges.join(wanted.distinct(), "name", "left_semi").groupBy("record").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    looked = keep(some.select("record", "content").join(again, "record").select("record", "content", "ranges"))
+    return first.unionByName(_shared(looked.mapInArrow(_dense_windows(least), _WINDOW_DDL))), some
+
 
-    def add(batches):  # the windows still open, as a filter of fixed size
-        seen = np.zeros(bits, bool)
+def _piece_batches(least):
+    def run(batches):
         for b in batches:
-            f = b.column(0).to_numpy()
-            for k in range(3):
-                seen[bloom_bits(f, bits, k)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(seen).tobytes()])], names=["seen"])
-
-    every = _window_batches(least, lambda f: np.arange(len(f)))
-    few = open_.mapInArrow(every, _WINDOW_DDL).select("f1").coalesce(FILTER_PARTS).mapInArrow(add, "seen binary")
-    seen = np.zeros(bits // 8, np.uint8)
-    for row in few.toLocalIterator():  # FILTER_PARTS rows of bits / 8 bytes, one at a time
-        seen |= np.frombuffer(row[0], np.uint8)
-    if not seen.any():
-        return first
-    shared = artifacts.sparkSession.sparkContext.broadcast(seen)
-
-    def passing(f):
-        table = shared.value
-        left = np.arange(len(f))
-        for k in range(3):
-            places = bloom_bits(f[left], bits, k)
-            left = left[(table[places >> np.uint64(3)] >> (np.uint8(7) - (places & np.uint64(7)).astype(np.uint8))) & np.uint8(1) == 1]
-        return left
-
-    return first.unionByName(_shared(some.mapInArrow(_window_batches(least, passing), _WINDOW_DDL)))
+            names, pieces = [], []
+            for text, some in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for x in some:
+                    names.append((x["f1"], x["f2"]))
+                    pieces.append(text[x["at"] : x["at"] + least])
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in names], pa.int64()), pa.array([n for _, n in names], pa.int64()), pa.array(pieces, pa.string())], names=["f1", "f2", "piece"])
+
+    return run
+
+
+def sharing(artifacts: DataFrame, events: DataFrame, least: int = LEAST) -> DataFrame:
+    """(record): the records that share a span. One window of each is compared, as text, with those of the
+    least and greatest record that hold its name; two texts of one name would be an error."""
+    windows, contents = shared_windows(artifacts, events, least)
+    windows = keep(windows)
+    chosen = windows.groupBy("record").agg(F.min("f1").alias("f1")).join(windows, ["record", "f1"]).groupBy("record", "f1").agg(F.min("f2").alias("f2"), F.min("a").alias("a"), F.max("b").alias("b"))
+    ask = chosen.select("f1", "f2", F.explode(F.array_distinct(F.array("record", "a", "b"))).alias("record")).distinct()
+    where = windows.groupBy("f1", "f2", "record").agg(F.min("at").alias("at")).join(ask, ["f1", "f2", "record"], "left_semi")
+    per = where.groupBy("record").agg(F.collect_list(F.struct("f1", "f2", "at")).alias("some"))  # bounded by the record's length
+    pieces = contents.select("record", "content").join(per, "record").select("content", "some").mapInArrow(_piece_batches(least), "f1 bigint, f2 bigint, piece string")
+    same = pieces.groupBy("f1", "f2").agg(F.min("piece").alias("x"), F.max("piece").alias("y"))
+    checked = same.select("f1", "f2", F.when(F.col("x") == F.col("y"), True).otherwise(F.raise_error(F.lit("two texts have one name"))).alias("equal"))
+    return chosen.join(checked.where("equal"), ["f1", "f2"]).select("record").distinct()
 
 
 def overlap(artifacts: DataFrame, events: DataFrame, least: int = LEAST) -> DataFrame:
     """By item: the characters that stand in another record within a span of at least ``least``, and their share."""
-    found = shared_windows(artifacts, events, least, whole=True).groupBy("record").agg(F.sort_array(F.collect_set("at")).alias("at"))
+    windows, contents = shared_windows(artifacts, events, least, whole=True)
+    found = windows.groupBy("record").agg(F.sort_array(F.collect_set("at")).alias("at"))
     # windows that touch or overlap join; bounded by the record's length
     chars = F.expr(f"aggregate(at, named_struct('to', 0L, 'n', 0L), (s, x) -> named_struct('to', x + {least}, 'n', s.n + x + {least} - greatest(x, s.to)), s -> s.n)")
-    sizes = _records(artifacts, events, least).groupBy("record").agg(F.max(F.length("content")).alias("chars"))
+    sizes = contents.select("record", F.length("content").alias("chars"))
     out = found.select("record", chars.alias("shared_chars")).join(sizes, "record")
     return named(out).select("item_table", "item_id", F.col("chars").cast("bigint").alias("chars"), "shared_chars", F.round(F.col("shared_chars") / F.col("chars"), 6).alias("shared_share"))
