@@ -8,7 +8,7 @@ most CAP characters, so what stands outside a span disturbs only a margin of it.
 
 On these symbols three rounds in Spark name larger and larger pieces and keep
 what another record holds too.  Names are shuffled, contents are not, but for one
-join of the contents with what the first round leaves of them.
+join of the contents with what the first round leaves of them, and the pieces that this cuts out.
 
 1. Of the runs of WIDTH symbols in the undisturbed inside of a window of ``least``
    characters, the least name is the window's symbol.  Equal windows have equal
@@ -222,9 +222,9 @@ def uncovered(ranges, at, least):
 #: Texts compressed side by side hold about so many characters.
 BLOCK_CHARS = 400_000
 _LONE = pa.schema([("name", pa.int64()), ("record", pa.int64()), ("place", pa.int64())])
-_RANGES = pa.schema([("name", pa.int64()), ("record", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
+_RANGES = pa.schema([("name", pa.int64()), ("record", pa.int64()), ("base", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
 _WINDOWS = pa.schema([("f1", pa.int64()), ("f2", pa.int64()), ("record", pa.int64()), ("at", pa.int64())])
-_RANGES_DDL = "name bigint, record bigint, lo bigint, hi bigint"
+_RANGES_DDL = "name bigint, record bigint, base bigint, lo bigint, hi bigint"
 _WINDOW_DDL = "f1 bigint, f2 bigint, record bigint, at bigint"
 
 
@@ -257,46 +257,36 @@ def _symbol_batches(least):
 
 
 def _candidate_batches(least):
-    """From (record, content, packed ranges of lone symbols) the records with windows left: (record, content, spans)."""
+    """From (record, content, packed ranges of lone symbols) the pieces whose windows are left: (record, base, piece)."""
 
     def run(batches):
         for b in batches:
-            keys, texts, spans = [], [], []
+            keys, bases, pieces = [], [], []
             for key, text, one, two in zip(*(b.column(i).to_pylist() for i in range(4))):
                 left = left_over(len(text) - least + 1, np.asarray((one or []) + (two or []), np.int64))
-                if left:
+                for lo, hi in zip(left[::2], left[1::2]):
                     keys.append(key)
-                    texts.append(text)
-                    spans.append(left)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(texts, pa.string()), pa.array(spans, pa.list_(pa.int64()))], names=["record", "content", "spans"])
+                    bases.append(lo)
+                    pieces.append(text[lo : hi + least])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(bases, pa.int64()), pa.array(pieces, pa.string())], names=["record", "base", "piece"])
 
     return run
 
 
 def _clip(lo, hi, spans):
-    """Parts of the sorted ranges lo .. hi inside the spans: (index of the range, lo, hi)."""
+    """Indices of those of the sorted ranges lo .. hi that meet one of the spans."""
     a, b = np.asarray(spans[::2], np.int64), np.asarray(spans[1::2], np.int64)
-    i, j = np.searchsorted(b, lo, side="left"), np.searchsorted(a, hi, side="right")
-    n = np.maximum(0, j - i)
-    which = np.repeat(np.arange(len(lo)), n)
-    span = np.repeat(i, n) + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-    return which, np.maximum(lo[which], a[span]), np.minimum(hi[which], b[span])
+    return np.flatnonzero(np.searchsorted(a, hi, side="right") > np.searchsorted(b, lo, side="left"))
 
 
 def _range_batches(least):
-    """From (record, content, spans): the ranges of windows with one symbol inside the spans."""
+    """From (record, piece, base): the ranges of windows with one symbol, by (name, record, base)."""
 
     def run(batches):
-        for keys, texts, spans in _blocks(batches):
+        for keys, texts, bases in _blocks(batches):
             name, _, lo, hi, text = symbols(texts, least)
-            ends = np.searchsorted(text, np.arange(len(texts) + 1))
-            cols = [[], [], [], []]
-            for i, key in enumerate(keys):
-                s = slice(ends[i], ends[i + 1])
-                which, a, b = _clip(lo[s], hi[s], spans[i])
-                for c, x in zip(cols, (name[s][which].view(np.int64), np.full(len(which), key, np.int64), a, b)):
-                    c.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], schema=_RANGES)
+            base = np.asarray(bases, np.int64)[text]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (name.view(np.int64), np.asarray(keys, np.int64)[text], base, lo + base, hi + base)], schema=_RANGES)
 
     return run
 
@@ -310,12 +300,12 @@ def _sparse(place, lo, hi, step):
     return np.unique(np.concatenate((lo, hi, at)))
 
 
-def _name_batches(keys_texts_places, least):
-    """Names of the windows of each (record, text, places)."""
+def _name_batches(some, least):
+    """Names of the windows of each (record, piece, base of the piece, windows of the piece)."""
     cols, size = [[], [], [], []], 0
-    for key, text, at in keys_texts_places:
+    for key, text, base, at in some:
         one, two = fingerprints(text, at, least)
-        for c, x in zip(cols, (one, two, np.full(len(at), key, np.int64), at)):
+        for c, x in zip(cols, (one, two, np.full(len(at), key, np.int64), at + base)):
             c.append(x)
         size += len(at)
         if size > 100_000:
@@ -327,24 +317,21 @@ def _name_batches(keys_texts_places, least):
 
 def _sparse_windows(least, step):
     def some(batches):
-        for keys, texts, spans in _blocks(batches):
+        for keys, texts, bases in _blocks(batches):
             _, place, lo, hi, text = symbols(texts, least)
             ends = np.searchsorted(text, np.arange(len(texts) + 1))
             for i, key in enumerate(keys):
                 s = slice(ends[i], ends[i + 1])
-                at = _sparse(place[s], lo[s], hi[s], step)
-                a, b = np.asarray(spans[i][::2], np.int64), np.asarray(spans[i][1::2], np.int64)
-                k = np.searchsorted(a, at, side="right") - 1
-                yield key, texts[i], at[(k >= 0) & (at <= b[k])]
+                yield key, texts[i], bases[i], _sparse(place[s], lo[s], hi[s], step)
 
     return lambda batches: _name_batches(some(batches), least)
 
 
 def _dense_windows(least):
     def some(batches):
-        for keys, texts, ranges in _blocks(batches):
-            for key, text, r in zip(keys, texts, ranges):
-                yield key, text, np.unique(np.concatenate([np.arange(x["lo"], x["hi"] + 1) for x in r]))
+        for keys, texts, bases, ranges in _blocks(batches):
+            for key, text, base, r in zip(keys, texts, bases, ranges):
+                yield key, text, base, np.unique(np.concatenate([np.arange(x["lo"] - base, x["hi"] + 1 - base) for x in r]))
 
     return lambda batches: _name_batches(some(batches), least)
 
@@ -367,14 +354,14 @@ def _shared(windows: DataFrame) -> DataFrame:
 
 
 def candidates(artifacts: DataFrame, events: DataFrame, least: int = LEAST) -> DataFrame:
-    """(record, content, spans): the records with windows whose symbol another record holds too, and the ranges of these."""
+    """(record, piece, base): the pieces, from ``base`` on, of records whose windows have symbols that another record holds too."""
     records = _records(artifacts, events, least)
     rows = records.mapInArrow(_symbol_batches(least), "name bigint, record bigint, place bigint")
     ends = [F.min("record").alias("record"), F.max("record").alias("other"), F.min("place").alias("one"), F.max("place").alias("two")]
     lone = rows.groupBy("name").agg(*ends).where("record = other")
     per = lone.groupBy("record").agg(F.collect_list("one").alias("one"), F.collect_list(F.expr("if(two > one, two, null)")).alias("two"))  # bounded by the record's length
     once = records.join(per, "record", "left").select("record", "content", "one", "two")
-    return keep(once.mapInArrow(_candidate_batches(least), "record bigint, content string, spans array<bigint>").dropDuplicates(["record"]))
+    return keep(once.mapInArrow(_candidate_batches(least), "record bigint, base bigint, piece string").select("record", "piece", "base").dropDuplicates(["record", "base"]))
 
 
 def _open_batches(least):
@@ -388,7 +375,7 @@ def _open_batches(least):
                 ranges.sort(key=lambda x: x["lo"])
                 left = uncovered([y for x in ranges for y in (x["lo"], x["hi"])], at, least)
                 if left:
-                    which, _, _ = _clip(np.asarray([x["lo"] for x in ranges]), np.asarray([x["hi"] for x in ranges]), left)
+                    which = _clip(np.asarray([x["lo"] for x in ranges]), np.asarray([x["hi"] for x in ranges]), left)
                     names.append({ranges[k]["name"] for k in which.tolist()})
             yield pa.RecordBatch.from_arrays([pa.array(sorted(set().union(*names)), pa.int64())], names=["name"])
 
@@ -396,7 +383,7 @@ def _open_batches(least):
 
 
 def shared_windows(artifacts: DataFrame, events: DataFrame, least: int = LEAST, step: int = STEP, whole: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(windows, candidates); windows: (f1, f2, record, at, a, b), windows of ``least`` characters that stand in another
+    """(windows, pieces), the pieces as of ``candidates``; windows: (f1, f2, record, at, a, b), windows of ``least`` characters that stand in another
     record too, with their names and the least and greatest record that hold the name.
 
     Every record that shares a span has rows. If ``whole``, its windows cover every
@@ -412,8 +399,8 @@ def shared_windows(artifacts: DataFrame, events: DataFrame, least: int = LEAST,
         wanted = per.join(places, "record", "left").select("record", "ranges", "at").mapInArrow(_open_batches(least), "name bigint")
     else:
         wanted = ranges.join(first.select("record").distinct(), "record", "left_anti").select("name")
-    again = ranges.join(wanted.distinct(), "name", "left_semi").groupBy("record").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-    looked = keep(some.select("record", "content").join(again, "record").select("record", "content", "ranges"))
+    again = ranges.join(wanted.distinct(), "name", "left_semi").groupBy("record", "base").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    looked = keep(some.join(again, ["record", "base"]).select("record", "piece", "base", "ranges"))
     return first.unionByName(_shared(looked.mapInArrow(_dense_windows(least), _WINDOW_DDL))), some
 
 
@@ -421,10 +408,11 @@ def _piece_batches(least):
     def run(batches):
         for b in batches:
             names, pieces = [], []
-            for text, some in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for text, base, some in zip(*(b.column(i).to_pylist() for i in range(3))):
                 for x in some:
-                    names.append((x["f1"], x["f2"]))
-                    pieces.append(text[x["at"] : x["at"] + least])
+                    if base <= x["at"] <= base + len(text) - least:
+                        names.append((x["f1"], x["f2"]))
+                        pieces.append(text[x["at"] - base : x["at"] - base + least])
             yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in names], pa.int64()), pa.array([n for _, n in names], pa.int64()), pa.array(pieces, pa.string())], names=["f1", "f2", "piece"])
 
     return run
@@ -433,13 +421,13 @@ def _piece_batches(least):
 def sharing(artifacts: DataFrame, events: DataFrame, least: int = LEAST) -> DataFrame:
     """(record): the records that share a span. One window of each is compared, as text, with those of the
     least and greatest record that hold its name; two texts of one name would be an error."""
-    windows, contents = shared_windows(artifacts, events, least)
+    windows, parts = shared_windows(artifacts, events, least)
     windows = keep(windows)
     chosen = windows.groupBy("record").agg(F.min("f1").alias("f1")).join(windows, ["record", "f1"]).groupBy("record", "f1").agg(F.min("f2").alias("f2"), F.min("a").alias("a"), F.max("b").alias("b"))
     ask = chosen.select("f1", "f2", F.explode(F.array_distinct(F.array("record", "a", "b"))).alias("record")).distinct()
     where = windows.groupBy("f1", "f2", "record").agg(F.min("at").alias("at")).join(ask, ["f1", "f2", "record"], "left_semi")
     per = where.groupBy("record").agg(F.collect_list(F.struct("f1", "f2", "at")).alias("some"))  # bounded by the record's length
-    pieces = contents.select("record", "content").join(per, "record").select("content", "some").mapInArrow(_piece_batches(least), "f1 bigint, f2 bigint, piece string")
+    pieces = parts.join(per, "record").select("piece", "base", "some").mapInArrow(_piece_batches(least), "f1 bigint, f2 bigint, piece string")
     same = pieces.groupBy("f1", "f2").agg(F.min("piece").alias("x"), F.max("piece").alias("y"))
     checked = same.select("f1", "f2", F.when(F.col("x") == F.col("y"), True).otherwise(F.raise_error(F.lit("two texts have one name"))).alias("equal"))
     return chosen.join(checked.where("equal"), ["f1", "f2"]).select("record").distinct()
@@ -447,10 +435,10 @@ def sharing(artifacts: DataFrame, events: DataFrame, least: int = LEAST) -> Data
 
 def overlap(artifacts: DataFrame, events: DataFrame, least: int = LEAST) -> DataFrame:
     """By item: the characters that stand in another record within a span of at least ``least``, and their share."""
-    windows, contents = shared_windows(artifacts, events, least, whole=True)
+    windows, _ = shared_windows(artifacts, events, least, whole=True)
     found = windows.groupBy("record").agg(F.sort_array(F.collect_set("at")).alias("at"))
     # windows that touch or overlap join; bounded by the record's length
     chars = F.expr(f"aggregate(at, named_struct('to', 0L, 'n', 0L), (s, x) -> named_struct('to', x + {least}, 'n', s.n + x + {least} - greatest(x, s.to)), s -> s.n)")
-    sizes = contents.select("record", F.length("content").alias("chars"))
+    sizes = _records(artifacts, events, least).groupBy("record").agg(F.max(F.length("content")).alias("chars"))
     out = found.select("record", chars.alias("shared_chars")).join(sizes, "record")
     return named(out).select("item_table", "item_id", F.col("chars").cast("bigint").alias("chars"), "shared_chars", F.round(F.col("shared_chars") / F.col("chars"), 6).alias("shared_share"))
