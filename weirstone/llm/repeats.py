@@ -6,23 +6,23 @@ the symbol's name, another in each round) differ.  A name is a hash of what it
 stands for, so all tasks name alike without a dictionary, and a symbol covers at
 most CAP characters, so what stands outside a span disturbs only a margin of it.
 
-On these symbols three rounds in Spark name larger and larger pieces and keep
-what another record holds too.  Names are shuffled, contents are not, but for one
-join of the contents with what the first round leaves of them, and the pieces that this cuts out.
+On these symbols rounds in Spark name larger and larger pieces and keep what another
+record holds too.  Names are shuffled; texts only to meet what a round leaves of them.
 
 1. Of the runs of WIDTH symbols in the undisturbed inside of a window of ``least``
    characters, the least name is the window's symbol.  Equal windows have equal
    symbols at equal places.  Neighbouring windows mostly share one, so there is a
    row for about 70 characters: (symbol, record, range of windows).  A symbol that
    one record alone holds rules its windows out.
-2. Windows that stand at fixed places to their shared symbol, or where the symbol
-   changes, get names themselves, made of the names of all their characters.  A
-   name in two records reveals a shared span; all spans of least + STEP - 1
-   characters are revealed.
-3. For what is still open (records without a find, or for the overlap windows that
-   reach outside the finds) the symbols of its windows are looked up, and all
-   windows of all records that have one of these symbols are named.  That makes
-   the decision exact for spans of every length.
+2. In the pieces that are left, a window's symbol is the pair of the least runs of
+   the two halves of its inside, with their distance.  Again lone ones are ruled out.
+3. Windows that stand at fixed places to their run, or where it changes, get names
+   themselves, made of all their characters.  A name in two records reveals a shared
+   span; all spans of least + STEP - 1 characters are revealed.
+4. For what is still open (records without a find, or for the overlap windows that
+   reach outside the finds) the pairs of its windows are looked up, and all windows
+   of all records that have one of these pairs are named.  That makes the decision
+   exact for spans of every length.
 
 For each record found the text of one window is then compared with the texts of
 the other records that hold the name.
@@ -49,7 +49,9 @@ WIDTH = 7
 #: Characters from a span's edge within which what stands outside it can change symbols:
 #: one run and, in every round, one more symbol.
 MARGIN = CAP + ROUNDS * CAP
-#: Distance of the windows that the second round names, where the symbol stays the same.
+#: Runs in a symbol of the second round.
+PAIR = 2
+#: Distance of the windows that the third round names, where the symbol stays the same.
 STEP = 16
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _S29, _S32 = np.uint64(29), np.uint64(32)
@@ -122,11 +124,18 @@ def _least(a, lo, hi):
     return out
 
 
-def symbols(texts, least=LEAST, width=WIDTH, margin=MARGIN):
-    """The windows' symbols of several texts: (name, place of the symbol, first window, last window, number of the text).
+def inside(least, pieces, margin=MARGIN):
+    """The undisturbed inside of a window in so many parts of equal length: [(from, to)]."""
+    at = [margin + (least - 2 * margin) * k // pieces for k in range(pieces + 1)]
+    return list(zip(at[:-1], at[1:]))
 
-    Windows of ``least`` characters are named by their starts; a row stands for the
-    windows of a text one after another that have the same symbol at the same place."""
+
+def symbols(texts, least=LEAST, pieces=1, width=WIDTH, margin=MARGIN):
+    """The windows' symbols of several texts: (name, place of the first run, first window, last window, number of the text).
+
+    A window of ``least`` characters, named by its start, has as its symbol the least run in each of ``pieces``
+    parts of its inside, with their distances; a row stands for the windows of a text one after another
+    that have the same runs at the same places."""
     names, starts, first, sizes = compress(texts)
     n = max(0, len(names) - width)
     with np.errstate(over="ignore"):
@@ -136,24 +145,37 @@ def symbols(texts, least=LEAST, width=WIDTH, margin=MARGIN):
             whole &= names[k : k + n] != 0
     run = np.flatnonzero(whole)
     name, begin, end = many[run], starts[run], starts[run + width]
-    at = np.sort(np.concatenate((begin - margin + 1, end - least + margin, first)), kind="stable")  # where the runs inside change
+    parts = inside(least, pieces, margin)
+    at = np.concatenate([first, *(begin - a + 1 for a, _ in parts), *(end - b for _, b in parts)])  # where the runs inside change
+    at = np.sort(at, kind="stable")
     at = at[(at >= 0) & np.concatenate(([True], at[1:] != at[:-1]))]
     text = np.searchsorted(first, at, side="right") - 1
     last = first + sizes - least
     fits = at <= last[text]
     at, text = at[fits], text[fits]
-    lo, hi = np.searchsorted(begin, at + margin, side="left"), np.searchsorted(end, at + least - margin, side="right") - 1
-    pick = np.full(len(at), -1, np.int64)
-    some = lo <= hi
-    if some.any():
-        pick[some] = _least(name, lo[some], hi[some])
-    head = np.flatnonzero(np.concatenate(([True], (pick[1:] != pick[:-1]) | (text[1:] != text[:-1])))) if len(at) else np.empty(0, np.int64)
-    at, text, pick = at[head], text[head], pick[head]
-    until = np.minimum(np.concatenate((at[1:] - 1, [np.iinfo(np.int64).max])), last[text]) if len(at) else at
-    none = pick < 0  # windows without a run inside have the symbol 0
-    name = np.where(none, np.uint64(0), name[pick]) if len(name) else np.zeros(len(at), np.uint64)
-    place = np.where(none, at, begin[pick]) if len(begin) else at
-    return name, place - first[text], at - first[text], until - first[text], text
+    picks = np.full((pieces, len(at)), -1, np.int64)
+    for pick, (a, b) in zip(picks, parts):
+        lo, hi = np.searchsorted(begin, at + a, side="left"), np.searchsorted(end, at + b, side="right") - 1
+        some = lo <= hi
+        if some.any():
+            pick[some] = _least(name, lo[some], hi[some])
+    if len(at):
+        head = np.flatnonzero(np.concatenate(([True], (picks[:, 1:] != picks[:, :-1]).any(0) | (text[1:] != text[:-1]))))
+        at, text, picks = at[head], text[head], picks[:, head]
+        until = np.minimum(np.concatenate((at[1:] - 1, [np.iinfo(np.int64).max])), last[text])
+    else:
+        until = at
+    out, place = np.zeros(len(at), np.uint64), at
+    if len(name):  # a part without a run counts as a run 0 at the window's start
+        with np.errstate(over="ignore"):
+            for k, pick in enumerate(picks):
+                where, own = np.where(pick < 0, at, begin[pick]), np.where(pick < 0, np.uint64(0), name[pick])
+                if not k:
+                    out, place = own, where
+                else:
+                    apart = np.where((pick < 0) | (picks[0] < 0), 0, where - place)
+                    out = _mix(_mix(out * _M2 + own) + apart.astype(np.uint64))
+    return out, place - first[text], at - first[text], until - first[text], text
 
 
 _BASES = (0x2545F4914F6CDD1D, 0x9E3779B97F4A7C55)
@@ -186,13 +208,14 @@ def fingerprints(text, at, least):
     return out
 
 
-def left_over(windows, lone):
-    """[lo, hi, lo, hi, ...]: of the windows 0 .. windows - 1 those outside the packed ranges ``lone``."""
-    if not len(lone):
-        return [0, windows - 1] if windows > 0 else []
+def left_over(lo, hi, lone):
+    """[lo, hi, lo, hi, ...]: of the windows lo .. hi those outside the packed ranges ``lone``."""
     p = np.sort(lone)
-    lo, hi = p >> _BITS, np.maximum.accumulate((p >> _BITS) + (p & ((1 << _BITS) - 1)))
-    a, b = np.concatenate(([0], hi + 1)), np.concatenate((lo - 1, [windows - 1]))
+    begin = p >> _BITS
+    end = begin + (p & ((1 << _BITS) - 1))
+    meet = (end >= lo) & (begin <= hi)
+    end = np.maximum.accumulate(end[meet])
+    a, b = np.concatenate(([lo], end + 1)), np.concatenate((begin[meet] - 1, [hi]))
     some = a <= b
     return np.stack((a[some], b[some]), 1).ravel().tolist()
 
@@ -242,55 +265,58 @@ def _blocks(batches):
             yield list(zip(*rows))
 
 
-def _symbol_batches(least):
+def _symbol_batches(least, pieces):
+    """From (record, piece, base): a row for each range of windows with one name."""
+
     def run(batches):
-        for keys, texts in _blocks(batches):
-            name, _, lo, hi, text = symbols(texts, least)
-            same = (name[1:] == name[:-1]) & (text[1:] == text[:-1])  # the same name at another place
-            head, tail = np.concatenate(([True], ~same)), np.concatenate((~same, [True]))
+        for keys, texts, bases in _blocks(batches):
+            name, _, lo, hi, text = symbols(texts, least, pieces)
             if not len(name):
                 continue
+            same = (name[1:] == name[:-1]) & (text[1:] == text[:-1])  # the same name at another place
+            head, tail = np.concatenate(([True], ~same)), np.concatenate((~same, [True]))
             span = np.minimum(hi[tail] - lo[head], (1 << _BITS) - 1)
-            yield pa.RecordBatch.from_arrays([pa.array(name[head].view(np.int64)), pa.array(np.asarray(keys, np.int64)[text[head]]), pa.array(lo[head] << _BITS | span)], schema=_LONE)
+            text = text[head]
+            yield pa.RecordBatch.from_arrays([pa.array(name[head].view(np.int64)), pa.array(np.asarray(keys, np.int64)[text]), pa.array(lo[head] + np.asarray(bases, np.int64)[text] << _BITS | span)], schema=_LONE)
 
     return run
 
 
-def _candidate_batches(least):
-    """From (record, content, packed ranges of lone symbols) the pieces whose windows are left: (record, base, piece)."""
+def _piece_batches(least):
+    """From (record, piece, base, packed ranges of lone symbols) the smaller pieces whose windows are left."""
 
     def run(batches):
         for b in batches:
             keys, bases, pieces = [], [], []
-            for key, text, one, two in zip(*(b.column(i).to_pylist() for i in range(4))):
-                left = left_over(len(text) - least + 1, np.asarray((one or []) + (two or []), np.int64))
+            for key, text, base, one, two in zip(*(b.column(i).to_pylist() for i in range(5))):
+                left = left_over(base, base + len(text) - least, np.asarray((one or []) + (two or []), np.int64))
                 for lo, hi in zip(left[::2], left[1::2]):
                     keys.append(key)
                     bases.append(lo)
-                    pieces.append(text[lo : hi + least])
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(bases, pa.int64()), pa.array(pieces, pa.string())], names=["record", "base", "piece"])
+                    pieces.append(text[lo - base : hi - base + least])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(pieces, pa.string()), pa.array(bases, pa.int64())], names=["record", "piece", "base"])
 
     return run
 
 
-def _clip(lo, hi, spans):
-    """Indices of those of the sorted ranges lo .. hi that meet one of the spans."""
-    a, b = np.asarray(spans[::2], np.int64), np.asarray(spans[1::2], np.int64)
-    return np.flatnonzero(np.searchsorted(a, hi, side="right") > np.searchsorted(b, lo, side="left"))
-
-
-def _range_batches(least):
+def _range_batches(least, pieces):
     """From (record, piece, base): the ranges of windows with one symbol, by (name, record, base)."""
 
     def run(batches):
         for keys, texts, bases in _blocks(batches):
-            name, _, lo, hi, text = symbols(texts, least)
+            name, _, lo, hi, text = symbols(texts, least, pieces)
             base = np.asarray(bases, np.int64)[text]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (name.view(np.int64), np.asarray(keys, np.int64)[text], base, lo + base, hi + base)], schema=_RANGES)
 
     return run
 
 
+def _clip(lo, hi, spans):
+    """Indices of those of the sorted ranges lo .. hi that meet one of the spans."""
+    a, b = np.asarray(spans[::2], np.int64), np.asarray(spans[1::2], np.int64)
+    return np.flatnonzero(np.searchsorted(a, hi, side="right") > np.searchsorted(b, lo, side="left"))
+
+
 def _sparse(place, lo, hi, step):
     """Windows of the ranges lo .. hi: the first, the last, and those whose distance to the symbol is a multiple of ``step``: (range, window)."""
     begin = lo + (place - lo) % step
@@ -353,15 +379,20 @@ def _shared(windows: DataFrame) -> DataFrame:
     return windows.join(keys, ["f1", "f2"])
 
 
-def candidates(artifacts: DataFrame, events: DataFrame, least: int = LEAST) -> DataFrame:
-    """(record, piece, base): the pieces, from ``base`` on, of records whose windows have symbols that another record holds too."""
-    records = _records(artifacts, events, least)
-    rows = records.mapInArrow(_symbol_batches(least), "name bigint, record bigint, place bigint")
+def narrowed(pieces: DataFrame, parts: int, least: int = LEAST) -> DataFrame:
+    """Of the pieces (record, piece, base) those parts whose windows have symbols that another record holds too."""
+    rows = pieces.mapInArrow(_symbol_batches(least, parts), "name bigint, record bigint, place bigint")
     ends = [F.min("record").alias("record"), F.max("record").alias("other"), F.min("place").alias("one"), F.max("place").alias("two")]
     lone = rows.groupBy("name").agg(*ends).where("record = other")
     per = lone.groupBy("record").agg(F.collect_list("one").alias("one"), F.collect_list(F.expr("if(two > one, two, null)")).alias("two"))  # bounded by the record's length
-    once = records.join(per, "record", "left").select("record", "content", "one", "two")
-    return keep(once.mapInArrow(_candidate_batches(least), "record bigint, base bigint, piece string").select("record", "piece", "base").dropDuplicates(["record", "base"]))
+    once = pieces.join(per, "record", "left").select("record", "piece", "base", "one", "two")
+    return keep(once.mapInArrow(_piece_batches(least), "record bigint, piece string, base bigint").dropDuplicates(["record", "base"]))
+
+
+def candidates(artifacts: DataFrame, events: DataFrame, least: int = LEAST) -> DataFrame:
+    """(record, piece, base): the pieces, from ``base`` on, of records that the first two rounds leave."""
+    whole = _records(artifacts, events, least).select("record", F.col("content").alias("piece"), F.lit(0).cast("bigint").alias("base"))
+    return narrowed(narrowed(whole, 1, least), PAIR, least)
 
 
 def _open_batches(least):
@@ -391,7 +422,7 @@ def shared_windows(artifacts: DataFrame, events: DataFrame, least: int = LEAST,
     than ``step`` characters at their ends. Repeated deliveries are one record; null
     ids or contents and shorter contents give none; an item's own repeats do not count."""
     some = candidates(artifacts, events, least)
-    ranges = keep(some.mapInArrow(_range_batches(least), _RANGES_DDL))
+    ranges = keep(some.mapInArrow(_range_batches(least, PAIR), _RANGES_DDL))
     first = keep(_shared(some.mapInArrow(_sparse_windows(least, step), _WINDOW_DDL)))
     if whole:
         places = first.groupBy("record").agg(F.sort_array(F.collect_set("at")).alias("at"))  # bounded by the record's length
@@ -404,7 +435,7 @@ def shared_windows(artifacts: DataFrame, events: DataFrame, least: int = LEAST,
     return first.unionByName(_shared(looked.mapInArrow(_dense_windows(least), _WINDOW_DDL))), some
 
 
-def _piece_batches(least):
+def _text_batches(least):
     def run(batches):
         for b in batches:
             names, pieces = [], []
@@ -427,7 +458,7 @@ def sharing(artifacts: DataFrame, events: DataFrame, least: int = LEAST) -> Data
     ask = chosen.select("f1", "f2", F.explode(F.array_distinct(F.array("record", "a", "b"))).alias("record")).distinct()
     where = windows.groupBy("f1", "f2", "record").agg(F.min("at").alias("at")).join(ask, ["f1", "f2", "record"], "left_semi")
     per = where.groupBy("record").agg(F.collect_list(F.struct("f1", "f2", "at")).alias("some"))  # bounded by the record's length
-    pieces = parts.join(per, "record").select("piece", "base", "some").mapInArrow(_piece_batches(least), "f1 bigint, f2 bigint, piece string")
+    pieces = parts.join(per, "record").select("piece", "base", "some").mapInArrow(_text_batches(least), "f1 bigint, f2 bigint, piece string")
     same = pieces.groupBy("f1", "f2").agg(F.min("piece").alias("x"), F.max("piece").alias("y"))
     checked = same.select("f1", "f2", F.when(F.col("x") == F.col("y"), True).otherwise(F.raise_error(F.lit("two texts have one name"))).alias("equal"))
     return chosen.join(checked.where("equal"), ["f1", "f2"]).select("record").distinct()
