@@ -91,8 +91,9 @@ def test_credentials_operator(spark):
 def test_notices_are_hidden_from_the_features():
     body = "def f(a):\n    return a + 1\n" * 10
     plain, noted = provenance.measure("a.py", body), provenance.measure("a.py", "# Code generated by x 1. DO NOT EDIT.\n" + body)
-    assert noted[0] and not plain[0] and noted[2] == plain[2]
-    assert not provenance.measure("a.py", '# writes files that say "DO NOT EDIT" on top, see x\n' + body)[0]
+    assert noted[0] and not plain[0] and noted[4] == plain[4]
+    ends = provenance.measure("a.js", body + "//# sourceMappingURL=a.map\n")
+    assert ends[0] and ends[4] == plain[4]  # nor do the line counts tell that a line was taken out
     assert provenance.measure("t.py", "T = [" + ", ".join(str(i * 7919 % 10007) for i in range(300)) + "]\n")[1]
 
 
@@ -111,6 +112,24 @@ def test_forest_on_held_out_files(spark):
     assert sum(got[i] for i in range(300)) >= 0.95 * 300
 
 
+def test_words_of_paths_and_comments_are_learned(spark):
+    rng = random.Random(5)
+    word = lambda: rng.choice(["cursor", "payload", "ledger", "anchor", "socket", "marker", "fence", "gate"])
+    body = lambda: "\n".join(f"def {word()}_{word()}({word()}):\n    # {word()} first\n    return {word()} + {rng.randrange(99)}" for _ in range(rng.randrange(5, 15)))
+    notice = lambda: f"# Code generated by {word()}_{rng.randrange(99)}. DO NOT EDIT.\n"
+    speaks = lambda: f'# writes files that say "DO NOT EDIT" on top, see {word()}_{word()}\n'
+    rows, kinds = [], {}
+    for i in range(2400):
+        kind = ["folder", "folder and notice", "notice", "speaks"][i % 40] if i % 40 < 4 else "own"
+        folder = "gen_out" if "folder" in kind else word()
+        rows.append((i, "i", "r", f"src/{folder}/{word()}_{word()}.py", None, (notice() if "notice" in kind else speaks() if kind == "speaks" else "") + body(), ""))
+        kinds[i] = kind
+    got = {r.artifact_id: r.handwritten for r in provenance.provenance(spark.createDataFrame(rows, A)).collect()}
+    share = {k: np.mean([not got[i] for i in kinds if kinds[i] == k]) for k in set(kinds.values())}
+    assert min(share["folder"], share["folder and notice"], share["notice"]) >= 0.9  # also without a notice, and in ordinary folders
+    assert share["speaks"] <= 0.1 and share["own"] <= 0.03
+
+
 def test_forest_without_labels(spark):
     df = _arts(spark, [(i, f"x = {i}\n") for i in range(5)])
     assert provenance.provenance(df).where("handwritten").count() == 5
