@@ -11,8 +11,8 @@ vendored copies look like any other code:
 
 1. Text statistics and the path.  What a path's words tell is learned from the labels
    of the other files with that word.  Only some of the files that are not hand-written
-   say so, so the labels are positive and unlabelled cases: a file counts from half the
-   probability that the surest quarter of the labelled ones reaches.
+   say so, so the labels are positive and unlabelled cases: a file counts from half-way
+   between the share of the labelled ones and the probability that their surest quarter reaches.
 2. What comment lines at a file's ends tell is learned by their words, from the first
    step's decisions, which did not see them.  Lines that merely speak of generated files
    stand in hand-written ones, so their words tell little.
@@ -226,16 +226,23 @@ def _scored(files: DataFrame, column: str, words: str, label: str) -> DataFrame:
     return both.withColumns({column: F.col("both.told"), column + "_sure": F.col("both.sure")}).drop("both")
 
 
-def _forest(files: DataFrame, inputs: list, label: str, fit_rows: int, trees: int, depth: int) -> DataFrame:
-    """files with the probability of ``label`` by a forest fitted on at most fit_rows of them; where all labels are alike, the label itself."""
-    labelled = VectorAssembler(inputCols=inputs, outputCol="x").transform(files.withColumn("y", F.col(label).cast("double")))
-    fit = keep(labelled.select("artifact_id", "x", "y").orderBy(F.xxhash64("artifact_id"), "artifact_id").limit(fit_rows).select(vector_to_array("x").alias("x"), "y"))
-    sizes = {r["y"]: r["count"] for r in fit.groupBy("y").count().collect()}  # at most two rows
-    if len(sizes) < 2:
-        return labelled.withColumn("p", F.col("y")).drop("x", "y")
+def _forest(files: DataFrame, inputs: list, label: str, fit_rows: int, trees: int, depth: int, cross: bool = False) -> DataFrame:
+    """files with the probability p of ``label`` by a forest fitted on at most fit_rows of them; if cross, by that
+    of two forests that was fitted on the other half of the files. Where all labels are alike, p is the label itself."""
+    half = F.pmod(F.xxhash64("artifact_id", F.lit("half")), F.lit(2)).cast("int")
+    labelled = VectorAssembler(inputCols=inputs, outputCol="x").transform(files.withColumns({"y": F.col(label).cast("double"), "half": half}))
+    sample = labelled.select("artifact_id", "x", "y", "half").orderBy(F.xxhash64("artifact_id"), "artifact_id").limit(fit_rows)
+    fit = keep(sample.select(vector_to_array("x").alias("x"), "y", "half")).select(array_to_vector("x").alias("x"), "y", "half")
+    sizes = {(r["half"], r["y"]) for r in fit.select("half", "y").distinct().collect()}  # at most four rows
+    if len({y for _, y in sizes}) < 2 or cross and len(sizes) < 4:
+        return labelled.withColumn("p", F.col("y")).drop("x", "y", "half")
     forest = RandomForestClassifier(featuresCol="x", labelCol="y", numTrees=trees, maxDepth=depth, seed=17, featureSubsetStrategy="0.6", maxBins=BINS, minInstancesPerNode=LEAF)
-    model = forest.fit(fit.select(array_to_vector("x").alias("x"), "y"))
-    return model.transform(labelled).withColumn("p", vector_to_array("probability")[1]).drop("x", "y", "rawPrediction", "probability", "prediction")
+    out, cols = labelled, ["rawPrediction", "probability", "prediction"]
+    for k in (0, 1) if cross else (0,):
+        model = forest.fit(fit.where(F.col("half") != k) if cross else fit)
+        out = model.transform(out).withColumn(f"p{k}", vector_to_array("probability")[1]).drop(*cols)
+    p = F.when(F.col("half") == 0, F.col("p0")).otherwise(F.col("p1")) if cross else F.col("p0")
+    return out.withColumn("p", p).drop("x", "y", "half", "p0", "p1")
 
 
 def provenance(artifacts: DataFrame, fit_rows: int = FIT_ROWS, trees: int = 40, depth: int = 8, rounds: int = 3) -> DataFrame:
@@ -245,10 +252,11 @@ def provenance(artifacts: DataFrame, fit_rows: int = FIT_ROWS, trees: int = 40,
     features, what words tell, and the decision cover all. Where all labels are alike, or there
     are no rows, only the labels decide. Empty files are hand-written."""
     known = keep(features(artifacts).withColumn("label", F.col("notice") | F.col("data")).withColumn("fold", F.pmod(F.xxhash64("artifact_id", F.lit("fold")), F.lit(FOLDS)).cast("int")))
-    first = _forest(_scored(known, "path", "path_words", "notice"), [*FEATURES, "path", "path_sure"], "label", fit_rows, trees, depth).withColumnRenamed("p", "seen")
+    first = _forest(_scored(known, "path", "path_words", "notice"), [*FEATURES, "path", "path_sure"], "label", fit_rows, trees, depth, cross=True).withColumnRenamed("p", "seen")
     first = keep(first)
-    sure = first.where("notice").agg(F.percentile_approx("seen", 0.75)).first()[0] or 1.0
-    now = first.withColumn("marked", (F.col("seen") >= sure / 2) | F.col("data"))
+    sure, share = first.agg(F.percentile_approx(F.when(F.col("notice"), F.col("seen")), 0.75), F.avg(F.col("notice").cast("double"))).first()
+    least = ((1.0 if sure is None else sure) + (share or 0.0)) / 2
+    now = first.withColumn("marked", (F.col("seen") >= least) | F.col("data"))
     for _ in range(rounds):
         told = _scored(_scored(now.drop("path", "path_sure").withColumn("other", F.col("marked") & ~F.col("data")), "path", "path_words", "other"), "line", "lines", "marked")
         told = told.withColumn("target", F.col("marked") | (F.col("notice") & (F.col("line") > 0)))
