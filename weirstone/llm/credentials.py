@@ -1,11 +1,12 @@
 """Problem 4: credentials in source code, configuration and conversation.
 
-Quoted strings and long tokens are extracted where a credential may stand (an
-assignment to a telling name, a header, a URL's login, a flag, a telling
-phrase, or a token that carries an issuer's prefix).  A value counts if its
-Shannon entropy, over the alphabet it is written in, is above a threshold that
-falls with the value's length; placeholders, masks, references, digests,
-identifiers and public keys do not.
+Quoted strings and long tokens are extracted from all texts.  A value counts if
+its Shannon entropy reaches a share of what random text of its length in its
+alphabet has: nearly all of that where nothing else speaks for a credential
+(BARE), less where it has an issuer's prefix (ISSUED) or stands where credentials
+do (CONTEXT: an assignment to a telling name, a header, a URL's login, a flag, a
+telling phrase), since people's passwords and pass phrases are not random.
+Placeholders, references, digests, identifiers, data and public keys do not count.
 """
 
 from __future__ import annotations
@@ -23,14 +24,16 @@ from pyspark.sql import functions as F
 
 from .splitting import items
 
-_KW = r"(?:passwords?|passwd|passphrase|pass_?word|pwd|smtp[_-]?pass|secret(?:[_-]?key)?|(?<![a-z])tokens?|[a-z]Token|[_-]token|api[_ -]?key|apikey|access[_ -]?key|signing[_ -]?key|encryption[_ -]?key|private[_ -]?key|private[_ -]?token|credentials?)"
+_KW = r"(?:passwords?|passwd|passphrase|pass_?word|pwd|(?:smtp|ftp|db|ssh|vpn|root|admin|user|login)[ _-]?pass|secret(?:[_-]?key)?|(?<![a-z])tokens?|[a-z]Token|[_-]token|api[_ -]?key|apikey|access[_ -]?key|signing[_ -]?key|encryption[_ -]?key|private[_ -]?key|private[_ -]?token|credentials?)"
+#: Functions that take a user's name and password.
+_OPENS = r"(?:re)?connect|authenticate|auth|log_?[io]n|sign_?in|basic_?auth|(?:open|new|start|create)_?(?:session|connection|client)"
 #: A value in prose or a shell: a phrase of words that ends in a number, or one word.
 _PHRASE = r"[a-z]+(?: [a-z]+){1,4} \d{1,6}"
 _WORD = r"[^\s\"'`,;\\]+(?:[,;][^\s\"'`,;\\]+)*"
 _QUOTED = r"(?:\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`)"
-ANCHORS = ("passw", "passphrase", "pwd", "pass", "secret", "token", "apikey", "api key", "api_key", "api-key", "access_key", "access key", "accesskey", "access-key", "signing", "private", "credential", "authorization", "login", "log in", "://", " -u ", "ghp_", "glpat-", "xoxb-", "xoxp-", "akia", "eyj", "_live_", "sk-")
+ANCHORS = ("passw", "passphrase", "pwd", "pass", "secret", "token", "apikey", "api key", "api_key", "api-key", "access_key", "access key", "accesskey", "access-key", "signing", "private", "credential", "auth", "login", "log in", "connect", "session", "sign_in", "signin", "client(", "log_in", "logon", "log_on", "://", " -u ", "ghp_", "glpat-", "xoxb-", "xoxp-", "akia", "eyj", "_live_", "sk-")
 _ANCHOR = re.compile(
-    r"(?i)passw|passphrase|pwd|[_-]pass\b|secret|token|api[ _-]?key|access[ _-]?key|signing[ _-]?key|encryption[ _-]?key|private[ _-]?key|credential|authorization|\blog ?in\b|://[^\s/\"'@]+@| -u |ghp_|glpat-|xox[bp]-|AKIA|eyJ|_live_|\bsk-"
+    r"(?i)passw|passphrase|pwd|[ _-]pass\b|secret|token|api[ _-]?key|access[ _-]?key|signing[ _-]?key|encryption[ _-]?key|private[ _-]?key|credential|authorization|\blog ?in\b|\b(?:" + _OPENS + r")\(|://[^\s/\"'@]+@| -u |ghp_|glpat-|xox[bp]-|AKIA|eyJ|_live_|\bsk-"
 )
 _KEYBLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _KEYEND = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
@@ -43,7 +46,7 @@ RULES = [
     ("header", re.compile(r"(?i)authorization[\"']?\s*[:=,]\s*[\"']?(?:bearer|basic|token|apikey)\s+(?P<v>" + _PHRASE + "|" + _WORD + ")"), False),
     ("header", re.compile(r"(?i)\bx-(?:api-key|auth-token|access-token)[\"']?\s*[:=,]\s*[\"']?(?P<v>" + _WORD + ")"), False),
     ("query", re.compile(r"(?i)[?&][\w.\-]*" + _KW + r"=(?P<v>[^\s&\"'`#]+)"), False),
-    ("call", re.compile(r"(?i)\b(?:log_?in|connect|authenticate|auth)\((?:\s*" + _QUOTED + r"\s*,){1,3}\s*(?P<v>" + _QUOTED + r")\s*\)"), True),
+    ("call", re.compile(r"(?i)\b(?:" + _OPENS + r")\((?:\s*" + _QUOTED + r"\s*,){1,3}\s*(?P<v>" + _QUOTED + r")\s*\)"), True),
     ("netrc", re.compile(r"\blogin\s+\S+\s+password\s+(?P<v>" + _PHRASE + r"|\S+)"), False),
     ("prose", re.compile(r"(?i)\blog(?:ged|ging)? ?in (?:as|with user) \S+ (?:with|using|and) (?:password )?(?P<v>" + _QUOTED + "|" + _PHRASE + r"|\S+)"), True),
     ("prose", re.compile(r"(?i)\blogin (?:was|is|for|:)\s+\S+\s*[/:|]\s*(?P<v>" + _QUOTED + "|" + _PHRASE + r"|\S+)"), True),
@@ -60,8 +63,12 @@ RULES = [
 _ISSUED = re.compile(
     r"(?<![A-Za-z0-9_\-])(?:ghp_[A-Za-z0-9]{30,}|gho_[A-Za-z0-9]{30,}|glpat-[A-Za-z0-9_\-]{18,}|xox[bpars]-[0-9A-Za-z\-]{20,}|AKIA[0-9A-Z]{16}|[a-z]{2,8}_live_[A-Za-z0-9]{16,}|sk-[A-Za-z0-9]{20,}|eyJ[A-Za-z0-9_\-]{10,}={0,2}\.eyJ[A-Za-z0-9_\-]{5,}={0,2}\.[A-Za-z0-9_\-]{10,})(?![A-Za-z0-9])"
 )
+#: Long tokens, in quotes or not, and what makes one data: a digest's mark before it, or another such token in the line or the lines around.
+_TOKEN = re.compile(r"(?<![A-Za-z0-9+/=_\-.:@])(?=[A-Za-z0-9+/_\-]*[0-9])(?=[A-Za-z0-9+/_\-]*[a-z])(?=[A-Za-z0-9+/_\-]*[A-Z])[A-Za-z0-9+/_\-]{20,}={0,2}(?![A-Za-z0-9+/=_\-.(])")
+_DIGEST = re.compile(r"(?i)(?:hash|digest|sha\d*|md5|crc|checksum|integrity|fingerprint|etag|revision|commit|signature|signedsource|public|uuid|guid|nonce)[\w\"'`\]]*\s*(?:[:=<,(]|=>|:=)*\s*(?:W/)?[\"'`<]*(?:sha\d+-)?\Z")
+_ARMOUR = re.compile(r"-----BEGIN [^\n]*?-----(?:(?!-----)[\s\S])*")
 _PLACEHOLDER = re.compile(
-    r"(?i)\A(?:[x*.#_\-?0]+|<.*>|\[.*\]|\$.*|%.*%|%\(.*|\{\{.*|\{.*\}|@\{.*|.*\$\{.*|.*\{\{.*|.*(?:get_?env|environ|process\.env|secrets?manager|ssm:)[\W_].*|vault[:/(].*|.*vault[_-](?:read|get|path).*|your[_ -].*|.*[_-]here|replace[_ -]?me.*|change[_ -]?(?:me|it).*|insert[_ -].*|.*\b(?:redacted|placeholder|masked|hidden|removed|dummy|example|sample|todo|tbd|none|null|nil|undefined|true|false|required|optional|string|str|bytes|int|any)\b\W*|enter[_ -].*|my[_-]?(?:password|secret|token|key)|(?:test|fake)[_ -]?(?:password|secret|token|key)?|password\d{0,3}|secret|token|.*(?:must|should|cannot|invalid|missing|expired|required|characters).*)\Z"
+    r"(?i)\A(?:<.*>|\[.*\]|\$.*|%.*%|%\(.*|\{\{.*|\{.*\}|@\{.*|.*\$\{.*|.*\{\{.*|.*(?:get_?env|environ|process\.env|secrets?manager|ssm:)[\W_].*|vault[:/(].*|.*vault[_-](?:read|get|path).*|your[_ -].*|.*[_-]here|replace[_ -]?me.*|change[_ -]?(?:me|it).*|insert[_ -].*|.*\b(?:redacted|placeholder|masked|hidden|removed|dummy|example|sample|todo|tbd|none|null|nil|undefined|true|false|required|optional|string|str|bytes|int|any)\b\W*|enter[_ -].*|my[_-]?(?:password|secret|token|key)|(?:test|fake)[_ -]?(?:password|secret|token|key)?|password\d{0,3}|secret|token|.*(?:must|should|cannot|invalid|missing|expired|required|characters).*)\Z"
 )
 _NOT_NAMES = re.compile(r"(?i)(?:hash|digest|sha\d*|checksum|fingerprint|etag|integrity)\d*[\"'`]?\]?\s*(?::[^=].*)?(?::=|[=:])\s*\Z|public[_-]?(?:key|token)")
 _IDENT = re.compile(r"[A-Za-z_$][\w$]*(?:(?:\.|->|::)[A-Za-z_$][\w$]*)*\Z")
@@ -75,22 +82,35 @@ def entropy(s):
     return -sum(c / n * math.log2(c / n) for c in Counter(s).values()) if n else 0.0
 
 
-#: Bits a character that a value of n characters must reach, by its alphabet; they
-#: tend to the alphabet's own entropy as n grows, since short values cannot reach it.
-ALPHABETS = [("hex", re.compile(r"[0-9a-f]+\Z|[0-9A-F]+\Z"), 4.0), ("base64", re.compile(r"[A-Za-z0-9+/=_\-]+\Z"), 6.0), ("printable", re.compile(r"[ -~]+\Z"), 6.57)]
+#: Alphabets from small to large, and their sizes.
+ALPHABETS = [(re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)\Z"), 16), (re.compile(r"(?:[0-9a-z]+|[0-9A-Z]+)\Z"), 36), (re.compile(r"[a-z0-9 _.\-]+\Z"), 40), (re.compile(r"[A-Za-z0-9+/=_\-]+\Z"), 64), (re.compile(r"[ -~]+\Z"), 95)]
+#: Shares of the expected entropy from which a value counts.
+BARE, ISSUED, CONTEXT = 0.94, 0.8, 0.72
 
 
 @functools.lru_cache(65536)
-def threshold(n, bits):
-    return 0.62 * min(bits, math.log2(n + 1)) if n else 9.0
+def expected(n, size):
+    """The mean Shannon entropy, in bits a character, of n characters drawn from an alphabet of ``size``: that of
+    the alphabet less what n characters cannot show."""
+    if n > 2000:
+        return math.log2(size)
+    p, q, term, total = 1 / size, 1 - 1 / size, (1 - 1 / size) ** n, 0.0
+    for k in range(1, n + 1):  # term: the chance that a character occurs k times
+        term *= (n - k + 1) / k * p / q
+        total += k * math.log2(k) * term
+        if k > 4 * n * p + 8 and term < 1e-12:
+            break
+    return math.log2(n) - size / n * total if n else 0.0
 
 
-def strong(value):
-    """Whether a value's entropy is above the threshold of its alphabet and length."""
-    for _, pattern, bits in ALPHABETS:
-        if pattern.match(value):
-            return entropy(value) >= threshold(len(value), bits)
-    return entropy(value) >= threshold(len(value), 6.57)
+def threshold(value, share):
+    """Bits a character that a value must reach, by its length and alphabet; share of the expected ones."""
+    return share * expected(len(value), next((size for pattern, size in ALPHABETS if pattern.match(value)), 256))
+
+
+def strong(value, share):
+    """Whether a value's entropy reaches the share of what its length and alphabet let expect."""
+    return bool(value) and entropy(value) >= threshold(value, share) > 0
 
 
 def decoded(value):
@@ -113,7 +133,7 @@ def wordy(value):
 
 def usable(value, rule, quoted):
     """Whether an extracted value is a credential in its context."""
-    if len(value) < 6 or _PLACEHOLDER.match(value) or len(set(value)) < 4:
+    if len(value) < 6 or not strong(value, CONTEXT) or _PLACEHOLDER.match(value):
         return False
     if _UUID.match(value) and rule == "name":
         return False
@@ -130,7 +150,7 @@ def usable(value, rule, quoted):
         return False  # a name, not a value
     if not re.search(r"\d", value) and not re.search(r"[^\w\s.\-]", value) and len(value) < 20:
         return False
-    return strong(value)
+    return True
 
 
 def _bare(text, lo, hi):
@@ -161,14 +181,35 @@ def _open_key(text, at):
     return len(text)
 
 
+def bare(text):
+    """Long tokens that look random by themselves: [("bare", [span])]."""
+    out = []
+    armour = [m.span() for m in _ARMOUR.finditer(text)] if "-----BEGIN" in text else ()  # keys, certificates and messages are no tokens
+    for m in _TOKEN.finditer(text):
+        a, b = m.span()
+        if any(x < a < y for x, y in armour):
+            continue
+        if b - a > 100 or wordy(m[0]) or not strong(m[0].rstrip("="), BARE) or _PLACEHOLDER.match(m[0]):
+            continue
+        lo = text.rfind("\n", 0, a) + 1
+        if _DIGEST.search(text, max(lo, a - 80), a):
+            continue
+        before, hi = text.rfind("\n", 0, max(0, lo - 1)) + 1, text.find("\n", b)
+        after = text.find("\n", hi + 1) if hi >= 0 else -1
+        around = text[before:a] + " " + text[b : after if after >= 0 else len(text)]
+        if not _TOKEN.search(around):
+            out.append(("bare", [(a, b)]))
+    return out
+
+
 def find(text):
     """Credentials of a text: [(kind, [spans of the value])], in order; overlapping finds are one."""
     if not text:
         return []
+    out, seen_to = bare(text), -1
     low = text.lower()
-    if not any(a in low for a in ANCHORS):
+    if not out and not any(a in low for a in ANCHORS):
         return []
-    out, seen_to = [], -1
     for m in _ANCHOR.finditer(text):
         if m.start() < seen_to:
             continue
@@ -186,7 +227,7 @@ def find(text):
     merged = []
     for kind, spans in out:
         if merged and spans[0][0] < merged[-1][1][-1][1]:
-            if kind == "private_key":
+            if kind == "private_key" or merged[-1][0] == "bare":
                 merged[-1] = (kind, spans)
             continue
         merged.append((kind, spans))
@@ -196,7 +237,7 @@ def find(text):
 def _in_line(text, lo, hi):
     line, out, taken = text[lo:hi], [], []
     for m in _ISSUED.finditer(line):
-        if "EXAMPLE" not in m[0] and entropy(m[0]) >= threshold(len(m[0]), 6.0) * 0.9:
+        if "EXAMPLE" not in m[0] and strong(m[0], ISSUED):
             taken.append((m.start(), m.end()))
             out.append(("issued", [(lo + m.start(), lo + m.end())]))
     for rule, pattern, _ in RULES:
