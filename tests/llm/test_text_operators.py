@@ -81,7 +81,7 @@ def test_entropy_decides(monkeypatch):
     assert credentials.find(blob) == []
     for name in ("BARE", "ISSUED", "CONTEXT"):
         monkeypatch.setattr(credentials, name, 0.0)
-    assert len(credentials.find(names)) >= 3  # without thresholds
+    assert len(credentials.find(names)) >= 2  # without thresholds
 
 
 @pytest.mark.parametrize("text", CLEAN)

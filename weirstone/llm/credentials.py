@@ -110,7 +110,7 @@ def threshold(value, share):
 
 def strong(value, share):
     """Whether a value's entropy reaches the share of what its length and alphabet let expect."""
-    return bool(value) and entropy(value) >= threshold(value, share) > 0
+    return bool(value) and entropy(value) >= threshold(value, share)
 
 
 def decoded(value):
