@@ -378,6 +378,40 @@ def test_sentences_on_held_out_texts(spark):
     assert good >= 0.97 * total
 
 
+def test_a_word_two_words_away_flips_a_boundary():
+    model = sentences.Model()
+    model.left, model.right = {"Esk.": 0.5}, {"May": 0.5}  # neither word tells
+    model.prior = {("L", "."): 0.5, ("R", "w"): 0.5}
+    cut_up = lambda text: [text[a:b] for a, b in sentences.spans(text, model)]
+    one, two = "Old Esk. May we go on", "Old Esk. May 7 or so"
+    assert len(cut_up(one)) == len(cut_up(two)) == 2
+    model.longer([("r", "May", 100, 50.0, 0.0, 0.0), ("B", "May\x00we", 60, 57.0, 0.0, 0.0), ("B", "May\x00N", 60, 2.0, 0.0, 0.0)])
+    assert len(cut_up(one)) == 2 and cut_up(two) == [two]
+    model.longer([("l", "Esk.", 100, 50.0, 0.0, 0.0), ("A", "Old\x00Esk.", 90, 1.0, 0.0, 0.0)])
+    assert cut_up(one) == [one]  # the word before the left one
+
+
+def test_events_of_neighbouring_gaps_bear_on_each_other():
+    model = sentences.Model()
+    model.left, model.right = {"\x02" + w: 0.5 for w in "กขค"}, {}
+    model.prior = {("L", "t"): 0.5, ("R", "t"): 0.5}
+    text = "ก ข ค ง"
+    found = sentences.gaps(text, 0, len(text))
+    assert len(found) == 3
+    link = {(0, 0): -2.0, (0, 1): 1.0, (1, 0): 1.0, (1, 1): -2.0}
+    model.events = {sentences.shape("\x02ก", True): link}
+    odds = [sentences._logit(model.prior_of(left, right)) for _, left, right in found]
+    model.two_left = {sentences._before(text, 0, found[0][0]) + "\x00" + found[0][1]: 1.5}
+    got = model.posteriors(text, 0, len(text), found)
+    odds[0] += 1.5
+    total, want = 0.0, [0.0] * 3
+    for e in [(a, b, c) for a in (0, 1) for b in (0, 1) for c in (0, 1)]:  # every sequence of events
+        w = np.exp(sum(x * y for x, y in zip(odds, e)) + link[e[0], e[1]] + link[e[1], e[2]])
+        total += w
+        want = [x + w * y for x, y in zip(want, e)]
+    assert np.allclose(got, [x / total for x in want]) and got[1] < 0.5 < got[2]
+
+
 def test_rare_pairs_and_types_count(spark, monkeypatch):
     # every left type and every pair is seen twice inside, so the right word's counts are many rare pairs
     ends = [f"stop{chr(97 + i)}{chr(97 + j)}" for i in range(8) for j in range(5)]
@@ -394,8 +428,8 @@ def test_rare_pairs_and_types_count(spark, monkeypatch):
     sentences.fit(df)
     assert {w: n for w, n, _ in seen["R"][0]}["Then"] == 80
     assert total() == {"L": [80, 160], "R": [80, 160]}  # all gaps and blocks, types seen once or twice included
-    sentences.fit(df, types=1)
-    assert all(len(rows) == 1 for rows, _ in seen.values()) and total() == {"L": [80, 160], "R": [80, 160]}
+    sentences.fit(df, share=0.3)  # of 240 on either side
+    assert {w for w, _, _ in seen["L"][0]} == {"so."} and {w for w, _, _ in seen["R"][0]} == {"It", "Then"} and total() == {"L": [80, 160], "R": [80, 160]}
 
 
 def test_layout():

@@ -1,22 +1,35 @@
 """Problem 9: sentence boundaries across languages and scripts.
 
-A hidden-event n-gram model: between two words there may be a boundary token.
-Its statistics come from the corpus itself, where the ends and beginnings of
-blocks (paragraphs, headings, list items) are boundaries that are seen, and the
-gaps inside blocks are those that are hidden.  The model is of order two around
-a boundary, so given the words the events at different gaps are independent and
-the forward and backward messages that meet in a gap are two numbers: how often
-the left word, with its marks, ends a sentence, and how often the right word
-begins one.  Their product, against the prior, is the boundary's posterior.
+A hidden-event n-gram model of order three: between two words there may be a
+boundary token, and words and boundary tokens together are one sequence in which
+each depends on the two before it.  So what stands around a gap, two words on
+either side, and the events at neighbouring gaps with at most a word between
+them bear on whether it holds a boundary.  Forward and backward sums over the
+gaps of a block give each its posterior.
+
+The statistics come from the corpus itself.  The ends and beginnings of blocks
+(paragraphs, headings, list items) are boundaries that are seen, the gaps inside
+blocks are those that are hidden.
+
+1. Figures of order two: how often the left word, with its marks, ends a
+   sentence, and how often the right word begins one.
+2. One step of expectation and maximisation: with these the posteriors of all gaps
+   in the corpus are summed by the pairs of words to the left and to the right
+   and by pairs of neighbouring events.  A pair backs off to its word, as far
+   as it is rare.
 
 Gaps are the places after an end mark (in scripts without spaces also directly
 before the next letter) and, in scripts without end marks, every space.
 Quotations and parentheses that close within the block hold no gaps.
+
+Words and pairs have figures of their own from a share of all gaps (SHARE), which
+bounds their number by 1 / SHARE whatever the size of the corpus.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 import re
 from collections import Counter
 
@@ -26,10 +39,12 @@ from pyspark.sql import functions as F
 
 from ..session import cut, keep
 
-#: Word types of either side with figures of their own; rarer ones share their shape's figures.
-TYPES = 100_000
-#: Occurrences from which a type has figures of its own.
+#: Share of all gaps, and number of gaps, from which a word or a pair of words has figures of its own;
+#: rarer words share their shape's figures, rarer pairs their word's.
+SHARE = 2e-6
 LEAST = 3
+#: Weight, in gaps, of the shorter history in the figures of the longer one.
+BACKOFF = 20.0
 
 _LINE = re.compile(r"[^\n]*\n|[^\n]+")
 _FENCE = re.compile(r"[ \t]*(?:```|~~~)")
@@ -151,7 +166,7 @@ def _word(w):
         return "X" + tail
     if body[:1].isdigit() or body[:1] in "-+.v$" and body[1:2].isdigit():
         return "N" + tail
-    return body[:24] + tail
+    return body + tail
 
 
 def _left(text, lo, at):
@@ -170,6 +185,8 @@ def _left(text, lo, at):
     words = piece.rsplit(None, 2)
     if not words:
         return ""
+    if len(words) == 1 and at - 48 > lo and not _THAI.search(piece[-4:]):
+        words = text[lo:at].rsplit(None, 2)  # a very long word
     w = words[-1]
     if len(words) > 1 and len(w) < 5 and not any(c.isalnum() for c in w):
         w = words[-2] + w
@@ -181,6 +198,34 @@ def _left(text, lo, at):
 def _right(text, at, hi):
     """The type of the word that begins at or after ``at``."""
     m = _TOKEN.search(text, at, hi)
+    if not m:
+        return ""
+    w = m[0]
+    return _begins(w if len(w) <= 48 or w[:48].isascii() else w[:48])  # of scripts without spaces the first letters count
+
+
+def _before(text, lo, at):
+    """The type of the word before the one that ends at ``at``; of scripts without spaces, of the two letters before."""
+    piece = text[max(lo, at - 64) : at]
+    if not piece[-4:].isascii() and _CJK.search(piece[-4:]):
+        body = piece.rstrip("。！？｡．…!?”’」』）】》〉\"')]")
+        return body[-4:-2]
+    words = piece.rsplit(None, 2)
+    if len(words) < 2 or len(words) == 2 and at - 64 > lo:
+        return ""
+    w = words[-2]
+    return w[-6:] if not w.isascii() and _THAI.search(w[-3:]) else _word(w)
+
+
+def _after(text, at, hi):
+    """The type of the word after the one that begins at or after ``at``; of scripts without spaces, of its next letters."""
+    m = _TOKEN.search(text, at, hi)
+    if not m:
+        return ""
+    w = m[0].lstrip("\"'“„«‘「『（([‹¿¡*")
+    if w[:1] and not w[0].isascii() and _CJK.match(w):
+        return w[2:4]
+    m = _TOKEN.search(text, m.end(), hi)
     return _begins(m[0][:48]) if m else ""
 
 
@@ -198,7 +243,7 @@ def _begins(token):
 
 
 def gaps(text, lo, hi, unmarked=True):
-    """[(end of the left part, left type, right type)] of the hidden gaps of a block."""
+    """[(end of the left part, left type, right type)] of the hidden gaps of a block, in order."""
     found = None
     out, k = [], 0
     thai = unmarked and _THAI.search(text, lo, hi)
@@ -268,6 +313,7 @@ class Model:
 
     def __init__(self):
         self.left, self.right, self.prior, self.known = {}, {}, {}, {}
+        self.two_left, self.two_right, self.events = {}, {}, {}
 
     def learn(self, side, rows, rare):
         table, groups = self.left if side == "L" else self.right, {}
@@ -318,16 +364,17 @@ class Model:
             return "w"
         return "?" if re.search(r"[!?؟]\W*\Z", w) else "." if re.search(r"[.…।]\W*\Z", w) else "-"
 
-    def posterior(self, left, right):
+    def prior_of(self, left, right):
+        """The posterior of order two: of a gap by the words beside it."""
         key = left, right
         p = self.known.get(key)
         if p is None:
             if len(self.known) > 500_000:
                 self.known.clear()
-            p = self.known[key] = self._posterior(left, right)
+            p = self.known[key] = self._prior_of(left, right)
         return p
 
-    def _posterior(self, left, right):
+    def _prior_of(self, left, right):
         gl, gr = self.group(left, True), self.group(right, False)
         pl = self.left.get(left)
         if pl is None:
@@ -341,15 +388,79 @@ class Model:
         yes, no = pl * pr / q, (1 - pl) * (1 - pr) / (1 - q)
         return yes / (yes + no)
 
+    def longer(self, rows):
+        """Learns from (kind, words, n, sums) what longer histories add.
+
+        kind A: two words to the left, B: two to the right; sums: of the posteriors of order two.
+        kind l, r: one word on that side. kind T: a shape of left words one word after another gap;
+        sums: of the products of the posteriors of the two gaps (both, first only, second only)."""
+        base = {(k, w): p / n for k, w, n, p, _, _ in rows if k in "lr"}
+        for k, w, n, p, q, r in rows:
+            if k in "AB":
+                one = w.split("\x00", 1)[k == "A"] if k == "A" else w.split("\x00", 1)[0]
+                short = min(0.9995, max(0.0005, base.get(("l" if k == "A" else "r", one), p / n)))
+                long = (p + BACKOFF * short) / (n + BACKOFF)
+                step = _logit(long) - _logit(short)
+                if abs(step) > 0.02:
+                    (self.two_left if k == "A" else self.two_right)[w] = step
+            elif k == "T":
+                p = max(p, 0.0)
+                joint = {(1, 1): p, (1, 0): q, (0, 1): r, (0, 0): max(0.0, n - p - q - r)}
+                self.events[w] = {(x, y): math.log((joint[x, y] + BACKOFF * self._side(joint, 0, x) * self._side(joint, 1, y) / n) / (n + BACKOFF) / (self._side(joint, 0, x) / n * self._side(joint, 1, y) / n)) for x, y in joint}
+
+    @staticmethod
+    def _side(joint, side, value):
+        return max(1e-6, sum(n for k, n in joint.items() if k[side] == value))
+
+    def posteriors(self, text, lo, hi, found):
+        """The posteriors of a block's gaps ``found``, by forward and backward sums over the events."""
+        if not found:
+            return []
+        odds, links = [], []
+        for k, (at, left, right) in enumerate(found):
+            x = _logit(self.prior_of(left, right))
+            if self.two_left or self.two_right:
+                x += self.two_left.get(_before(text, lo, at) + "\x00" + left, 0.0) + self.two_right.get(right + "\x00" + _after(text, at, hi), 0.0)
+            odds.append(x)
+            links.append(self.events.get(shape(left, True)) if k and self.events and near(text, found[k - 1][0], at) else None)
+        n = len(odds)
+        if not any(links):
+            return [1 / (1 + math.exp(-min(500.0, max(-500.0, x)))) for x in odds]
+        # sums in logarithms, of the events before and after each gap; without a link nothing passes
+        before, after = [(0.0, 0.0)] * n, [(0.0, 0.0)] * n
+        for k in range(1, n):
+            if links[k]:
+                no, yes = before[k - 1][0], before[k - 1][1] + odds[k - 1]
+                before[k] = tuple(_sum(no + links[k][0, e], yes + links[k][1, e]) for e in (0, 1))
+        for k in range(n - 2, -1, -1):
+            if links[k + 1]:
+                no, yes = after[k + 1][0], after[k + 1][1] + odds[k + 1]
+                after[k] = tuple(_sum(no + links[k + 1][e, 0], yes + links[k + 1][e, 1]) for e in (0, 1))
+        return [1 / (1 + math.exp(-min(500.0, max(-500.0, x + b[1] - b[0] + a[1] - a[0])))) for x, b, a in zip(odds, before, after)]
+
+
+def _logit(p):
+    return math.log(p / (1 - p))
+
+
+def _sum(x, y):
+    """The logarithm of the sum of two numbers given by theirs."""
+    return max(x, y) + math.log1p(math.exp(-abs(x - y)))
+
+
+def near(text, a, b):
+    """Whether at most a word stands between two places, so that the event at the one is in the history of the other."""
+    return b - a < 200 and len(text[a:b].split(None, 2)) <= 1
+
 
 def spans(text, model):
     """[(start, end)] of a text's sentences."""
     out = []
     unmarked = not text.isascii() and bool(_THAI.search(text))
     for lo, hi in blocks(text):
-        start = lo
-        for at, left, right in gaps(text, lo, hi, unmarked):
-            if model.posterior(left, right) >= 0.5:
+        start, found = lo, gaps(text, lo, hi, unmarked)
+        for (at, _, _), p in zip(found, model.posteriors(text, lo, hi, found)):
+            if p >= 0.5:
                 _add(out, text, start, at)
                 start = at
         _add(out, text, start, hi)
@@ -380,11 +491,13 @@ def _summed(batches, key, columns):
     yield pd.DataFrame([(*k, *c) for k, c in n.items()], columns=columns)
 
 
-def _side(model: Model, side: str, counts: DataFrame, types: int) -> None:
-    """Learns one side from its (word, n, e): the ``types`` most often seen types, and the sums of all others by shape."""
-    own = counts.where((F.col("n") >= LEAST) | (F.col("e") >= LEAST))
-    rows = [tuple(r) for r in own.orderBy(F.desc(F.col("n") + F.col("e")), "word").limit(types).select("word", "n", "e").collect()]
-    known = counts.sparkSession.sparkContext.broadcast({w for w, _, _ in rows})  # bounded by types
+def _side(model: Model, side: str, counts: DataFrame, share: float) -> None:
+    """Learns one side from its (word, n, e): the types with at least a share of all, and the sums of all others by shape."""
+    n = F.col("n") + F.col("e")
+    least = max(LEAST, share * (counts.agg(F.sum(n)).first()[0] or 0))
+    own = counts.where(((F.col("n") >= LEAST) | (F.col("e") >= LEAST)) & (n >= least))
+    rows = sorted(tuple(r) for r in own.select("word", "n", "e").collect())  # at most 1 / share
+    known = counts.sparkSession.sparkContext.broadcast({w for w, _, _ in rows})
     left = side == "L"
 
     def rest(batches):
@@ -394,17 +507,55 @@ def _side(model: Model, side: str, counts: DataFrame, types: int) -> None:
     model.learn(side, rows, sorted(tuple(r) for r in rare.collect()))  # there are a few hundred shapes
 
 
-def fit(documents: DataFrame, types: int = TYPES) -> Model:
-    """The model of a corpus. Counts cover all documents and all pairs of types; the types most often seen,
-    at most ``types`` of left and of right words, come to the driver, the others as sums by shape.
+def _expected(shared):
+    """Sums of the posteriors of order two over the gaps, by longer histories and by pairs of events."""
+
+    def frame(n):
+        return pd.DataFrame([(k, w, *c) for (k, w), c in n.items()], columns=["kind", "word", "n", "p", "q", "r"])
+
+    def run(batches):
+        model, n = shared.value, {}
+
+        def add(kind, word, p, q=0.0, r=0.0):
+            c = n.setdefault((kind, word), [0, 0.0, 0.0, 0.0])
+            c[0] += 1
+            c[1] += p
+            c[2] += q
+            c[3] += r
+
+        for b in batches:
+            for text in b.text:
+                some = not text.isascii() and bool(_THAI.search(text))
+                for lo, hi in blocks(text):
+                    last = None
+                    for at, left, right in gaps(text, lo, hi, some):
+                        p = model.prior_of(left, right)
+                        add("A", _before(text, lo, at) + "\x00" + left, p)
+                        add("B", right + "\x00" + _after(text, at, hi), p)
+                        add("l", left, p)
+                        add("r", right, p)
+                        if last and near(text, last[0], at):
+                            add("T", shape(left, True), last[1] * p, last[1] * (1 - p), (1 - last[1]) * p)
+                        last = at, p
+                if len(n) > 300_000:
+                    yield frame(n)
+                    n = {}
+        yield frame(n)
+
+    return run
+
+
+def fit(documents: DataFrame, share: float = SHARE) -> Model:
+    """The model of a corpus. Counts cover all documents and all pairs of types; types and pairs with at
+    least a share of all come to the driver, the other types as sums by shape.
 
     A right word tells something only where the left one does not settle the gap by itself,
     so its inside counts are the pairs whose left word leaves the gap open."""
     some = documents.select("text").where("text is not null and text <> ''")
     counts = keep(some.mapInPandas(_count, "side string, word string, inside bigint, edge bigint").groupBy("side", "word").agg(F.sum("inside").alias("n"), F.sum("edge").alias("e")))
     model = Model()
-    _side(model, "L", counts.where("side = 'L'"), types)
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # the left side, bounded by types
+    _side(model, "L", counts.where("side = 'L'"), share)
+    shared = documents.sparkSession.sparkContext.broadcast(model)  # the left side: at most 1 / share types
 
     def after(batches):
         def right(r):
@@ -416,7 +567,13 @@ def fit(documents: DataFrame, types: int = TYPES) -> Model:
         return _summed(batches, right, ["word", "n", "e"])
 
     rights = counts.where("side in ('R', 'P')").mapInPandas(after, "word string, n bigint, e bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("e").alias("e"))
-    _side(model, "R", cut(rights), types)
+    _side(model, "R", cut(rights), share)
+    whole = documents.sparkSession.sparkContext.broadcast(model)  # both sides: at most 2 / share types
+    sums = some.mapInPandas(_expected(whole), "kind string, word string, n bigint, p double, q double, r double").groupBy("kind", "word").agg(*(F.sum(c).alias(c) for c in "npqr"))
+    sums = keep(sums)
+    least = max(LEAST, share * (sums.where("kind = 'l'").agg(F.sum("n")).first()[0] or 0))
+    model.longer([tuple(r) for r in sums.where((F.col("n") >= least) | (F.col("kind") == "T")).orderBy("kind", "word").collect()])  # at most 4 / share, and the shapes
+    model.known = {}
     return model
 
 
@@ -425,7 +582,7 @@ def sentences(documents: DataFrame, model: Model | None = None, text: bool = Fal
 
     Null ids, null and blank texts give none; repeated texts are separate documents."""
     model = fit(documents) if model is None else model
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # bounded by TYPES
+    shared = documents.sparkSession.sparkContext.broadcast(model)  # at most 4 / SHARE types and pairs
 
     def cut_up(batches):
         model = shared.value
