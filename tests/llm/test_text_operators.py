@@ -401,7 +401,7 @@ def test_events_of_neighbouring_gaps_bear_on_each_other():
     link = {(0, 0): -2.0, (0, 1): 1.0, (1, 0): 1.0, (1, 1): -2.0}
     model.events = {sentences.shape("\x02ก", True): link}
     odds = [sentences._logit(model.prior_of(left, right)) for _, left, right in found]
-    model.two_left = {sentences._before(text, 0, found[0][0]) + "\x00" + found[0][1]: 1.5}
+    model.two_left, model.lefts = {sentences._before(text, 0, found[0][0]) + "\x00" + found[0][1]: 1.5}, {found[0][1]}
     got = model.posteriors(text, 0, len(text), found)
     odds[0] += 1.5
     total, want = 0.0, [0.0] * 3

@@ -265,6 +265,7 @@ def gaps(text, lo, hi, unmarked=True):
     return out
 
 
+@functools.lru_cache(200_000)
 def shape(w, left):
     """The class that a rare type shares its figures with."""
     if w[:1] == "\x02":
@@ -314,6 +315,7 @@ class Model:
     def __init__(self):
         self.left, self.right, self.prior, self.known = {}, {}, {}, {}
         self.two_left, self.two_right, self.events = {}, {}, {}
+        self.lefts, self.rights = set(), set()  # the words beside gaps in the longer histories
 
     def learn(self, side, rows, rare):
         table, groups = self.left if side == "L" else self.right, {}
@@ -403,6 +405,7 @@ class Model:
                 step = _logit(long) - _logit(short)
                 if abs(step) > 0.02:
                     (self.two_left if k == "A" else self.two_right)[w] = step
+                    (self.lefts if k == "A" else self.rights).add(one)
             elif k == "T":
                 p = max(p, 0.0)
                 joint = {(1, 1): p, (1, 0): q, (0, 1): r, (0, 0): max(0.0, n - p - q - r)}
@@ -419,8 +422,10 @@ class Model:
         odds, links = [], []
         for k, (at, left, right) in enumerate(found):
             x = _logit(self.prior_of(left, right))
-            if self.two_left or self.two_right:
-                x += self.two_left.get(_before(text, lo, at) + "\x00" + left, 0.0) + self.two_right.get(right + "\x00" + _after(text, at, hi), 0.0)
+            if left in self.lefts:
+                x += self.two_left.get(_before(text, lo, at) + "\x00" + left, 0.0)
+            if right in self.rights:
+                x += self.two_right.get(right + "\x00" + _after(text, at, hi), 0.0)
             odds.append(x)
             links.append(self.events.get(shape(left, True)) if k and self.events and near(text, found[k - 1][0], at) else None)
         n = len(odds)
@@ -450,7 +455,7 @@ def _sum(x, y):
 
 def near(text, a, b):
     """Whether at most a word stands between two places, so that the event at the one is in the history of the other."""
-    return b - a < 200 and len(text[a:b].split(None, 2)) <= 1
+    return text.find(" ", a + 1, b) < 0 and len(text[a:b].split(None, 2)) <= 1
 
 
 def spans(text, model):
@@ -511,18 +516,16 @@ def _expected(shared):
     """Sums of the posteriors of order two over the gaps, by longer histories and by pairs of events."""
 
     def frame(n):
-        return pd.DataFrame([(k, w, *c) for (k, w), c in n.items()], columns=["kind", "word", "n", "p", "q", "r"])
+        words = {}
+        for (k, w), c in n.items():
+            if k in "AB":  # and by the word beside the gap alone
+                one = words.setdefault(("l", w.split("\x00", 1)[1]) if k == "A" else ("r", w.split("\x00", 1)[0]), [0, 0.0, 0.0, 0.0])
+                one[0] += c[0]
+                one[1] += c[1]
+        return pd.DataFrame([(k, w, *c) for some in (n, words) for (k, w), c in some.items()], columns=["kind", "word", "n", "p", "q", "r"])
 
     def run(batches):
         model, n = shared.value, {}
-
-        def add(kind, word, p, q=0.0, r=0.0):
-            c = n.setdefault((kind, word), [0, 0.0, 0.0, 0.0])
-            c[0] += 1
-            c[1] += p
-            c[2] += q
-            c[3] += r
-
         for b in batches:
             for text in b.text:
                 some = not text.isascii() and bool(_THAI.search(text))
@@ -530,12 +533,18 @@ def _expected(shared):
                     last = None
                     for at, left, right in gaps(text, lo, hi, some):
                         p = model.prior_of(left, right)
-                        add("A", _before(text, lo, at) + "\x00" + left, p)
-                        add("B", right + "\x00" + _after(text, at, hi), p)
-                        add("l", left, p)
-                        add("r", right, p)
+                        for key in (("A", _before(text, lo, at) + "\x00" + left), ("B", right + "\x00" + _after(text, at, hi))):
+                            c = n.get(key)
+                            if c is None:
+                                n[key] = [1, p, 0.0, 0.0]
+                            else:
+                                c[0] += 1
+                                c[1] += p
                         if last and near(text, last[0], at):
-                            add("T", shape(left, True), last[1] * p, last[1] * (1 - p), (1 - last[1]) * p)
+                            c = n.setdefault(("T", shape(left, True)), [0, 0.0, 0.0, 0.0])
+                            c[0] += 1
+                            for k, x in ((1, last[1] * p), (2, last[1] * (1 - p)), (3, (1 - last[1]) * p)):
+                                c[k] += x
                         last = at, p
                 if len(n) > 300_000:
                     yield frame(n)
