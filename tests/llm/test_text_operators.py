@@ -342,6 +342,27 @@ def test_exponent_meets_the_caps_and_the_entropy():
     assert abs(mixing.entropy(mixing.weights({"a": 1000 / 1100, "b": 100 / 1100}, targets, a)) - 0.5) < 1e-6
 
 
+def test_a_bound_budget_is_tempered(spark):
+    docs = [(i, "a" if i % 10 else "b", "word " * 20) for i in range(300)]
+    d = spark.createDataFrame(docs, "doc_id bigint, source string, text string")
+    t = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 2)], "source string, target_share double, max_repeats int")
+    rows = {r.source: r for r in mixing.planned(d, t, budget=6300).collect()}
+    assert sum(r.tokens for r in rows.values()) == 6300 and 0 < rows["a"].exponent < 1 and abs(rows["b"].weight - 0.2) < 1e-3 and rows["a"].entropy == rows["b"].entropy
+    m = mixing.mix(d, t, budget=6300)
+    bad = mixing.limits(m, d, t).collect()
+    assert all(r.over_repeats == r.numbered_twice == r.of_another_source == 0 for r in bad) and m.where("source = 'b'").count() == 60
+    assert mixing.planned(d.limit(0), t).where("weight > 0").count() == 0
+
+
+def test_limits_see_what_is_broken(spark):
+    docs = spark.createDataFrame([(1, "word " * 40), (2, "word " * 10)], "doc_id bigint, text string")
+    caps = spark.createDataFrame([("s", 16)], "container_kind string, capacity_tokens int")
+    packed = packing.pack(docs, caps)
+    assert [tuple(r) for r in packing.limits(packed, docs, caps).collect()] == [("s", 16, 2, 0, 0, 0)]
+    (row,) = packing.limits(packed.where("doc_id = 2 or part_no > 1").withColumn("token_end", packed.token_end + 40), docs, caps).collect()
+    assert row.over_capacity > 0 and row.not_whole == 1
+
+
 # -- sentences ------------------------------------------------------------------
 PIECES = ["The review found 339 findings.", "Nobody noticed that it was off!", "Does it hold, e.g. 27 seconds later?", "He asked: \"Who owns it?\"", "The log says \"X failed. Retrying.\" and then stops.", "Dr. Pesh signed off on conf/x.yaml at 3.5 percent.", "It waits (why? nobody knows) until noon.", "Keep logs, traces, etc.", "The U.S. mirror lags by approx. 4 rows."]
 CHINESE = ["规范没有提到它。", "真的吗？！", "日志里有“失败。重试。”这几个字。", "“我们没有测过它。”", "没有人发现！"]

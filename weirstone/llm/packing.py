@@ -2,10 +2,13 @@
 
 Sum-of-squares packing: an array holds how many open containers stand at each
 fill level; an item goes to the level that makes the sum of the squared counts
-least.  Items above the capacity are first cut into full parts and a rest.
+least.  Items are placed online, in the order of their ids; those above the
+capacity are first cut into full parts and a rest.
 
 Documents are dealt by a hash of their id into shards of about SHARD_TOKENS
-tokens, each packed by itself, so no task's size depends on the whole.
+tokens, each packed by itself, so no task's size depends on the whole.  A shard
+ends with at most a few containers open at each level, so what sharding leaves
+unused falls with the size of a shard, not with the number of shards.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from pyspark.sql import functions as F
 from ..session import cut
 from .tokens import VOCABULARY, sized
 
-SHARD_TOKENS = 4_000_000
+SHARD_TOKENS = 16_000_000
 _SCHEMA = "container_kind string, container_id bigint, doc_id bigint, part_no bigint, n_parts bigint, token_start bigint, token_end bigint, slot_start bigint, capacity_tokens bigint"
 
 
@@ -51,12 +54,11 @@ def place(sizes, capacity):
 
 
 def parts(doc_ids, tokens, capacity):
-    """(doc_id, part_no, n_parts, token_start, token_end) of every part, larger ones first."""
+    """(doc_id, part_no, n_parts, token_start, token_end) of every part, in the order of the ids."""
     out = []
-    for d, n in zip(doc_ids, tokens):
+    for d, n in sorted(zip(doc_ids, tokens)):
         k = -(-n // capacity)
         out += [(d, p + 1, k, p * capacity, min(n, (p + 1) * capacity)) for p in range(k)]
-    out.sort(key=lambda x: (x[3] - x[4], x[0], x[1]))
     return out
 
 
@@ -93,3 +95,18 @@ def fill(packed: DataFrame) -> DataFrame:
         F.count("*").alias("parts"), F.count_distinct("container_id").alias("containers"), F.sum(F.col("token_end") - F.col("token_start")).alias("tokens"), F.max("capacity_tokens").alias("capacity_tokens")
     )
     return per.withColumn("filled_share", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6))
+
+
+def limits(packed: DataFrame, documents: DataFrame, capacities: DataFrame) -> DataFrame:
+    """By kind of container: capacity, documents with a text, and how often a rule is broken: containers above the capacity,
+    documents that are not whole (parts that overlap or are missing), and documents in parts though they fit."""
+    kinds = capacities.where("capacity_tokens > 0").select("container_kind", F.col("capacity_tokens").cast("bigint").alias("capacity_tokens"))
+    over = packed.groupBy("container_kind", "container_id").agg(F.sum(F.col("token_end") - F.col("token_start")).alias("n"), F.max("capacity_tokens").alias("c"), F.max(F.col("slot_start") + F.col("token_end") - F.col("token_start")).alias("top"))
+    over = over.where("n > c or top > c").groupBy("container_kind").agg(F.count("*").alias("over"))
+    per = packed.groupBy("container_kind", "doc_id").agg(
+        F.count("*").alias("k"), F.max("n_parts").alias("n_parts"), F.sum(F.col("token_end") - F.col("token_start")).alias("n"), F.max("token_end").alias("last"), F.min("token_start").alias("first"), F.max("capacity_tokens").alias("c")
+    )
+    bad = (F.col("k") != F.col("n_parts")) | (F.col("n") != F.col("last")) | (F.col("first") != 0)
+    docs = per.groupBy("container_kind").agg(F.count("*").alias("documents"), F.count_if(bad).alias("broken"), F.count_if((F.col("k") > 1) & (F.col("last") <= F.col("c"))).alias("split"))
+    whole = kinds.join(docs, "container_kind", "left").join(over, "container_kind", "left").fillna(0)
+    return whole.select("container_kind", "capacity_tokens", "documents", F.col("over").alias("over_capacity"), F.col("broken").alias("not_whole"), F.col("split").alias("split_though_fitting"))

@@ -97,9 +97,28 @@ def split(some: DataFrame, limits: DataFrame, whole: bool = True) -> DataFrame:
     out = long.mapInPandas(_split, _SCHEMA)
     if not whole:
         return out
-    short = known.where(F.length("content") <= F.col("max_chars")).dropDuplicates(["item_table", "item_id"])
+    fits = known.where(F.length("content") <= F.col("max_chars"))
+    again = fits.groupBy("item_table", "item_id").agg(F.count("*").alias("n")).where("n > 1").select("item_table", "item_id")
+    # only what was delivered more than once is shuffled with its content
+    short = fits.join(again, ["item_table", "item_id"], "left_anti").unionByName(fits.join(again, ["item_table", "item_id"], "left_semi").dropDuplicates(["item_table", "item_id"]))
     one, n = F.lit(1).cast("bigint"), F.length("content").cast("bigint")
     zero = F.lit(0).cast("bigint")
     return out.unionByName(
         short.select("item_table", "item_id", one.alias("piece_no"), one.alias("n_pieces"), zero.alias("core_start"), zero.alias("char_start"), n.alias("char_end"), F.col("content").alias("piece"))
     )
+
+
+def limits(parts: DataFrame, some: DataFrame, lim: DataFrame) -> DataFrame:
+    """By table: items with content, items above the limit, and how often a rule is broken: pieces above max_chars,
+    pieces that do not share overlap_chars with the one before, items whose pieces do not join to their text."""
+    small = F.broadcast(lim.select("item_table", F.col("max_chars").cast("bigint").alias("max_chars"), F.col("overlap_chars").cast("bigint").alias("overlap_chars")).dropDuplicates(["item_table"]))  # a few rows
+    room = F.least(F.col("overlap_chars"), F.col("core_start"))
+    core = F.expr("substring(piece, cast(core_start - char_start + 1 as int), cast(char_end - core_start as int))")
+    seen = parts.join(small, "item_table").withColumns({"over": (F.length("piece") > F.col("max_chars")).cast("bigint"), "apart": ((F.col("piece_no") > 1) & (F.col("core_start") - F.col("char_start") != room)).cast("bigint"), "core": F.struct("piece_no", core.alias("core"))})
+    per = seen.groupBy("item_table", "item_id").agg(F.max("n_pieces").alias("n"), F.sum("over").alias("over"), F.sum("apart").alias("apart"), F.md5(F.array_join(F.transform(F.sort_array(F.collect_list("core")), lambda c: c["core"]), "").cast("binary")).alias("joined"))
+    texts = some.join(small, "item_table").groupBy("item_table", "item_id").agg(F.min(F.md5(F.col("content").cast("binary"))).alias("text"), F.max(F.length("content")).alias("chars"), F.max("max_chars").alias("max_chars"))
+    both = texts.join(per, ["item_table", "item_id"], "left")
+    return both.groupBy("item_table").agg(
+        F.count("*").alias("items"), F.count_if(F.col("chars") > F.col("max_chars")).alias("long_items"), F.count_if((F.col("chars") > F.col("max_chars")) & (F.col("n") > 1)).alias("cut_items"),
+        F.sum("over").alias("pieces_over"), F.sum("apart").alias("overlaps_off"), F.count_if(~F.col("joined").eqNullSafe(F.col("text"))).alias("texts_changed"),
+    )
