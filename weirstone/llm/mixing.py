@@ -5,7 +5,8 @@ the target asks of it, (target share / token share) ** a, normalised.  a = 0 tak
 the sources as they are, a = 1 as the targets say.  The exponent is bisected: as
 far towards the targets as the caps on repetition allow for the token budget, or
 to a target entropy.  Without a budget, the largest one is taken for which the
-targets themselves keep within the caps, so that the shares are met exactly.
+weights keep within the caps; with the targets themselves as weights, which the
+limit on repetition then allows (a = 1), the shares are met exactly.
 
 The weights are realised as budgeted block permutations: every source runs
 through whole permutations of its documents and, for the rest of its budget,
@@ -36,11 +37,12 @@ def entropy(w):
     return -sum((x * math.log(x) for x in w.values() if x > 0), 0.0)
 
 
-def plan(tokens, targets, caps, budget=None, target_entropy=None, stretch=1.0):
+def plan(tokens, targets, caps, budget=None, target_entropy=None, between=None):
     """(exponent, budget, tokens to take by source) for the sources with tokens and a target.
 
     tokens, targets, caps: by source. Targets of sources without tokens are spread over the others.
-    Without a budget it is ``stretch`` times the largest with which the targets keep the caps."""
+    The target entropy may be given by its place between that of the sources (0) and that of the
+    targets (1). Without a budget it is the largest for which the weights keep within the caps."""
     known = {k: t for k, t in targets.items() if t and t > 0 and tokens.get(k, 0) > 0 and caps.get(k, 0) > 0}
     if not known:
         return 1.0, 0, {}
@@ -48,8 +50,6 @@ def plan(tokens, targets, caps, budget=None, target_entropy=None, stretch=1.0):
     known = {k: t / norm for k, t in known.items()}
     whole = sum(tokens[k] for k in known)
     shares = {k: tokens[k] / whole for k in known}
-    if budget is None:
-        budget = int(min(caps[k] * tokens[k] / known[k] for k in known) * stretch)
 
     def bisect(good):
         if good(1.0):
@@ -60,12 +60,18 @@ def plan(tokens, targets, caps, budget=None, target_entropy=None, stretch=1.0):
             lo, hi = (mid, hi) if good(mid) else (lo, mid)
         return lo
 
+    a = 1.0
+    if between is not None:
+        target_entropy = (1 - between) * entropy(shares) + between * entropy(known)
     if target_entropy is not None:
         down = entropy(shares) >= entropy(known)
         a = bisect(lambda x: (entropy(weights(shares, known, x)) >= target_entropy) == down)
-    else:
+    elif budget is not None:
         a = bisect(lambda x: all(w * budget <= caps[k] * tokens[k] * (1 + 1e-12) for k, w in weights(shares, known, x).items()))
-    return a, budget, {k: min(int(w * budget), caps[k] * tokens[k]) for k, w in weights(shares, known, a).items()}
+    by = weights(shares, known, a)
+    if budget is None:
+        budget = int(min(caps[k] * tokens[k] / by[k] for k in known))
+    return a, budget, {k: min(int(w * budget), caps[k] * tokens[k]) for k, w in by.items()}
 
 
 def _sizes(documents: DataFrame, targets: DataFrame, vocabulary: str):
@@ -76,26 +82,26 @@ def _sizes(documents: DataFrame, targets: DataFrame, vocabulary: str):
     return sizes, tokens, {k: r["target_share"] for k, r in aims.items()}, {k: r["max_repeats"] or 0 for k, r in aims.items()}
 
 
-def planned(documents: DataFrame, targets: DataFrame, budget: int | None = None, target_entropy: float | None = None, stretch: float = 1.0, vocabulary: str = VOCABULARY) -> DataFrame:
+def planned(documents: DataFrame, targets: DataFrame, budget: int | None = None, target_entropy: float | None = None, between: float | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
     """One row per listed source: its tokens and token share, its target share, and the weight, exponent, entropy and budget of the plan."""
     _, tokens, aims, caps = _sizes(documents, targets, vocabulary)
-    a, budget, takes = plan(tokens, aims, caps, budget, target_entropy, stretch)
+    a, budget, takes = plan(tokens, aims, caps, budget, target_entropy, between)
     total, got = sum(tokens.values()) or 1, sum(takes.values()) or 1
     known = {k: n / got for k, n in takes.items()}
     rows = [(k, tokens.get(k, 0), tokens.get(k, 0) / total, float(t or 0.0), known.get(k, 0.0), takes.get(k, 0), a, entropy(known), budget) for k, t in sorted(aims.items())]
     return documents.sparkSession.createDataFrame(rows, "source string, tokens bigint, token_share double, target_share double, weight double, tokens_to_take bigint, exponent double, entropy double, budget bigint")
 
 
-def mix(documents: DataFrame, targets: DataFrame, budget: int | None = None, target_entropy: float | None = None, stretch: float = 1.0, vocabulary: str = VOCABULARY, blocks: int = BLOCKS) -> DataFrame:
+def mix(documents: DataFrame, targets: DataFrame, budget: int | None = None, target_entropy: float | None = None, between: float | None = None, vocabulary: str = VOCABULARY, blocks: int = BLOCKS) -> DataFrame:
     """One row per use of a document: doc_id, source, repeat_no from 1, n_tokens and mix_key, by which the sources interleave evenly.
 
     targets is a table of a few rows (source, target_share, max_repeats). Without a budget it is
-    ``stretch`` times the largest with which the target shares keep the caps. Sources
+    the largest for which the weights keep the caps. Sources
     without a target, null sources and texts without tokens are left out. No
     document occurs more than max_repeats times; a source's tokens fall short of
     its budget by less than one document."""
     sizes, tokens, shares_, caps = _sizes(documents, targets, vocabulary)
-    _, _, takes = plan(tokens, shares_, caps, budget, target_entropy, stretch)
+    _, _, takes = plan(tokens, shares_, caps, budget, target_entropy, between)
     spark = documents.sparkSession
     rows = [(k, n // tokens[k], n % tokens[k], n / tokens[k]) for k, n in takes.items() if n > 0]
     todo = F.broadcast(spark.createDataFrame(rows, "source string, whole bigint, rest bigint, epochs double"))

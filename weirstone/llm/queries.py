@@ -93,13 +93,13 @@ def p8_limits(spark, d):
 
 
 def p8_tempered(spark, d):
-    """A mixture of half as many tokens again as the targets allow: the caps bind, and the exponent is bisected."""
-    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"), stretch=1.5)
+    """A mixture half-way, by entropy, from the sources as they are to the targets."""
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"), between=0.5)
 
 
 def p8_plan(spark, d):
     """The plan of p8_tempered: weights, exponent and entropy."""
-    return mixing.planned(table(spark, d, "documents"), table(spark, d, "mix_targets"), stretch=1.5)
+    return mixing.planned(table(spark, d, "documents"), table(spark, d, "mix_targets"), between=0.5)
 
 
 def p9_found(spark, d):
