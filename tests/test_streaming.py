@@ -23,6 +23,28 @@ def test_replay(spark):
     assert _count(L.replay(_frame(spark, ROWS)).collect()) == WANT
 
 
+def test_any_log_in_any_batches(spark):
+    """Replay and the stream's step agree on random logs, whatever the micro-batches."""
+    import random
+
+    rng = random.Random(3)
+    rows = []
+    for s in range(40):
+        n = rng.randrange(1, 12)
+        rows += [(f"s{s}", t, rng.choice("abcd"), rng.choice(["1", "2", None]), i, rng.random() < 0.2) for t in range(rng.randrange(1, 70, 17)) for i in range(n)]
+    want = {}
+    for s, t in {r[:2] for r in rows}:
+        mine = sorted([r for r in rows if r[:2] == (s, t)], key=lambda r: r[4])
+        closed, known, at = False, {}, 0
+        while at < len(mine):
+            size = rng.randrange(1, 4)
+            closed, out = L.step(closed, known, [(k, d, c) for _, _, k, d, _, c in mine[at : at + size]])
+            for k, d, o in out:
+                want[s, t, k, d, o] = want.get((s, t, k, d, o), 0) + 1
+            at += size
+    assert _count(L.replay(_frame(spark, rows)).collect()) == want and {o for *_, o in want} == {"accepted", "repeated", "conflict", "late"}
+
+
 def test_stream_agrees_with_replay(spark, tmp_path):
     src = str(tmp_path / "in")
     for i in range(0, len(ROWS), 3):

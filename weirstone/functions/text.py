@@ -27,10 +27,14 @@ TEST_NEEDS = r"^requirements[-_.]tests?(?:\.[^.]+)?$"
 TEMPLATE_MARK = r"\{\{|\{%|<%|\$\{[^}]+\}"
 #: An e-mail address; a fixed value.
 EMAIL = r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"
-#: Words that carry no topic; fixed values.
+#: Words that carry no topic, and what a word is; fixed values.
 STOP = (
-    "and the this that with from into then also please should could would change update make add remove tool invocation result response assistant user complete completed done".split()
-)
+    "and the this that with from into then also please should could would change update make add remove tool invocation result response assistant user complete completed done "
+    "修改 调整 然后 这个 那个 需要 可以 进行"
+).split()
+WORD = r"(\$?[a-z0-9_./\\-]{3,}|[\u4e00-\u9fff]{2,})"
+#: Bytes of a file that its kind is told from; a fixed value.
+HEAD_BYTES = 8192
 
 
 def extension(path: Column) -> Column:
@@ -61,7 +65,7 @@ def file_kind(path: Column, content: Column) -> Column:
     name, folders = F.element_at(parts, -1), F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
     suffix = F.regexp_extract(name, r"^.+(\.[^.]+)$", 1)
     manifest = (name.startswith("requirements") & suffix.isin("", ".in", ".txt")) | F.array_contains(folders, "requirements")
-    head = F.coalesce(F.substring(content, 1, 4096), F.lit(""))
+    head = F.coalesce(F.make_valid_utf8(F.substring(content.cast("binary"), 1, HEAD_BYTES).cast("string")), F.lit(""))
     out = F.when(F.arrays_overlap(folders, F.array(*map(F.lit, FOLDERS))), None).when(name.isin(NAMES) | name.rlike(TEST_NAME) | name.rlike(TEST_NEEDS), None)
     out = out.when(suffix.isin(BINARY) | (suffix.isin(DOCUMENT) & ~manifest) | head.contains("\x00"), None)
     out = out.when(suffix.isin(SOURCE), "source").when(suffix.isin(TEMPLATE), "runtime_template")
@@ -87,9 +91,14 @@ def tool_input(content: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    """The distinct lower-case words of at least three ASCII letters or digits that are no stop words, in order."""
-    found = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"([a-z0-9_]{3,})"), F.lit(1)))
-    return F.array_sort(F.array_except(found, F.array(*map(F.lit, STOP))))
+    """The distinct terms of a text in order, in lower case and without stop words: runs of at least three letters, digits
+    and marks of names and paths, the parts of these of at least three letters, and runs of two or more Chinese characters."""
+    found = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(1))
+    whole = F.transform(found, lambda x: F.regexp_replace(F.replace(x, F.lit("\\"), F.lit("/")), r"^[./-]+|[./-]+$", ""))
+    stop = F.array(*map(F.lit, STOP))
+    kept = F.filter(whole, lambda x: (x != "") & ~F.array_contains(stop, x))
+    parts = F.filter(F.flatten(F.transform(kept, lambda x: F.split(x, "[/_.-]+"))), lambda x: F.length(x) >= 3)
+    return F.array_sort(F.array_except(F.array_distinct(F.concat(kept, parts)), stop))
 
 
 def fingerprint(text: Column) -> Column:

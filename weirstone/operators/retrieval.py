@@ -12,10 +12,11 @@ from ..functions import text as T
 
 #: What words and tools say about an event's operation; fixed values. The first that holds wins for shell lines.
 OPERATIONS = {
-    "publish": r"(?i)\b(?:commit(?:ted)?|push(?:ed)?|publish(?:ed)?|deploy(?:ed)?)\b|提交|推送|发布|部署",
-    "verify": r"(?i)\b(?:test(?:ed|ing)?|pytest|verify|verified|validat(?:e|ed|ion)|check(?:ed|ing)?|lint(?:ed|ing)?|mypy|ruff|build)\b|测试|验证|检查|校验",
-    "modify": r"(?i)\b(?:add(?:ed|ing)?|chang(?:e|ed|ing)|edit(?:ed|ing)?|fix(?:ed|ing)?|implement(?:ed|ing)?|remov(?:e|ed|ing)|delet(?:e|ed|ing)|replac(?:e|ed|ing)|writ(?:e|ten|ing)|creat(?:e|ed|ing)|set)\b|修改|新增|添加|删除|替换|实现",
-    "inspect": r"(?i)\b(?:read|review(?:ed|ing)?|inspect(?:ed|ing)?|search(?:ed|ing)?|find|found|look(?:ed|ing)?|investigat(?:e|ed|ing)|compar(?:e|ed|ing))\b|读取|查看|审查|搜索|查找|比较",
+    "publish": r"(?i)\b(?:commit(?:ted)?|push(?:ed)?|publish(?:ed)?|deploy(?:ed)?|open(?:ed)?\s+(?:a\s+)?pr)\b|(?:提交|推送|发布|部署)",
+    "verify": r"(?i)\b(?:test(?:ed|ing)?|pytest|unittest|verify|verified|validat(?:e|ed|ion)|check(?:ed|ing)?|lint(?:ed|ing)?|mypy|ruff|preflight|build)\b|(?:测试|验证|检查|校验)",
+    "modify": r"(?i)\b(?:add(?:ed|ing)?|chang(?:e|ed|ing)|edit(?:ed|ing)?|fix(?:ed|ing)?|implement(?:ed|ing)?|remov(?:e|ed|ing)|delet(?:e|ed|ing)|replac(?:e|ed|ing)|rewrit(?:e|ten|ing)|writ(?:e|ten|ing)|creat(?:e|ed|ing)|set)\b"
+    r"|(?:修改|新增|添加|删除|替换|实现|写入|创建|设置)",
+    "inspect": r"(?i)\b(?:read|review(?:ed|ing)?|inspect(?:ed|ing)?|search(?:ed|ing)?|find|found|look(?:ed|ing)?|investigat(?:e|ed|ing)|compar(?:e|ed|ing)?)\b|(?:读取|查看|审查|搜索|查找|调查|比较)",
 }
 TOOLS = {"inspect": ("read", "grep", "glob", "search", "webfetch", "websearch"), "modify": ("edit", "write", "create", "delete", "notebookedit")}
 #: Beginnings of lines that guard others, and files that mark a documentation site; fixed values.

@@ -109,7 +109,7 @@ def permute(weights: np.ndarray) -> tuple[int, ...]:
 
 
 def set_classes(items: DataFrame, key: str, item: str) -> DataFrame:
-    """One row per class of records with equal sets: class_id, representative (the least key), members and the set.
+    """One row per class of records with equal sets: class_id (a digest of the set), representative (the least key), members and the set.
 
     A null item adds nothing to its record's set, so a record of nulls alone has the empty set; null keys give none."""
     return _class_of(items, key, item).groupBy("class_id").agg(F.min(key).alias("representative"), F.count("*").alias("members"), F.first("_items").alias("_items"))
@@ -117,7 +117,7 @@ def set_classes(items: DataFrame, key: str, item: str) -> DataFrame:
 
 def _class_of(items: DataFrame, key: str, item: str) -> DataFrame:
     sets = items.where(F.col(key).isNotNull()).select(key, item).distinct().groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("_items"))
-    return sets.withColumn("class_id", F.xxhash64("_items"))
+    return sets.withColumn("class_id", F.sha2(F.to_json(F.struct("_items")), 256))
 
 
 def set_pairs(items: DataFrame, key: str, item: str, least: float) -> DataFrame:

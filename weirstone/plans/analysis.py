@@ -225,13 +225,44 @@ def queries():
     return {k: f for k, f in globals().items() if callable(f) and getattr(f, "__module__", "") == __name__ and not k.startswith("_") and k not in skip}
 
 
+def words_sql(text):
+    """The terms of a text, as ``functions.text.words`` has them."""
+    stop = ", ".join(f"'{w}'" for w in T.STOP)
+    pattern = T.WORD.replace(r"\u4e00-\u9fff", r"\x{4e00}-\x{9fff}")
+    return f"""(SELECT list_distinct(list_concat(k, list_filter(flatten(list_transform(k, lambda t: regexp_split_to_array(t, '[/_.-]+'))), lambda t: length(t) >= 3 AND NOT list_contains([{stop}], t))))
+        FROM (SELECT list_filter(list_transform(regexp_extract_all(lower({text}), '{pattern}', 1), lambda t: regexp_replace(replace(t, chr(92), '/'), '^[./-]+|[./-]+$', '', 'g')), lambda t: t <> '' AND NOT list_contains([{stop}], t)) AS k))"""
+
+
+def kind_sql(path, content):
+    """The kind of a file, as ``functions.text.file_kind`` has it."""
+    some = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+    name = f"list_last(string_split(lower({path}), '/'))"
+    folders = f"list_slice(string_split(lower({path}), '/'), 1, -2)"
+    suffix = f"regexp_extract({name}, '^.+(\\.[^.]+)$', 1)"
+    head = f"coalesce(left({content}, {T.HEAD_BYTES}), '')"
+    manifest = f"(({name} LIKE 'requirements%' AND {suffix} IN ('', '.in', '.txt')) OR list_contains({folders}, 'requirements'))"
+    has = lambda xs: f"list_contains({some(xs)}, {suffix})"
+    mark = T.TEMPLATE_MARK.replace("'", "''")
+    return f"""CASE WHEN list_has_any({folders}, {some(T.FOLDERS)}) THEN NULL WHEN list_contains({some(T.NAMES)}, {name}) OR regexp_matches({name}, '{T.TEST_NAME}') OR regexp_matches({name}, '{T.TEST_NEEDS}') THEN NULL
+        WHEN {has(T.BINARY)} OR ({has(T.DOCUMENT)} AND NOT {manifest}) OR contains({head}, chr(0)) THEN NULL WHEN {has(T.SOURCE)} THEN 'source' WHEN {has(T.TEMPLATE)} THEN 'runtime_template'
+        WHEN {suffix} = '.html' THEN CASE WHEN list_has_any({folders}, ['templates', 'views']) OR regexp_matches({head}, '{mark}') THEN 'runtime_template' END
+        WHEN {has(T.EXECUTABLE)} OR ({suffix} = '' AND {head} LIKE '#!%') THEN 'executable' WHEN {manifest} OR {has(T.CONFIG)} THEN 'configuration' END"""
+
+
 def oracle_sql():
     isl = """(SELECT l_partkey, min(a) AS a, max(b) AS b FROM (SELECT *, sum(fresh) OVER (PARTITION BY l_partkey ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS g FROM
         (SELECT *, CASE WHEN pb IS NULL OR a > pb + 1 THEN 1 ELSE 0 END AS fresh FROM (SELECT *, max(b) OVER (PARTITION BY l_partkey ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pb FROM
         (SELECT l_partkey, CAST(l_linenumber * 20 AS BIGINT) AS a, CAST(l_linenumber * 20 + CAST(l_quantity AS BIGINT) AS BIGINT) AS b FROM lineitem WHERE l_orderkey % 2 = {m}) r) r2) r3) r4 GROUP BY l_partkey, g)"""
     lines = "(SELECT DISTINCT l_partkey, unnest(range(a, b + 1)) AS x FROM {i})"
     te = "(SELECT DISTINCT event_pk, input_id, event_type, turn_number, input_order, tool_name, content FROM trace_events)"
-    return {
+    inv = "split_part(content, chr(10) || chr(10) || 'Tool result:', 1)"
+    own = {
+        "file_kinds": f"""SELECT {kind_sql("path", "content")} AS kind, regexp_extract(regexp_replace(lower(replace(trim(path), chr(92), '/')), '/+$', ''), '(\\.[a-z0-9_+-]+)$', 1) AS suffix, count(*) AS files
+            FROM (SELECT DISTINCT artifact_id, path, content FROM repo_artifacts) GROUP BY 1, 2""",
+        "term_overlap": f"""WITH s AS (SELECT DISTINCT input_id, turn_number, event_type, unnest({words_sql(inv)}) AS term FROM {te} WHERE content IS NOT NULL AND event_type IN ('user_prompt', 'assistant_response'))
+            SELECT input_id, turn_number::BIGINT AS turn_number, count(*) AS shared_terms FROM (SELECT input_id, turn_number, term FROM s GROUP BY ALL HAVING count(*) = 2) GROUP BY ALL""",
+    }
+    return own | {
         "span_overlap_score": f"""WITH p AS (SELECT l_partkey, count(*) AS n FROM {lines.format(i=isl.format(m=1))} GROUP BY 1), g AS (SELECT l_partkey, count(*) AS n FROM {lines.format(i=isl.format(m=0))} GROUP BY 1),
             h AS (SELECT l_partkey, count(*) AS n FROM {lines.format(i=isl.format(m=1))} JOIN {lines.format(i=isl.format(m=0))} USING (l_partkey, x) GROUP BY 1),
             j AS (SELECT l_partkey, coalesce(p.n, 0) AS predicted_lines, coalesce(g.n, 0) AS gold_lines, coalesce(h.n, 0) AS hits FROM p FULL JOIN g USING (l_partkey) LEFT JOIN h USING (l_partkey))

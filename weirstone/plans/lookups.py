@@ -94,7 +94,22 @@ def queries():
 
 def oracle_sql():
     tok = "(coalesce(strlen(content), 0) + 2) // 3"
+    found = ", ".join(f"CASE WHEN regexp_matches(content, '{p}') THEN '{n}' END" for n, p in sorted(V.OPERATIONS.items()))
+    bare = "regexp_replace(lower(coalesce(tool_name, '')), '[^a-z]', '', 'g')"
+    tool = f"CASE WHEN {bare} = '' THEN 'execute' " + " ".join(f"WHEN regexp_matches({bare}, '(?:{'|'.join(t)})$') THEN '{n}'" for n, t in V.TOOLS.items()) + " ELSE 'execute' END"
+    some = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+    low, name, suffix = "lower(path)", "list_last(string_split(lower(path), '/'))", r"regexp_extract(lower(path), '(\.[^./]+)$', 1)"
+    known = f"list_contains({some(T.SOURCE + T.CONFIG + T.DOCUMENT)}, {suffix})"
     return {
+        "event_operations": f"""SELECT event_type, CASE WHEN event_type = 'tool_exchange' THEN {tool} ELSE coalesce(array_to_string(list_filter([{found}], lambda x: x IS NOT NULL), ','), '') END AS operation, count(*) AS events
+            FROM {_TE} GROUP BY 1, 2""",
+        "evidence_classes": rf"""WITH a AS (SELECT DISTINCT artifact_id, input_id, path FROM repo_artifacts), r AS (SELECT DISTINCT input_id, regexp_extract(path, '^(.*)/[^/]+$', 1) AS root FROM a WHERE list_contains({some(V.SITE_FILES)}, {name})),
+            k AS (SELECT * FROM a WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.input_id = a.input_id AND root <> '' AND starts_with(a.path, root || '/')))
+            SELECT CASE WHEN regexp_matches({low}, '(^|/)(fixtures?|testdata|test_data|__fixtures__|snapshots?)/') THEN CASE WHEN {known} THEN 'fixture' END
+                WHEN regexp_matches({low}, '(^|/)(tests?|__tests__|specs?|testing)/') OR regexp_matches({name}, '{T.TEST_NAME}') THEN CASE WHEN {known} THEN 'test' END
+                WHEN {name} IN ('pyproject.toml', 'setup.py', 'setup.cfg', 'package.json', 'cargo.toml', 'go.mod', 'pom.xml', 'makefile', 'dockerfile', 'cmakelists.txt', 'build.gradle') THEN 'build_metadata'
+                WHEN list_contains({some(T.DOCUMENT)}, {suffix}) OR regexp_matches({low}, '(^|/)docs?/') THEN 'documentation' WHEN list_contains({some(T.CONFIG)}, {suffix}) THEN 'configuration'
+                WHEN list_contains({some(T.SOURCE)}, {suffix}) THEN 'implementation' END AS evidence_class, count(*) AS files FROM k GROUP BY 1""",
         "nearest_prompt": f"""SELECT event_pk, prompt_pk FROM (SELECT e.event_pk, p.event_pk AS prompt_pk, row_number() OVER (PARTITION BY e.event_pk ORDER BY abs(e.input_order - p.input_order), p.input_order) AS r
             FROM {_TE} e JOIN {_TE} p ON p.input_id = e.input_id AND p.event_type = 'user_prompt' WHERE e.event_type = 'tool_exchange') WHERE r = 1""",
         "packed_reads": f"""WITH x AS (SELECT input_id, tokens, sum(tokens) OVER w AS s, row_number() OVER w AS i FROM (SELECT *, {tok} AS tokens FROM {_TE}) WINDOW w AS (PARTITION BY input_id ORDER BY input_order, event_pk ROWS UNBOUNDED PRECEDING))

@@ -142,7 +142,12 @@ def oracle_sql():
     rank = "CASE event_type WHEN 'system' THEN 0 WHEN 'user_prompt' THEN 1 WHEN 'assistant_response' THEN 2 ELSE 3 END"
     docs = "(SELECT doc_id, source, (coalesce(strlen(text), 0) + 2) // 3 AS tokens FROM documents WHERE source IS NOT NULL)"
     art = "(SELECT DISTINCT artifact_id, repo_id, path FROM repo_artifacts)"
+    skip = f"""WITH RECURSIVE e AS (SELECT event_pk, input_id, input_order, (coalesce(strlen(content), 0) + 2) // 3 AS tokens, row_number() OVER (PARTITION BY input_id ORDER BY input_order) AS i FROM {_TE}),
+        w AS (SELECT event_pk, input_id, input_order, tokens, i, tokens <= 3072 AS fits, 3072 - CASE WHEN tokens <= 3072 THEN tokens ELSE 0 END AS room FROM e WHERE i = 1
+              UNION ALL SELECT e.event_pk, e.input_id, e.input_order, e.tokens, e.i, e.tokens <= w.room, w.room - CASE WHEN e.tokens <= w.room THEN e.tokens ELSE 0 END FROM w JOIN e ON e.input_id = w.input_id AND e.i = w.i + 1)
+        SELECT event_pk, input_id, input_order, tokens FROM w WHERE fits"""
     return {
+        "budget_skip": skip,
         "asof_previous_event": """SELECT e.event_id, e.user_id, (SELECT p.event_id FROM events p WHERE p.user_id = e.user_id AND p.event_type = 'purchase' AND (p.ts < e.ts OR p.ts = e.ts AND p.event_id < e.event_id)
             ORDER BY p.ts DESC, p.event_id DESC LIMIT 1) AS previous_purchase FROM events e WHERE e.event_type = 'error'""",
         "range_window_counts": """WITH r AS (SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),

@@ -26,8 +26,8 @@ def code_edges(spark, d):
 
 
 def event_log_replay(spark, d):
-    """The log's outcome for a replay of every delivery: accepted, repeated, conflicting and late rows."""
-    e = table(spark, d, "trace_events").select("session_id", F.col("turn_number").cast("bigint").alias("turn_number"), F.col("event_pk").cast("string").alias("event_key"), F.md5(F.col("content").cast("binary")).alias("data"), F.col("ingested_at").alias("at"), F.lit(False).alias("closes"))
+    """The log's outcome for a replay of every delivery: accepted, repeated, conflicting and late rows. A response closes its turn."""
+    e = table(spark, d, "trace_events").select("session_id", F.col("turn_number").cast("bigint").alias("turn_number"), F.col("event_pk").cast("string").alias("event_key"), F.md5(F.col("content").cast("binary")).alias("data"), F.col("ingested_at").alias("at"), (F.col("event_type") == "assistant_response").alias("closes"))
     return L.replay(e).groupBy("outcome").agg(F.count("*").alias("events"))
 
 
@@ -38,6 +38,9 @@ def queries():
 
 def oracle_sql():
     return {
-        "event_log_replay": """WITH r AS (SELECT *, row_number() OVER (PARTITION BY session_id, turn_number, event_pk ORDER BY ingested_at) AS n, first_value(md5(content)) OVER (PARTITION BY session_id, turn_number, event_pk ORDER BY ingested_at) AS f FROM trace_events)
-            SELECT CASE WHEN n = 1 THEN 'accepted' WHEN md5(content) IS NOT DISTINCT FROM f THEN 'repeated' ELSE 'conflict' END AS outcome, count(*) AS events FROM r GROUP BY 1""",
+        "event_log_replay": """WITH r AS (SELECT session_id AS s, turn_number AS t, event_pk::VARCHAR AS k, md5(content) AS x, ingested_at AS a, event_type = 'assistant_response' AS c FROM trace_events),
+            n AS (SELECT *, row_number() OVER w AS n, first_value(x) OVER w AS f FROM r WINDOW w AS (PARTITION BY s, t, k ORDER BY a, x NULLS FIRST)),
+            m AS (SELECT *, coalesce(bool_or(c AND n = 1) OVER (PARTITION BY s, t ORDER BY a, k, x NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS closed FROM n),
+            l AS (SELECT *, first_value(closed) OVER (PARTITION BY s, t, k ORDER BY a, x NULLS FIRST) AS late FROM m)
+            SELECT CASE WHEN late THEN 'late' WHEN n = 1 THEN 'accepted' WHEN x IS NOT DISTINCT FROM f THEN 'repeated' ELSE 'conflict' END AS outcome, count(*) AS events FROM l GROUP BY 1""",
     }

@@ -1,67 +1,77 @@
 """The append-only event log: idempotent replay keys, late events after a turn's close.
 
-``append`` is the streaming operator (state per session in the state store);
+``append`` is the streaming operator (state per turn in the state store);
 ``replay`` is its batch form over a bounded log.  Both give every row an outcome:
 
 * accepted - the first row of its (session, turn, key)
-* repeated - the same key with the same data
-* conflict - the same key with other data
-* late - a new key of a turn that has been closed
+* repeated - the key of an accepted row with the same data
+* conflict - the key of an accepted row with other data
+* late - a key that first comes when its turn has been closed, by an accepted row with ``closes``
 """
 
 from __future__ import annotations
 
+import json
+import zlib
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 SCHEMA = "session_id string, turn_number bigint, event_key string, data string, outcome string"
-#: Turns that a session's state keeps open or remembers as closed; older ones count as closed.
-TURNS = 64
+#: The order of a turn's rows.
+ORDER = ["at", "event_key", "data"]
 
 
 def replay(log: DataFrame) -> DataFrame:
-    """log: session_id, turn_number, event_key, data, at, closes. Rows are taken in the order of ``at``, then key."""
-    key = Window.partitionBy("session_id", "turn_number", "event_key").orderBy("at")
-    turn = Window.partitionBy("session_id", "turn_number").orderBy("at", "event_key").rowsBetween(Window.unboundedPreceding, -1)
-    x = log.withColumns({"_n": F.row_number().over(key), "_first": F.first("data").over(key), "_closed": F.coalesce(F.bool_or("closes").over(turn), F.lit(False))})
-    outcome = F.when(F.col("_n") > 1, F.when(F.col("data").eqNullSafe(F.col("_first")), "repeated").otherwise("conflict")).when(F.col("_closed"), "late").otherwise("accepted")
+    """log: session_id, turn_number, event_key, data, at, closes. A turn's rows are taken in the order of ``at``, key, data."""
+    order = [F.col(c).asc_nulls_first() for c in ORDER]
+    key = Window.partitionBy("session_id", "turn_number", "event_key").orderBy(*order)
+    turn = Window.partitionBy("session_id", "turn_number").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    x = log.withColumns({"_n": F.row_number().over(key), "_first": F.first("data").over(key)})
+    # the first row that closes among the first rows of their keys is itself accepted, and closes
+    x = x.withColumn("_closed", F.coalesce(F.bool_or(F.coalesce("closes", F.lit(False)) & (F.col("_n") == 1)).over(turn), F.lit(False)))
+    x = x.withColumn("_late", F.first("_closed").over(key))
+    outcome = F.when(F.col("_late"), "late").when(F.col("_n") == 1, "accepted").when(F.col("data").eqNullSafe(F.col("_first")), "repeated").otherwise("conflict")
     return x.select("session_id", "turn_number", "event_key", "data", outcome.alias("outcome"))
 
 
-def step(turns: dict, rows) -> list[tuple]:
-    """Outcomes of rows (turn, key, data, closes) against a session's turns {turn: (closed, {key: data})}, which are changed in place."""
+def mark(data) -> str | None:
+    """What the state keeps of a row's data: its length and two checksums."""
+    raw = None if data is None else data.encode("utf-8", "surrogatepass")
+    return None if raw is None else f"{len(raw):x}.{zlib.crc32(raw):x}.{zlib.adler32(raw):x}"
+
+
+def step(closed: bool, known: dict, rows) -> tuple[bool, list[tuple]]:
+    """Whether the turn is closed after the rows (key, data, closes), and their outcomes; ``known`` {key: mark} is changed in place."""
     out = []
-    for turn, key, data, closes in rows:
-        closed, known = turns.setdefault(turn, (turn < max(turns, default=turn) - TURNS, {}))
+    for key, data, closes in rows:
         if key in known:
-            outcome = "repeated" if known[key] == data else "conflict"
+            outcome = "repeated" if known[key] == mark(data) else "conflict"
         elif closed:
             outcome = "late"
         else:
-            known[key], outcome = data, "accepted"
-        if outcome == "accepted" and closes:
-            turns[turn] = (True, known)
-        out.append((turn, key, data, outcome))
-    for old in sorted(turns)[:-TURNS]:
-        del turns[old]
-    return out
+            known[key], outcome = mark(data), "accepted"
+            closed = bool(closes)
+        out.append((key, data, outcome))
+    return closed, out
 
 
 def append(stream: DataFrame) -> DataFrame:
-    """A streaming DataFrame's outcomes. The state of a session holds its last TURNS turns: keys with a hash of their data."""
-    import json
+    """A streaming DataFrame's outcomes. The state of a turn holds its accepted keys with marks of their data, and
+    whether it is closed; nothing is forgotten. The rows of a turn in a micro-batch are taken in the order of ``at``, key, data."""
 
     def run(key, batches, state: GroupState):
-        turns = {int(t): (c, k) for t, (c, k) in json.loads(state.get[0]).items()} if state.exists else {}
-        for b in batches:
-            b = b.sort_values(["at", "event_key"])
-            rows = step(turns, zip(b.turn_number.tolist(), b.event_key, b.data, b.closes))
-            yield pd.DataFrame([(key[0], *r) for r in rows], columns=["session_id", "turn_number", "event_key", "data", "outcome"])
-        state.update((json.dumps({str(t): v for t, v in turns.items()}),))
-
-    return stream.groupBy("session_id").applyInPandasWithState(run, SCHEMA, "turns string", "append", GroupStateTimeout.NoTimeout)
+        closed, known = json.loads(state.get[0]) if state.exists else (False, {})
+        known = {None if k == "null" else k[1:]: m for k, m in known.items()}
+        rows = pd.concat(list(batches)).sort_values(ORDER, na_position="first")
+        none = lambda x: None if x is None or x is pd.NA or x != x else x
+        closed, out = step(closed, known, [(none(k), none(d), none(c)) for k, d, c in zip(rows.event_key, rows.data, rows.closes)])
+        state.update((json.dumps([closed, {"null" if k is None else "=" + k: m for k, m in known.items()}]),))
+        yield pd.DataFrame([(key[0], key[1], *r) for r in out], columns=["session_id", "turn_number", "event_key", "data", "outcome"])
+
+    return stream.groupBy("session_id", "turn_number").applyInPandasWithState(run, SCHEMA, "turn string", "append", GroupStateTimeout.NoTimeout)
 
 
 def windowed_counts(stream: DataFrame, at: str, by: list[str], size: str = "10 minutes", late: str = "1 hour") -> DataFrame:
