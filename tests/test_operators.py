@@ -336,3 +336,54 @@ def test_paired_bootstrap_weighs_clusters(spark):
     got = {r.g: r for r in stats.paired_bootstrap(spark.createDataFrame(rows, "g string, b double, t double, c string"), "g", "b", "t", "c").collect()}
     assert (got["g"].pairs, got["g"].clusters, got["g"].difference, got["g"].low, got["g"].high) == (10, 2, 0.9, 0.0, 1.0)
     assert got["h"].difference == 2.0 and got["h"].low is None
+
+# -- evidence units ---------------------------------------------------------------
+def test_pair_calls(spark):
+    from weirstone.operators import evidence
+
+    rows = [("s", 1, "use", "a", 1), ("s", 2, "result", "a", 2), ("s", 3, "result", "a", 3), ("s", 4, "use", "b", 4), ("s", 5, "result", "c", 5), ("s", 6, "use", "a", 6), ("s", 7, "use", " ", 7), ("s", 8, "use", None, 8), ("t", 9, "result", "a", 1), ("t", 10, "use", "a", 2)]
+    df = spark.createDataFrame(rows, "scope string, pk bigint, kind string, call_id string, at bigint")
+    got = {r.pk: (r.outcome, r.other) for r in evidence.pair_calls(df, ["scope"], "call_id", "kind", "at", "pk").collect()}
+    assert got == {1: ("paired", 2), 2: ("paired", 1), 3: ("duplicate", None), 4: ("open", None), 5: ("orphan", None), 6: ("duplicate", None), 7: ("without_id", None), 8: ("without_id", None), 9: ("orphan", None), 10: ("open", None)}
+    assert evidence.pair_calls(df.limit(0), ["scope"], "call_id", "kind", "at", "pk").count() == 0
+
+
+def test_line_hits_against_brute_force(spark):
+    import random
+
+    from weirstone.operators import evidence
+
+    rng = random.Random(4)
+    make = lambda: [(g, a, a + rng.randrange(4)) for g in "abcdef" for a in (rng.randrange(40) for _ in range(rng.randrange(4)))]
+    p, g = make(), make()
+    schema = "g string, a bigint, b bigint"
+    got = {r.g: (r.distance, r.hit_at_0, r.hit_at_3) for r in evidence.line_hits(spark.createDataFrame(p, schema), spark.createDataFrame(g, schema), ["g"], "a", "b").collect()}
+    want = {}
+    for k in {x[0] for x in g}:
+        d = [abs(x - y) for _, a, b in (r for r in p if r[0] == k) for x in range(a, b + 1) for _, c, e in (r for r in g if r[0] == k) for y in range(c, e + 1)]
+        want[k] = (min(d) if d else None, bool(d) and min(d) == 0, bool(d) and min(d) <= 3)
+    assert got == want
+
+
+def test_resolved_calls(spark):
+    from weirstone.operators import code
+
+    files = [
+        ("src/pkg/a.py", "from .b import helper as h, Box\nimport pkg.c as c\nimport os\n\ndef one():\n    def inner():\n        pass\n    inner()\n    h()\n    c.run()\n    os.getcwd()\n    unknown()\n\nclass K:\n    def m(self):\n        self.n()\n        one()\n        Box()\n        m()\n    def n(self):\n        pass\n"),
+        ("src/pkg/b.py", "def helper():\n    pass\n\nclass Box:\n    def __init__(self):\n        pass\n"),
+        ("src/pkg/c.py", "def run():\n    pass\n"), ("src/pkg/broken.py", "def ("), ("src/pkg/none.py", None),
+    ]
+    df = spark.createDataFrame([(i, "i", p, t) for i, (p, t) in enumerate(files)], "artifact_id bigint, input_id string, path string, content string")
+    got = {(r.scope, r.callee): (r.target_path, r.target_symbol, r.way) for r in code.resolved_calls(df).collect()}
+    a, b = "src/pkg/a.py", "src/pkg/b.py"
+    assert got == {("one", "inner"): (a, "one.inner", "local"), ("one", "h"): (b, "helper", "import"), ("one", "c.run"): ("src/pkg/c.py", "run", "import"), ("K.m", "self.n"): (a, "K.n", "local"), ("K.m", "one"): (a, "one", "local")}
+    assert code.resolved_calls(df.limit(0)).count() == 0
+
+
+def test_nearest_ties_and_lone_groups(spark):
+    from weirstone.operators import retrieval
+
+    p = spark.createDataFrame([("g", i, i) for i in (0, 3, 4, 5, 9)] + [("h", 7, 100)], "g string, at bigint, pk bigint")
+    b = spark.createDataFrame([("g", 2, "y"), ("g", 2, "x"), ("g", 6, "z")], "g string, center bigint, name string")
+    got = {r.pk: r.name for r in retrieval.nearest(p, b, ["g"], "at", "center", "pk", "name").collect()}
+    assert got == {0: "x", 3: "x", 4: "x", 5: "z", 9: "z"}

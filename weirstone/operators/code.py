@@ -203,3 +203,106 @@ def call_edges(artifacts: DataFrame) -> DataFrame:
     out = c.join(local.select("artifact_id", F.col("name").alias("callee"), "target"), ["artifact_id", "callee"], "left").join(wide.select("input_id", F.col("name").alias("callee"), "wide_target", "wide_path"), ["input_id", "callee"], "left")
     hit = out.where("target is not null or wide_target is not null")
     return hit.select("input_id", "path", "scope", "line", F.when(F.col("target").isNotNull(), F.col("path")).otherwise(F.col("wide_path")).alias("target_path"), F.coalesce("target", "wide_target").alias("target_symbol"))
+
+
+RESOLVED = "artifact_id bigint, path string, scope string, callee string, line bigint, local string, imported array<struct<module: string, symbol: string>>"
+
+
+def _module(path):
+    parts = path[: -len(".py")].split("/")
+    return parts[:-1] if parts[-1] == "__init__" else parts
+
+
+def _bindings(tree, path):
+    """Name -> [(module, imported name or '')] of a file's imports; relative ones are made absolute by the path."""
+    out, here = {}, _module(path)
+    package = here if path.endswith("__init__.py") else here[:-1]
+    for node in ast.walk(tree):
+        if isinstance(node, ast.Import):
+            for a in node.names:
+                name = a.asname or a.name.split(".")[0]
+                out.setdefault(name, []).append((a.name if a.asname else a.name.split(".")[0], ""))
+        elif isinstance(node, ast.ImportFrom):
+            base = package[: len(package) - node.level + 1] if node.level else []
+            module = ".".join([*base, *(node.module.split(".") if node.module else [])])
+            for a in node.names:
+                out.setdefault(a.asname or a.name, []).append((module, a.name))
+    return out
+
+
+def _label(f):
+    parts = []
+    while isinstance(f, ast.Attribute):
+        parts.append(f.attr)
+        f = f.value
+    return ".".join([f.id, *reversed(parts)]) if isinstance(f, ast.Name) else None
+
+
+def python_calls(tree, path):
+    """(scope, callee, line, local target or None, [(module, symbol)]) of the calls of names and dotted names.
+
+    A plain name is looked up in the scopes around it, classes left out, innermost first; self and cls in the class of
+    the method; other dotted names in the file as written. Imported names give modules and symbols to look up."""
+    spans, names, out = python_definitions(tree), _bindings(tree, path), []
+    kinds = {s: k for s, k, _, _ in spans}
+    for node in ast.walk(tree):
+        label = _label(node.func) if isinstance(node, ast.Call) else None
+        if not label:
+            continue
+        inside = [s for s in spans if s[2] <= node.lineno <= s[3]]
+        scope = min(inside, key=lambda s: (s[3] - s[2], s[2]))[0] if inside else ""
+        first, _, rest = label.partition(".")
+        local = None
+        if not rest:
+            around = scope.split(".") if scope else []
+            for k in range(len(around), -1, -1):
+                outer = ".".join(around[:k])
+                symbol = f"{outer}.{label}" if outer else label
+                if kinds.get(outer) != "class" and symbol in kinds:
+                    local = symbol
+                    break
+        elif first in ("self", "cls"):
+            owner = scope.rpartition(".")[0]
+            local = f"{owner}.{rest}" if owner and f"{owner}.{rest}" in kinds else None
+        elif first not in names and label in kinds:
+            local = label
+        there = []
+        for module, imported in names.get(first, ()):
+            symbol = ".".join(x for x in (imported, rest) if x)
+            if symbol:
+                there += [(module, symbol), (module, f"{symbol}.__init__")]
+            if rest and not imported:  # a module's module
+                head, _, last = rest.rpartition(".")
+                if head:
+                    there.append((f"{module}.{head}", last))
+            elif rest:
+                there.append((f"{module}.{imported}", rest))
+        if local or there:
+            out.append((scope, label, node.lineno, local, there))
+    return out
+
+
+def resolved_calls(artifacts: DataFrame) -> DataFrame:
+    """Calls of Python files with the one definition they can mean: (artifact_id, scope, callee, line, target_path, target_symbol, way).
+
+    way is local or import. A module is found in its input by any suffix of a file's path; a call that may mean several definitions, or none, gives no row."""
+
+    def rows(path, text):
+        tree = _parse(text)
+        return python_calls(tree, path) if tree else []
+
+    def run(batches):
+        yield from _each(batches, ["scope", "callee", "line", "local", "imported"], rows)
+
+    inputs = artifacts.select("artifact_id", "input_id").distinct()
+    c = _source(artifacts, r"\.py$").mapInPandas(run, RESOLVED).dropDuplicates(["artifact_id", "scope", "callee", "line"]).join(inputs, "artifact_id")
+    d = definitions(artifacts).where(F.col("path").endswith(".py")).join(inputs, "artifact_id").select("input_id", "path", "symbol").distinct()
+    bare = F.split(F.regexp_replace(F.regexp_replace("path", r"\.py$", ""), r"(^|/)__init__$", ""), "/")
+    suffixes = d.withColumn("_m", bare).withColumn("module", F.explode(F.transform(F.sequence(F.lit(1), F.size("_m")), lambda i: F.array_join(F.slice("_m", i, F.size("_m")), "."))))
+    key = ["artifact_id", "scope", "callee", "line"]
+    here = c.where("local is not null").select(*key, F.col("path").alias("target_path"), F.col("local").alias("target_symbol"), F.lit("local").alias("way"))
+    asked = c.select("input_id", *key, F.explode("imported").alias("i")).select("input_id", *key, "i.*")
+    there = asked.join(suffixes.select("input_id", "module", "symbol", F.col("path").alias("target_path")), ["input_id", "module", "symbol"]).select(*key, "target_path", F.col("symbol").alias("target_symbol"), F.lit("import").alias("way"))
+    hits = here.unionByName(there).distinct()
+    one = hits.groupBy(*key).agg(F.count_distinct("target_path", "target_symbol").alias("n"), F.min("target_path").alias("target_path"), F.min("target_symbol").alias("target_symbol"), F.min("way").alias("way"))
+    return one.where("n = 1").drop("n")

@@ -46,7 +46,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         edges = cut(small)
-        now = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("bigint"))).first()
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         if now == state:
             break
         state = now

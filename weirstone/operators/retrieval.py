@@ -110,9 +110,18 @@ def unique_best(df: DataFrame, by: list[str], score: str) -> DataFrame:
 
 
 def nearest(points: DataFrame, buckets: DataFrame, on: list[str], at: str, center: str, key: str, name: str) -> DataFrame:
-    """The bucket of the nearest center for each point in its group, ties to the lower one. A group holds few buckets."""
-    j = points.join(buckets.select(*on, center, name), on)
-    return j.groupBy(*on, key).agg(F.min_by(name, F.struct(F.abs(F.col(at) - F.col(center)), F.col(center))).alias(name))
+    """The bucket of the nearest center for each point in its group, ties to the lower center, then to the least name.
+
+    One pass in order finds the last center before and the first after each point, so no point meets all buckets."""
+    one = buckets.groupBy(*on, center).agg(F.min(name).alias(name))
+    b = one.select(*on, F.col(center).alias("_at"), F.lit(None).cast(dict(points.dtypes)[key]).alias(key), F.struct(F.col(center).alias("c"), F.col(name).alias("n")).alias("_b"))
+    p = points.select(*on, F.col(at).alias("_at"), key, F.lit(None).cast(dict(b.dtypes)["_b"]).alias("_b"))
+    w = Window.partitionBy(*on).orderBy("_at")
+    x = p.withColumn("_p", F.lit(True)).unionByName(b.withColumn("_p", F.lit(False)))
+    x = x.withColumns({"_l": F.max("_b").over(w.rangeBetween(Window.unboundedPreceding, 0)), "_r": F.min("_b").over(w.rangeBetween(0, Window.unboundedFollowing))})
+    left = F.col("_r").isNull() | (F.col("_at") - F.col("_l.c") <= F.col("_r.c") - F.col("_at"))
+    best = F.when(left & F.col("_l").isNotNull(), F.col("_l.n")).otherwise(F.col("_r.n"))
+    return x.where("_p and (_l is not null or _r is not null)").select(*on, key, best.alias(name))
 
 
 def without_sites(files: DataFrame, by: list[str], path: str) -> DataFrame:

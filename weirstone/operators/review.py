@@ -25,11 +25,17 @@ def assemble(parts: dict[str, DataFrame], keys: list[str], agree: list[str]) ->
     return out
 
 
+#: Most names of a side of a grid; more are an error, not a cut.
+NAMES = 10_000
+
+
 def missing_cells(expected: list[DataFrame], seen: DataFrame, keys: list[str]) -> DataFrame:
     """Cells of the grid of the given one-column tables of bounded size (reviewers, arms, ...) and a long one that have no row."""
     grid = expected[0]
     for side in expected[1:]:  # lists of names
-        names = [r[0] for r in side.distinct().orderBy(side.columns[0]).collect()]
+        names = [r[0] for r in side.distinct().orderBy(side.columns[0]).limit(NAMES + 1).collect()]
+        if len(names) > NAMES:
+            raise ValueError(f"{side.columns[0]} has more than {NAMES} names; it is no list for a grid")
         grid = grid.withColumn(side.columns[0], F.explode(F.array(*map(F.lit, names))))
     return grid.join(seen.select(*keys).distinct(), keys, "left_anti")
 

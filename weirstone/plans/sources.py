@@ -25,6 +25,10 @@ def code_edges(spark, d):
     return X.call_edges(table(spark, d, "repo_artifacts"))
 
 
+def resolved_calls(spark, d):
+    return X.resolved_calls(table(spark, d, "repo_artifacts"))
+
+
 def event_log_replay(spark, d):
     """The log's outcome for a replay of every delivery: accepted, repeated, conflicting and late rows. A response closes its turn."""
     e = table(spark, d, "trace_events").select("session_id", F.col("turn_number").cast("bigint").alias("turn_number"), F.col("event_pk").cast("string").alias("event_key"), F.md5(F.col("content").cast("binary")).alias("data"), F.col("ingested_at").alias("at"), (F.col("event_type") == "assistant_response").alias("closes"))
