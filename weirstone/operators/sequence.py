@@ -145,18 +145,10 @@ def page(df: DataFrame, by: list[str], order: list[Column], offset: int, limit:
 
 
 def head_tail(df: DataFrame, by: str, order: str, cost: str, budget: int) -> DataFrame:
-    """Rows taken from the head and the tail in turn while they fit the budget; in their first order."""
+    """Rows taken from the head and the tail in turn while they fit the budget, up to the first that does not.
 
-    def choose(group: pd.DataFrame) -> pd.DataFrame:
-        g = group.sort_values(order).reset_index(drop=True)
-        lo, hi, left, taken, head = 0, len(g) - 1, budget, [], True
-        while lo <= hi:
-            i = lo if head else hi
-            if g[cost][i] > left:
-                break
-            left -= g[cost][i]
-            taken.append(i)
-            lo, hi, head = lo + head, hi - (not head), not head
-        return g.iloc[sorted(taken)]
-
-    return df.groupBy(by).applyInPandas(choose, df.schema)
+    The turns are fixed by a row's places from either end, so the choice is a running sum in their order."""
+    up, down = Window.partitionBy(by).orderBy(order), Window.partitionBy(by).orderBy(F.desc(order))
+    turn = F.least(2 * F.row_number().over(up) - 1, 2 * F.row_number().over(down))
+    spent = F.sum(cost).over(Window.partitionBy(by).orderBy("_turn").rowsBetween(Window.unboundedPreceding, 0))
+    return df.withColumn("_turn", turn).withColumn("_spent", spent).where(F.col("_spent") <= budget).drop("_turn", "_spent")

@@ -257,6 +257,10 @@ def oracle_sql():
     te = "(SELECT DISTINCT event_pk, input_id, event_type, turn_number, input_order, tool_name, content FROM trace_events)"
     inv = "split_part(content, chr(10) || chr(10) || 'Tool result:', 1)"
     own = {
+        "similar_input_members": """WITH i AS (SELECT DISTINCT input_id, md5(content) AS item FROM trace_events WHERE input_id IS NOT NULL), s AS (SELECT input_id, coalesce(list_sort(list(item) FILTER (WHERE item IS NOT NULL)), []) AS items FROM i GROUP BY 1),
+            c AS (SELECT items, min(input_id) AS representative, count(*) AS members FROM s GROUP BY 1),
+            l AS (SELECT a.items, sum(b.members) AS near FROM c a JOIN c b ON a.items <> b.items AND len(list_intersect(a.items, b.items)) >= 0.98 * (len(a.items) + len(b.items) - len(list_intersect(a.items, b.items))) AND len(a.items) > 0 GROUP BY 1)
+            SELECT input_id, representative, members, (members - 1 + coalesce(near, 0))::BIGINT AS links FROM s JOIN c USING (items) LEFT JOIN l USING (items)""",
         "file_kinds": f"""SELECT {kind_sql("path", "content")} AS kind, regexp_extract(regexp_replace(lower(replace(trim(path), chr(92), '/')), '/+$', ''), '(\\.[a-z0-9_+-]+)$', 1) AS suffix, count(*) AS files
             FROM (SELECT DISTINCT artifact_id, path, content FROM repo_artifacts) GROUP BY 1, 2""",
         "term_overlap": f"""WITH s AS (SELECT DISTINCT input_id, turn_number, event_type, unnest({words_sql(inv)}) AS term FROM {te} WHERE content IS NOT NULL AND event_type IN ('user_prompt', 'assistant_response'))

@@ -169,7 +169,18 @@ def _foreign_sql():
 
 def oracle_sql():
     s = "(SELECT DISTINCT session_id, repo_id, canonical_checkpoint_pk, files_touched FROM sessions)"
+    keys = ", ".join(f"{{'t': '{t}', 'k': '{k}'}}" for t, ks in E.PATH_KEYS.items() for k in ks)
+    paths = rf"""SELECT DISTINCT event_pk, input_id, input_order, tool, key AS path_key, list_aggregate(parts, 'string_agg', '/') AS path FROM
+        (SELECT *, list_filter(string_split(p, '/'), lambda x: x NOT IN ('', '.')) AS parts FROM
+        (SELECT event_pk, input_id, input_order, tool, q.k AS key, replace(trim(json_extract_string(j, '$.input.' || q.k)), chr(92), '/') AS p FROM
+        (SELECT *, coalesce(tool_name, json_extract_string(j, '$.tool')) AS tool FROM
+        (SELECT *, CASE WHEN json_valid(i) THEN i END AS j FROM (SELECT event_pk, input_id, input_order, tool_name, trim(regexp_extract(split_part(content, chr(10) || chr(10) || 'Tool result:', 1), '(?s)^[^\n]*\n(.*)$', 1)) AS i
+            FROM ({_EV}) WHERE event_type = 'tool_exchange'))), (SELECT unnest([{keys}]) AS q) WHERE q.t = tool)
+        WHERE p IS NOT NULL AND length(p) BETWEEN 1 AND 4096 AND NOT regexp_matches(p, '[\x00\r\n$`*?\[\]{{}}:]') AND p NOT IN ('/dev/null', 'dev/null') AND left(p, 1) NOT IN ('-', '~', '/') AND NOT regexp_matches(p, '(^|/)\.\.(/|$)'))
+        WHERE len(parts) > 0"""
     return {
+        "tool_paths": f"SELECT tool, path_key, count(*) AS mentions, count(DISTINCT path) AS paths FROM ({paths}) GROUP BY 1, 2",
+        "latest_path_read": f"""SELECT input_id, path, event_pk, mentions FROM (SELECT *, row_number() OVER (PARTITION BY input_id, path ORDER BY input_order DESC, event_pk DESC) AS n, count(*) OVER (PARTITION BY input_id, path) AS mentions FROM ({paths})) WHERE n = 1""",
         "prompt_windows": PROMPT_WINDOWS,
         "decision_distribution": f"SELECT rule, count(*) AS prompts FROM ({PROMPT_WINDOWS}) GROUP BY rule",
         "latest_delivery": "SELECT event_type, count(*) AS delivered, count(DISTINCT event_pk) AS kept FROM trace_events GROUP BY event_type",

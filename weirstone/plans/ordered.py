@@ -148,6 +148,8 @@ def oracle_sql():
         SELECT event_pk, input_id, input_order, tokens FROM w WHERE fits"""
     return {
         "budget_skip": skip,
+        "head_tail_view": f"""SELECT event_pk, input_id, input_order, tokens FROM (SELECT *, sum(tokens) OVER (PARTITION BY input_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS spent FROM
+            (SELECT event_pk, input_id, input_order, (coalesce(strlen(content), 0) + 2) // 3 AS tokens, least(2 * row_number() OVER (PARTITION BY input_id ORDER BY input_order) - 1, 2 * row_number() OVER (PARTITION BY input_id ORDER BY input_order DESC)) AS turn FROM {_TE})) WHERE spent <= 2048""",
         "asof_previous_event": """SELECT e.event_id, e.user_id, (SELECT p.event_id FROM events p WHERE p.user_id = e.user_id AND p.event_type = 'purchase' AND (p.ts < e.ts OR p.ts = e.ts AND p.event_id < e.event_id)
             ORDER BY p.ts DESC, p.event_id DESC LIMIT 1) AS previous_purchase FROM events e WHERE e.event_type = 'error'""",
         "range_window_counts": """WITH r AS (SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
