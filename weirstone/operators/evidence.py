@@ -148,3 +148,89 @@ def two_stages(first: DataFrame, second: DataFrame, on: list[str], score: str) -
     s = second.select(*on, F.col(score).alias("_second"))
     out = first.join(s, on, "left")
     return out.withColumns({score: F.coalesce("_second", F.col(score)), "stage": F.when(F.col("_second").isNotNull(), "second").otherwise("first")}).drop("_second")
+
+
+def occurrence(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """Each row's number, from 0, among the rows of its group in order."""
+    return df.withColumn("occurrence", (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).cast("bigint"))
+
+
+def last_of(df: DataFrame, by: list[str], order: list[str], most: int) -> DataFrame:
+    """The last ``most`` rows of each group, with their place from the end (1 is the last)."""
+    w = Window.partitionBy(*by).orderBy(*[F.col(c).desc_nulls_last() for c in order])
+    return df.withColumn("from_end", F.row_number().over(w).cast("bigint")).where(F.col("from_end") <= most)
+
+
+def first_wins(df: DataFrame, identity: list[str], order: list[str]) -> DataFrame:
+    """The first row of each identity in order; nulls in the identity are a value."""
+    w = Window.partitionBy(*identity).orderBy(*[F.col(c).asc_nulls_last() for c in order])
+    return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def fresh_first(attempts: DataFrame, session: str, tries: str, order: list[str], accepted: Column) -> DataFrame:
+    """Places of attempts, fresh ones before retries and else in order, and whether each is its session's accepted one: the first that is accepted."""
+    w = Window.partitionBy(session).orderBy(tries, *order)
+    x = attempts.withColumns({"place": F.row_number().over(w).cast("bigint"), "_ok": F.coalesce(accepted, F.lit(False))})
+    before = F.sum(F.when(F.col("_ok"), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return x.withColumn("accepted", F.col("_ok") & (before == 1)).drop("_ok")
+
+
+def longest_prefix(df: DataFrame, by: list[str], order: list[str], cost: str, budget: int) -> DataFrame:
+    """By group the number of leading rows whose costs together stay within the budget, and their sum; 0 where the first does not."""
+    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    x = df.withColumn("_s", F.sum(cost).over(w))
+    x = x.withColumn("_over", F.max(F.when(F.col("_s") > budget, 1).otherwise(0)).over(w))
+    fits = F.col("_over") == 0
+    return x.groupBy(*by).agg(F.count_if(fits).alias("fitting"), F.coalesce(F.max(F.when(fits, F.col("_s"))), F.lit(0)).cast("bigint").alias("cost"))
+
+
+def symbol_tier(symbol: Column, query: Column) -> Column:
+    """How well a symbol answers a query: 0 equal, 1 equal but for case, 2 its last part is equal, 3 begins with it, 4 holds it; null if it does not. Case counts in 0 only."""
+    s, q = F.lower(symbol), F.lower(query)
+    last = F.element_at(F.split(s, r"[.\s]"), -1)
+    return F.when(symbol == query, 0).when(s == q, 1).when(last == q, 2).when(F.startswith(s, q), 3).when(F.contains(s, q), 4)
+
+
+def ranked_symbols(symbols: DataFrame, queries: DataFrame, name: str, query: str, most: int) -> DataFrame:
+    """The first ``most`` answers to each query of a short list, by tier, length and name. queries: a few rows, broadcast as a list of literals."""
+    asked = [r[0] for r in queries.select(query).where(F.col(query).isNotNull()).distinct().orderBy(query).limit(1001).collect()]
+    if len(asked) > 1000:
+        raise ValueError("more than 1000 queries at once")
+    each = symbols.select(name).where(F.col(name).isNotNull()).distinct().withColumn(query, F.explode(F.array(*map(F.lit, asked)) if asked else F.array().cast("array<string>")))
+    hit = each.withColumn("tier", symbol_tier(F.col(name), F.col(query))).where("tier is not null")
+    w = Window.partitionBy(query).orderBy("tier", F.length(name), name)
+    return hit.withColumn("place", F.row_number().over(w).cast("bigint")).where(F.col("place") <= most)
+
+
+def same_task(parts: DataFrame, by: list[str], order: str, keys: str) -> DataFrame:
+    """Whether each part shares a stable key with the one before it; parts without keys go with the one before. The first part of a group is no continuation."""
+    before = F.lag(keys).over(Window.partitionBy(*by).orderBy(order))
+    apart = (F.size(keys) > 0) & (F.size(before) > 0) & ~F.arrays_overlap(F.col(keys), before)
+    return parts.withColumn("continues", before.isNotNull() & ~F.coalesce(apart, F.lit(False)))
+
+
+def uncovered_terms(asked: DataFrame, shown: DataFrame, on: list[str], term: str) -> DataFrame:
+    """By group the terms asked for, and how many no shown row of the group has."""
+    a = asked.select(*on, term).where(F.col(term).isNotNull()).distinct()
+    s = shown.select(*on, term).distinct().withColumn("_hit", F.lit(1))
+    return a.join(s, [*on, term], "left").groupBy(*on).agg(F.count("*").alias("terms"), F.count_if(F.col("_hit").isNull()).alias("uncovered"))
+
+
+def evidence_hit(gold: Column, shown: Column) -> Column:
+    """1.0 if any gold evidence is shown, 0.0 if none is, null without gold evidence."""
+    return F.when(F.size(gold) > 0, F.arrays_overlap(gold, shown).cast("double"))
+
+
+def priority(df: DataFrame, by: list[str], implementation: Column, invoked: Column, recency: Column, asked: Column, path: str) -> DataFrame:
+    """Places from 1 in each group: implementations first, then what was invoked, the most recent, what a question names, and by path."""
+    rank = [F.coalesce(c, F.lit(False)).desc() for c in (implementation, invoked)] + [recency.desc_nulls_last(), F.coalesce(asked, F.lit(False)).desc(), F.lower(path), F.col(path)]
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*rank)).cast("bigint"))
+
+
+def slope_interval(df: DataFrame, by: list[str], x: Column, y: Column, z: float = 1.959963984540054) -> DataFrame:
+    """Least-squares slope of y on the binary logarithm of x, its standard error and normal interval; null with fewer than three points or one x."""
+    p = df.select(*by, F.log2(x).alias("x"), y.cast("double").alias("y")).where("x is not null and y is not null")
+    s = p.groupBy(*by).agg(F.count("*").alias("n"), F.regr_slope("y", "x").alias("slope"), F.regr_sxx("y", "x").alias("_sxx"), F.regr_syy("y", "x").alias("_syy"))
+    rest = F.greatest(F.col("_syy") - F.col("slope") * F.col("slope") * F.col("_sxx"), F.lit(0.0))
+    error = F.when((F.col("n") > 2) & (F.col("_sxx") > 0), F.sqrt(rest / (F.col("n") - 2) / F.col("_sxx")))
+    return s.withColumn("error", error).select(*by, "n", "slope", "error", (F.col("slope") - z * F.col("error")).alias("low"), (F.col("slope") + z * F.col("error")).alias("high"))

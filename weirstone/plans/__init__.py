@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import analysis, documents, etl, evidence, lookups, nested, ordered, sources
+from . import analysis, documents, etl, evidence, lookups, nested, ordered, sources, units
 
-_PARTS = [etl, ordered, analysis, documents, lookups, evidence, sources, nested]
+_PARTS = [etl, ordered, analysis, documents, lookups, evidence, units, sources, nested]
 
 
 def queries():
