@@ -225,7 +225,7 @@ def queries():
     return {k: f for k, f in globals().items() if callable(f) and getattr(f, "__module__", "") == __name__ and not k.startswith("_") and k not in skip}
 
 
-def words_sql(text):
+def _words_sql(text):
     """The terms of a text, as ``functions.text.words`` has them."""
     stop = ", ".join(f"'{w}'" for w in T.STOP)
     pattern = T.WORD.replace(r"\u4e00-\u9fff", r"\x{4e00}-\x{9fff}")
@@ -233,7 +233,7 @@ def words_sql(text):
         FROM (SELECT list_filter(list_transform(regexp_extract_all(lower({text}), '{pattern}', 1), lambda t: regexp_replace(replace(t, chr(92), '/'), '^[./-]+|[./-]+$', '', 'g')), lambda t: t <> '' AND NOT list_contains([{stop}], t)) AS k))"""
 
 
-def kind_sql(path, content):
+def _kind_sql(path, content):
     """The kind of a file, as ``functions.text.file_kind`` has it."""
     some = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
     name = f"list_last(string_split(lower({path}), '/'))"
@@ -261,9 +261,9 @@ def oracle_sql():
             c AS (SELECT items, min(input_id) AS representative, count(*) AS members FROM s GROUP BY 1),
             l AS (SELECT a.items, sum(b.members) AS near FROM c a JOIN c b ON a.items <> b.items AND len(list_intersect(a.items, b.items)) >= 0.98 * (len(a.items) + len(b.items) - len(list_intersect(a.items, b.items))) AND len(a.items) > 0 GROUP BY 1)
             SELECT input_id, representative, members, (members - 1 + coalesce(near, 0))::BIGINT AS links FROM s JOIN c USING (items) LEFT JOIN l USING (items)""",
-        "file_kinds": f"""SELECT {kind_sql("path", "content")} AS kind, regexp_extract(regexp_replace(lower(replace(trim(path), chr(92), '/')), '/+$', ''), '(\\.[a-z0-9_+-]+)$', 1) AS suffix, count(*) AS files
+        "file_kinds": f"""SELECT {_kind_sql("path", "content")} AS kind, regexp_extract(regexp_replace(lower(replace(trim(path), chr(92), '/')), '/+$', ''), '(\\.[a-z0-9_+-]+)$', 1) AS suffix, count(*) AS files
             FROM (SELECT DISTINCT artifact_id, path, content FROM repo_artifacts) GROUP BY 1, 2""",
-        "term_overlap": f"""WITH s AS (SELECT DISTINCT input_id, turn_number, event_type, unnest({words_sql(inv)}) AS term FROM {te} WHERE content IS NOT NULL AND event_type IN ('user_prompt', 'assistant_response'))
+        "term_overlap": f"""WITH s AS (SELECT DISTINCT input_id, turn_number, event_type, unnest({_words_sql(inv)}) AS term FROM {te} WHERE content IS NOT NULL AND event_type IN ('user_prompt', 'assistant_response'))
             SELECT input_id, turn_number::BIGINT AS turn_number, count(*) AS shared_terms FROM (SELECT input_id, turn_number, term FROM s GROUP BY ALL HAVING count(*) = 2) GROUP BY ALL""",
     }
     return own | {

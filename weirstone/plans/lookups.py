@@ -100,12 +100,12 @@ def oracle_sql():
     some = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
     low, name, suffix = "lower(path)", "list_last(string_split(lower(path), '/'))", r"regexp_extract(lower(path), '(\.[^./]+)$', 1)"
     known = f"list_contains({some(T.SOURCE + T.CONFIG + T.DOCUMENT)}, {suffix})"
-    from .analysis import words_sql
+    from .analysis import _words_sql
 
     ops = f"list_filter([{found}], lambda x: x IS NOT NULL)"
     marks = r"""list_transform(regexp_extract_all(lower(content), '`[^`\n]{2,120}`|(?:[\w.-]+/)+[\w.-]+|\b[a-z_]\w*_\w+\b'), lambda x: replace(x, '`', ''))"""
     return {
-        "best_matching_prompt": f"""WITH s AS (SELECT event_pk, input_id, event_type, {words_sql("content")} AS t, {ops} AS p, {marks} AS o FROM {_TE} WHERE content IS NOT NULL AND event_type IN ('user_prompt', 'assistant_response')),
+        "best_matching_prompt": f"""WITH s AS (SELECT event_pk, input_id, event_type, {_words_sql("content")} AS t, {ops} AS p, {marks} AS o FROM {_TE} WHERE content IS NOT NULL AND event_type IN ('user_prompt', 'assistant_response')),
             f AS (SELECT * REPLACE (list_concat(o, list_transform(list_filter(o, lambda x: contains(x, '/')), lambda x: list_last(string_split(x, '/')))) AS o) FROM s),
             j AS (SELECT a.event_pk, b.event_pk AS prompt_pk, 100 * len(list_intersect(a.o, b.o)) + 10 * len(list_intersect(a.p, b.p)) + least(len(list_intersect(a.t, b.t)), 5) AS score
                 FROM f a JOIN f b ON a.input_id = b.input_id AND a.event_type = 'assistant_response' AND b.event_type = 'user_prompt')

@@ -10,7 +10,7 @@ from ..operators import nested as N
 from ..operators import relational as R
 from ..operators import retrieval as Q
 from ..session import table
-from .analysis import words_sql
+from .analysis import _words_sql
 from .etl import events as trace
 
 _TE = "(SELECT DISTINCT event_pk, input_id, session_id, event_type, turn_number, input_order, evidence_id, tool_name, content FROM trace_events)"
@@ -28,7 +28,7 @@ def last_events(spark, d):
 
 def first_deliveries(spark, d):
     t = table(spark, d, "trace_events").select("event_pk", "event_type", "ingested_at")
-    return V.first_wins(t, ["event_pk"], ["ingested_at"]).groupBy("event_type").agg(F.count("*").alias("events"), F.min("ingested_at").alias("earliest"))
+    return V.first_wins(t, ["event_pk"], ["ingested_at"]).groupBy("event_type").agg(F.count("*").alias("events"), F.min(F.unix_micros("ingested_at")).alias("earliest"))
 
 
 def fresh_orders(spark, d):
@@ -38,7 +38,7 @@ def fresh_orders(spark, d):
 
 def prefix_lines(spark, d):
     li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.floor("l_quantity").cast("bigint").alias("q"))
-    return V.longest_prefix(li, ["l_orderkey"], ["l_linenumber"], "q", 60)
+    return V.longest_prefix(li, ["l_orderkey"], ["l_linenumber", "q"], "q", 60)
 
 
 def ranked_names(spark, d):
@@ -132,14 +132,14 @@ def oracle_sql():
     return {
         "event_occurrences": f"SELECT event_pk, row_number() OVER (PARTITION BY input_id, turn_number, event_type ORDER BY input_order, event_pk) - 1 AS occurrence FROM {_TE}",
         "last_events": f"SELECT * FROM (SELECT event_pk, row_number() OVER (PARTITION BY input_id, turn_number ORDER BY input_order DESC, event_pk DESC) AS from_end FROM {_TE}) WHERE from_end <= 3",
-        "first_deliveries": "SELECT event_type, count(*) AS events, min(t0) AS earliest FROM (SELECT event_pk, any_value(event_type) AS event_type, min(ingested_at) AS t0 FROM trace_events GROUP BY 1) GROUP BY 1",
+        "first_deliveries": "SELECT event_type, count(*) AS events, epoch_us(min(t0)) AS earliest FROM (SELECT event_pk, any_value(event_type) AS event_type, min(ingested_at) AS t0 FROM trace_events GROUP BY 1) GROUP BY 1",
         "fresh_orders": """SELECT o_orderkey, place, ok AND n = 1 AS accepted FROM (SELECT *, sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY o_custkey ORDER BY place) AS n FROM
             (SELECT o_custkey, o_orderkey, o_orderstatus = 'F' AS ok, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderkey) AS place FROM orders))""",
         "prefix_lines": """SELECT l_orderkey, count(*) FILTER (WHERE s <= 60) AS fitting, coalesce(max(s) FILTER (WHERE s <= 60), 0)::BIGINT AS cost FROM
-            (SELECT l_orderkey, sum(floor(l_quantity)::BIGINT) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS s FROM lineitem) GROUP BY 1""",
+            (SELECT l_orderkey, sum(floor(l_quantity)::BIGINT) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, floor(l_quantity) ROWS UNBOUNDED PRECEDING) AS s FROM lineitem) GROUP BY 1""",
         "ranked_names": f"""WITH q AS (SELECT DISTINCT lower(list_last(string_split(p_type, ' '))) AS q FROM part WHERE p_type IS NOT NULL), h AS (SELECT p_type, q AS query, {tier} AS tier FROM (SELECT DISTINCT p_type FROM part WHERE p_type IS NOT NULL), q WHERE q <> '')
             SELECT * FROM (SELECT p_type, query, tier, row_number() OVER (PARTITION BY query ORDER BY tier, length(p_type), p_type) AS place FROM h WHERE tier IS NOT NULL) WHERE place <= 12""",
-        "continued_prompts": f"""WITH k AS (SELECT event_pk, input_id, input_order, coalesce({words_sql("content")}, []) AS keys FROM {_TE} WHERE event_type = 'user_prompt'), l AS (SELECT *, lag(keys) OVER (PARTITION BY input_id ORDER BY input_order) AS b FROM k)
+        "continued_prompts": f"""WITH k AS (SELECT event_pk, input_id, input_order, coalesce({_words_sql("content")}, []) AS keys FROM {_TE} WHERE event_type = 'user_prompt'), l AS (SELECT *, lag(keys) OVER (PARTITION BY input_id ORDER BY input_order) AS b FROM k)
             SELECT event_pk, b IS NOT NULL AND NOT (len(keys) > 0 AND len(coalesce(b, [])) > 0 AND NOT list_has_any(keys, b)) AS continues FROM l""",
         "uncovered_terms": rf"""WITH n AS (SELECT DISTINCT input_id, event_type, unnest(regexp_extract_all(content, '`([^`\n]{{2,120}})`', 1)) AS term FROM {_TE} WHERE content IS NOT NULL),
             a AS (SELECT * FROM n WHERE event_type = 'user_prompt'), s AS (SELECT input_id, term, 1 AS hit FROM n WHERE event_type = 'assistant_response')
@@ -160,6 +160,6 @@ def oracle_sql():
         "input_totals": f"""WITH f AS (SELECT input_id, count(*) AS files, count(DISTINCT regexp_extract(path, '^(.*)/[^/]+$', 1)) AS folders FROM (SELECT DISTINCT artifact_id, input_id, path FROM repo_artifacts) GROUP BY 1),
             t AS (SELECT input_id, count(*) AS events, count(evidence_id) AS with_evidence FROM (SELECT DISTINCT event_pk, input_id, evidence_id FROM trace_events) GROUP BY 1)
             SELECT input_id, coalesce(files, 0) AS files, coalesce(folders, 0) AS folders, coalesce(events, 0) AS events, coalesce(with_evidence, 0) AS with_evidence FROM f FULL JOIN t USING (input_id)""",
-        "prompt_operations": f"""WITH s AS (SELECT input_id, turn_number, list_filter([{found}], lambda x: x IS NOT NULL) AS p, {words_sql("content")} AS t FROM {_TE} WHERE event_type = 'user_prompt' AND content IS NOT NULL)
+        "prompt_operations": f"""WITH s AS (SELECT input_id, turn_number, list_filter([{found}], lambda x: x IS NOT NULL) AS p, {_words_sql("content")} AS t FROM {_TE} WHERE event_type = 'user_prompt' AND content IS NOT NULL)
             SELECT input_id, turn_number::BIGINT AS turn_number, coalesce(array_to_string(list_sort(list_distinct(flatten(list(p)))), ','), '') AS operations, len(list_distinct(flatten(list(t))))::BIGINT AS terms FROM s GROUP BY 1, 2""",
     }
