@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -231,6 +232,32 @@ def test_windows_left_over(lone, windows):
     assert [i - 5 for lo, hi in zip(left[::2], left[1::2]) for i in range(lo, hi + 1)] == sorted(want)
 
 
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="no test tables")
+def test_shared_characters_of_the_test_tables(spark):
+    a, e = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("repo_artifacts", "trace_events"))
+    texts = {("repo_artifacts", r.artifact_id): r.content for r in a.collect()} | {("trace_events", r.event_pk): r.content for r in e.collect()}
+    holders = {}
+    for key, t in texts.items():
+        for i in range(len(t or "") - 299):
+            holders.setdefault(t[i : i + 300], set()).add(key)
+    want = {}
+    for key, t in texts.items():
+        n = len({j for i in range(len(t or "") - 299) if len(holders[t[i : i + 300]]) > 1 for j in range(i, i + 300)})
+        if n:
+            want[key] = n
+    assert want and {(r.item_table, r.item_id): r.shared_chars for r in repeats.overlap(a, e).collect()} == want
+    assert {(r.item_table, r.item_id) for r in repeats.named(repeats.sharing(a, e)).collect()} == set(want)
+
+
+def test_a_third_of_the_records_share_one_span(spark):
+    rng = random.Random(23)
+    noise = lambda n: "".join(rng.choice("abcdefgh \n_().") for _ in range(n))
+    block, near = noise(310), noise(299)
+    arts = [(i, noise(rng.randrange(200, 500)) + (block if i % 3 == 0 else near if i % 3 == 1 else "") + noise(300)) for i in range(900)]
+    got = {r.record for r in repeats.sharing(_arts(spark, arts), _evs(spark, [])).collect()}
+    assert got == _brute([(2 * i, t) for i, t in arts], 300) and got >= {2 * i for i in range(0, 900, 3)}
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(0, 10**6), st.integers(1, 2))
 def test_equal_windows_have_equal_symbols(seed, pieces):
