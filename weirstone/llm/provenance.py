@@ -76,11 +76,11 @@ def bucket(word):
 
 
 def path_words(path):
-    """Places of the words of a path: its folders, and the parts of the file's name, which keep their place from the end."""
+    """Places of the words of a path: its folders, and the parts of the file's name, which keep their place from the end; not the ending by itself, which is the language's."""
     *folders, name = path.lower().split("/")
     words = {"/" + x for x in folders}
     parts = re.split(r"(?=[._-])", name)
-    words |= {"".join(parts[-k:]) for k in (1, 2, 3) if k < len(parts)} | {f"{k}{x}" for k, x in enumerate(reversed(parts))}
+    words |= {"".join(parts[-k:]) for k in (2, 3) if k < len(parts)} | {f"{k}{x}" for k, x in enumerate(reversed(parts)) if k}
     return sorted({bucket(w) for w in words})
 
 
