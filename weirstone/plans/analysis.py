@@ -74,6 +74,19 @@ def similar_input_members(spark, d):
     return K.set_members(_contents(spark, d), "input_id", "item", 0.98)
 
 
+def _baskets(spark, d):
+    return table(spark, d, "orders").select("o_custkey", "o_orderpriority")
+
+
+def similar_basket_members(spark, d):
+    """Customers by the set of priorities of their orders: many equal sets, and sets within 0.8 of each other."""
+    return K.set_members(_baskets(spark, d), "o_custkey", "o_orderpriority", 0.8)
+
+
+def similar_basket_links(spark, d):
+    return K.set_links(_baskets(spark, d), "o_custkey", "o_orderpriority", 0.8)
+
+
 # -- statistics ------------------------------------------------------------------
 def grouping_sets_all(spark, d):
     return A.means_with_all(table(spark, d, "documents").select("lang", "source", F.col("n_chars").cast("double").alias("n_chars")), ["lang", "source"], "n_chars")
@@ -256,7 +269,14 @@ def oracle_sql():
     lines = "(SELECT DISTINCT l_partkey, unnest(range(a, b + 1)) AS x FROM {i})"
     te = "(SELECT DISTINCT event_pk, input_id, event_type, turn_number, input_order, tool_name, content FROM trace_events)"
     inv = "split_part(content, chr(10) || chr(10) || 'Tool result:', 1)"
+    sets = """WITH s AS (SELECT o_custkey, coalesce(list_sort(list(DISTINCT o_orderpriority) FILTER (WHERE o_orderpriority IS NOT NULL)), []) AS items FROM orders WHERE o_custkey IS NOT NULL GROUP BY 1),
+            c AS (SELECT items, min(o_custkey) AS representative, count(*) AS members FROM s GROUP BY 1),
+            p AS (SELECT a.items, a.representative AS x, b.representative AS y, b.members, len(list_intersect(a.items, b.items)) / (len(a.items) + len(b.items) - len(list_intersect(a.items, b.items))) AS j FROM c a JOIN c b ON a.items <> b.items WHERE len(a.items) + len(b.items) > 0)"""
     own = {
+        "similar_basket_members": f"""{sets}, l AS (SELECT items, sum(members) AS near FROM p WHERE j >= 0.8 GROUP BY 1)
+            SELECT o_custkey, representative, members, (members - 1 + coalesce(near, 0))::BIGINT AS links FROM s JOIN c USING (items) LEFT JOIN l USING (items)""",
+        "similar_basket_links": f"""{sets} SELECT least(x, y) AS left_id, greatest(x, y) AS right_id, round(j, 6) AS similarity FROM p WHERE j >= 0.8 AND x < y
+            UNION ALL SELECT representative, o_custkey, 1.0::DOUBLE FROM s JOIN c USING (items) WHERE o_custkey <> representative""",
         "similar_input_members": """WITH i AS (SELECT DISTINCT input_id, md5(content) AS item FROM trace_events WHERE input_id IS NOT NULL), s AS (SELECT input_id, coalesce(list_sort(list(item) FILTER (WHERE item IS NOT NULL)), []) AS items FROM i GROUP BY 1),
             c AS (SELECT items, min(input_id) AS representative, count(*) AS members FROM s GROUP BY 1),
             l AS (SELECT a.items, sum(b.members) AS near FROM c a JOIN c b ON a.items <> b.items AND len(list_intersect(a.items, b.items)) >= 0.98 * (len(a.items) + len(b.items) - len(list_intersect(a.items, b.items))) AND len(a.items) > 0 GROUP BY 1)

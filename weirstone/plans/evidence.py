@@ -21,9 +21,8 @@ def paired_calls(spark, d):
     return V.pair_calls(x, ["session_id"], "call_id", "kind", "input_order", "event_pk").select("event_pk", "kind", "outcome", "other")
 
 
-def contiguous_prompts(spark, d):
-    e = trace(spark, d, "input_id", "event_type", "turn_number").where("event_type = 'user_prompt'")
-    return V.contiguous(e, ["input_id"], F.col("turn_number").cast("bigint"))
+def contiguous_lines(spark, d):
+    return V.contiguous(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber"), ["l_orderkey"], F.col("l_linenumber").cast("bigint"))
 
 
 def contiguous_conditions(spark, d):
@@ -145,8 +144,8 @@ def oracle_sql():
                      WHEN x.use_at IS NULL OR x.use_at > x.input_order THEN 'orphan' WHEN x.event_pk = one.res_pk THEN 'paired' ELSE 'duplicate' END AS outcome,
                 CASE WHEN x.u AND x.nu = 1 THEN one.res_pk WHEN NOT x.u AND x.event_pk = one.res_pk THEN x.use_pk END AS other
             FROM x LEFT JOIN one USING (session_id, turn_number)""",
-        "contiguous_prompts": f"""SELECT input_id, count(DISTINCT turn_number) AS numbers, min(turn_number)::BIGINT AS least, max(turn_number)::BIGINT AS greatest, 0::BIGINT AS bad, max(turn_number)::BIGINT - count(DISTINCT turn_number) AS missing
-            FROM {_TE} WHERE event_type = 'user_prompt' GROUP BY input_id HAVING min(turn_number) <> 1 OR max(turn_number) <> count(DISTINCT turn_number)""",
+        "contiguous_lines": """SELECT l_orderkey, count(DISTINCT l_linenumber) AS numbers, min(l_linenumber)::BIGINT AS least, max(l_linenumber)::BIGINT AS greatest, 0::BIGINT AS bad, max(l_linenumber)::BIGINT - count(DISTINCT l_linenumber) AS missing
+            FROM lineitem GROUP BY 1 HAVING min(l_linenumber) <> 1 OR max(l_linenumber) <> count(DISTINCT l_linenumber)""",
         "contiguous_conditions": r"""WITH g AS (SELECT DISTINCT input_id, try_cast(nullif(regexp_extract(condition_id, '^kc_(\d+)$', 1), '') AS BIGINT) AS n FROM gold_conditions)
             SELECT input_id, count(n) AS numbers, min(n) AS least, max(n) AS greatest, count(*) FILTER (WHERE n IS NULL) AS bad, coalesce(max(n) - count(n), 0) AS missing
             FROM g GROUP BY input_id HAVING count(*) FILTER (WHERE n IS NULL) > 0 OR min(n) <> 1 OR max(n) <> count(n)""",
